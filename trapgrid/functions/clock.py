@@ -18,9 +18,13 @@ UNIT_MICROS = {
 
 def parse_photo_time(text: Column) -> Column:
     """Wall clock of `YYYY:MM:DD HH:MM:SS` text, null where it is no such time."""
-    well_formed = text.rlike(r"^\d{4}[:/-]\d{2}[:/-]\d{2}[ T]\d{2}:\d{2}:\d{2}$")
-    day = F.translate(F.substring(text, 1, 10), ":/", "--")
-    iso = F.concat(day, F.lit(" "), F.substring(text, 12, 8))
+    date_mark, time_mark = (":", "-", "/"), (":",)
+    marks = {5: date_mark, 8: date_mark, 11: (" ", "T"), 14: time_mark, 17: time_mark}
+    well_formed = F.char_length(text) == 19
+    for place, allowed in marks.items():
+        well_formed = well_formed & F.substring(text, place, 1).isin(*allowed)
+    year, month, day, time = (F.substring(text, start, n) for start, n in ((1, 4), (6, 2), (9, 2), (12, 8)))
+    iso = F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), time)
     return F.when(well_formed, iso.try_cast("timestamp_ntz"))
 
 

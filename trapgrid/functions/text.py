@@ -11,8 +11,9 @@ def piece(text: Column, sep: str, n: int) -> Column:
 
     An empty piece at the very end does not count as a piece.
     """
-    trimmed = F.when(text != "", F.regexp_replace(text, f"{sep}$", ""))
-    return F.get(F.split(trimmed, sep), F.lit(n - 1))
+    pieces = count_char(text, sep) + F.when(text.endswith(sep), 0).otherwise(1)
+    found = F.substring_index(F.substring_index(text, sep, n), sep, -1)
+    return F.when((text != "") & (pieces >= n), found)
 
 
 def paste(*parts: Column, sep: str = "_") -> Column:

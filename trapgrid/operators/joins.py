@@ -10,83 +10,105 @@ from pyspark.sql import functions as F
 
 from trapgrid.session import shuffle_partitions
 
-# A key with more than this share of a table's rows is spread over several tasks. At most
+# A key with more than this share of a table's rows is spread over several tasks. Fewer than
 # 1 / HEAVY_SHARE keys can be that heavy, so the list of them is safe to broadcast.
-HEAVY_SHARE = 1e-4
+HEAVY_SHARE = 2e-4
+_TRACKED = 65_536  # sketch size; its error is at most 3.5 / _TRACKED of the rows
+_SKETCH_GROUPS = 256
 _MAX_SALTS = 256
 
 
-def _key(df_keys: list[str]) -> Column:
-    return F.struct(*[F.col(k) for k in df_keys])
+def _hash(keys: list[str]) -> Column:
+    return F.xxhash64(*[F.col(k) for k in keys])
 
 
-def heavy_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Every key with more than HEAVY_SHARE of `rows` (at most 1 / HEAVY_SHARE rows).
+def heavy_hashes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Hashes of the keys with more than HEAVY_SHARE of `rows`, fewer than 1 / HEAVY_SHARE rows.
 
-    One narrow pass finds the candidates without a shuffle of the keys, a second one counts
-    only those, so that a light key is never listed.
+    One pass over the key columns. Each task keeps a sketch of bounded size, and the sketches
+    are merged in two steps, so that neither the keys nor all sketches go through one task.
     """
-    narrow = rows.select(_key(keys).alias("_key"))
-    candidates = narrow.stat.freqItems(["_key"], HEAVY_SHARE).select(
-        F.explode("_key_freqItems").alias("_heavy")
+    group = (F.spark_partition_id() % _SKETCH_GROUPS).alias("_g")
+    size = F.lit(_TRACKED)
+    parts = rows.select(group, _hash(keys).alias("_h")).groupBy("_g").agg(
+        F.call_function("approx_top_k_accumulate", F.col("_h"), size).alias("_s"), F.count("*").alias("_n")
     )
-    total = narrow.agg(F.count("*")).scalar()
-    return (
-        narrow.join(F.broadcast(candidates), F.col("_key").eqNullSafe(F.col("_heavy")))
-        .groupBy("_heavy")
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > F.greatest(total * HEAVY_SHARE, F.lit(1.0)))
-        .select("_heavy")
+    # Grouped by a constant, so that no rows give no group instead of an empty sketch.
+    whole = parts.groupBy(F.lit(0).alias("_all")).agg(
+        F.call_function("approx_top_k_combine", F.col("_s"), size).alias("_s"), F.sum("_n").alias("_n")
+    )
+    top = F.call_function("approx_top_k_estimate", F.col("_s"), F.lit(int(1 / HEAVY_SHARE)))
+    listed = whole.select(F.explode(top).alias("_top"), "_n")
+    return listed.where(F.col("_top.count") > F.greatest(F.col("_n") * HEAVY_SHARE, F.lit(1.0))).select(
+        F.col("_top.item").alias("_h")
     )
 
 
-def _row_salt(df: DataFrame, salts: int) -> Column:
+def _row_salt(columns: list[str], salts: int) -> Column:
     # Stays the same when a task is run again; splits even rows that are exact copies.
-    return F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in df.columns]), F.lit(salts))
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in columns]), F.lit(salts))
+
 
+def _match(on: list[str], prefix: str) -> Column:
+    return reduce(and_, [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in on])
 
-def left_join(left: DataFrame, right: DataFrame, on: list[str], right_unique: bool = False) -> DataFrame:
+
+def left_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    right_unique: bool = False,
+    heavy: DataFrame | None = None,
+    salt_by: list[str] | None = None,
+) -> DataFrame:
     """Left equi-join on equally named columns; missing equals missing; keys come from `left`.
 
-    Rows of a heavy key are salted on the side that is heavy and repeated per salt on the
+    Rows of a key that is heavy on one side are salted there and repeated per salt on the
     other, so that no task gets them all. `right_unique` says that `right` has one row per
-    key, which saves looking for heavy keys in it.
+    key, which saves looking for heavy keys in it. `heavy` gives the heavy keys of `left`
+    (fewer than 1 / HEAVY_SHARE rows) where the caller knows them already. `salt_by` names
+    columns of `left` that differ between rows of a key, so that the others need not be read
+    for the salt.
     """
     clash = (set(left.columns) & set(right.columns)) - set(on)
     if clash:
         raise ValueError(f"rename or drop before the join: {sorted(clash)}")
-    spark = left.sparkSession
-    salts = min(max(shuffle_partitions(spark), 8), _MAX_SALTS)
-
-    heavy = heavy_keys(left, on).select("_heavy", F.lit(True).alias("_l"), F.lit(False).alias("_r"))
+    for c in on:
+        # Salts go by hashes, and equal values of different types hash differently.
+        if left.schema[c].dataType != right.schema[c].dataType:
+            raise ValueError(f"{c} is {left.schema[c].dataType} on the left and {right.schema[c].dataType} on the right")
+    salts = min(max(shuffle_partitions(left.sparkSession), 8), _MAX_SALTS)
+    zero = F.lit(0).cast("long")
+    every = F.sequence(zero, F.lit(salts - 1).cast("long"))
+
+    heavy_left = heavy_hashes(left, on) if heavy is None else heavy.select(_hash(on).alias("_h"))
+    heavy_left = heavy_left.distinct().withColumn("_l", F.lit(True))
+    a = left.withColumn("_h", _hash(on)).join(F.broadcast(heavy_left), "_h", "left").drop("_h")
+    a = a.withColumn("_a", F.when(F.col("_l"), _row_salt(salt_by or left.columns, salts)).otherwise(zero)).drop("_l")
+    b = right.withColumn("_h", _hash(on)).join(F.broadcast(heavy_left), "_h", "left").drop("_h")
+    b = b.withColumn("_a", F.explode(F.when(F.col("_l"), every).otherwise(F.array(zero)))).drop("_l")
+
+    salted = ["_a"]
     if not right_unique:
-        also = heavy_keys(right, on).select("_heavy", F.lit(False).alias("_l"), F.lit(True).alias("_r"))
-        heavy = heavy.union(also).groupBy("_heavy").agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
-
-    def marked(df: DataFrame) -> DataFrame:
-        flags = F.broadcast(heavy)
-        out = df.join(flags, _key(on).eqNullSafe(F.col("_heavy")), "left").drop("_heavy")
-        return out.withColumns({f: F.coalesce(F.col(f), F.lit(False)) for f in ("_l", "_r")})
-
-    one, every = F.lit(0).cast("long"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-
-    def salted(df: DataFrame, own: str, own_salt: str, other: str, other_salt: str) -> DataFrame:
-        out = marked(df)
-        out = out.withColumn(own_salt, F.when(F.col(own), _row_salt(df, salts)).otherwise(one))
-        if right_unique and other == "_r":
-            return out.withColumn(other_salt, one)
-        return out.withColumn(other_salt, F.explode(F.when(F.col(other), every).otherwise(F.array(one))))
-
-    a = salted(left, "_l", "_a", "_r", "_b")
-    b = salted(right, "_r", "_b", "_l", "_a").drop("_l", "_r").withColumn("_hit", F.lit(True))
-    b = b.withColumnsRenamed({c: f"_right_{c}" for c in [*on, "_a", "_b"]})
-    pairs = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on]
-    pairs += [F.col(c) == F.col(f"_right_{c}") for c in ("_a", "_b")]
-    joined = a.join(b, reduce(and_, pairs), "left")
+        # The keys themselves, not hashes: such a key is known to exist in `right`.
+        listed = right.withColumn("_h", _hash(on)).join(F.broadcast(heavy_hashes(right, on)), "_h", "left_semi")
+        heavy_right = F.broadcast(
+            listed.select(*[F.col(c).alias(f"_heavy_{c}") for c in on]).distinct().withColumn("_r", F.lit(True))
+        )
+        gone = [f"_heavy_{c}" for c in on]
+        a = a.join(heavy_right, _match(on, "_heavy_"), "left").drop(*gone)
+        a = a.withColumn("_b", F.explode(F.when(F.col("_r"), every).otherwise(F.array(zero))))
+        b = b.join(heavy_right, _match(on, "_heavy_"), "left").drop(*gone)
+        b = b.withColumn("_b", F.when(F.col("_r"), _row_salt(right.columns, salts)).otherwise(zero)).drop("_r")
+        b = b.withColumn("_hit", F.lit(True))
+        salted.append("_b")
+
+    b = b.withColumnsRenamed({c: f"_right_{c}" for c in [*on, *salted]})
+    same_salt = [F.col(c) == F.col(f"_right_{c}") for c in salted]
+    joined = a.join(b, reduce(and_, same_salt, _match(on, "_right_")), "left")
     if not right_unique:
-        # A key that is heavy on the right exists there, so its rows without a partner are
-        # only the repeats whose salt held none.
-        joined = joined.where(~F.col("_r") | F.col("_hit"))
+        # Repeats of a row whose salt held no partner; another repeat of it has one.
+        joined = joined.where(F.col("_r").isNull() | F.col("_hit"))
     return joined.select(*left.columns, *[c for c in right.columns if c not in on])
 
 

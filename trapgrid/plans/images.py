@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trapgrid.functions.clock import calendar_parts, parse_photo_time, to_utc
 from trapgrid.functions.labels import camera_of, prediction_key, study_label
 from trapgrid.functions.text import paste
-from trapgrid.operators.joins import first_per_key, left_join
+from trapgrid.operators.joins import HEAVY_SHARE, first_per_key, left_join
 from trapgrid.operators.ranking import add_dense_code
 
 # Time zone and place of the studies, under each name they go by.
@@ -63,7 +63,7 @@ def image_table(
     missing value before dates are read.
     """
     right = metadata.drop(*[c for c in metadata.columns if c in predictions.columns and c != "FileName"])
-    joined = left_join(predictions, right, ["FileName"], metadata_unique)
+    joined = left_join(predictions, right, ["FileName"], metadata_unique, salt_by=["ROW_NUM"])
     if complete_only:
         joined = joined.dropna("any")
     wall = parse_photo_time(F.col("DateTimeOriginal"))
@@ -84,14 +84,23 @@ def burst_filtered(images: DataFrame, thresh: float, burst: str = "cam_chk_burst
     Bursts are aggregated first and joined back, so that a burst with very many images (such
     as the missing one) is never sorted in one task.
     """
-    extremes = burst_extremes(images, burst).where(F.col("b_max") > thresh)
-    return left_join(images, extremes, [burst], right_unique=True).where(F.col("b_max").isNotNull())
+    return with_burst_extremes(images, burst).where(F.col("b_max") > thresh)
+
+
+def _extremes() -> list[Column]:
+    return [F.max("CONFIDENCE1").alias("b_max"), F.min("CONFIDENCE1").alias("b_min")]
 
 
 def burst_extremes(images: DataFrame, burst: str = "cam_chk_burst") -> DataFrame:
-    return images.groupBy(burst).agg(F.max("CONFIDENCE1").alias("b_max"), F.min("CONFIDENCE1").alias("b_min"))
+    return images.groupBy(burst).agg(*_extremes())
 
 
 def with_burst_extremes(images: DataFrame, burst: str = "cam_chk_burst") -> DataFrame:
-    """Every image with the best and worst confidence of its burst."""
-    return left_join(images, burst_extremes(images, burst), [burst], right_unique=True)
+    """Every image with the best and worst confidence of its burst.
+
+    The burst sizes that tell which bursts are heavy come from the same aggregate.
+    """
+    sized = images.groupBy(burst).agg(*_extremes(), F.count("*").alias("_size"))
+    total = sized.agg(F.sum("_size")).scalar()
+    heavy = sized.where(F.col("_size") > F.greatest(total * HEAVY_SHARE, F.lit(1.0)))
+    return left_join(images, sized.drop("_size"), [burst], right_unique=True, heavy=heavy)

@@ -124,15 +124,14 @@ def detection_grid(
     g = grain(time_int, DETECTION_GRAINS)
     base = cells(images, species, g, time)
     hit_codes = F.collect_set(F.when(seen(thresh), F.col("code")))
-    sites = base.groupBy("camID").agg(hit_codes.alias("hits"))
+    hit_years = F.collect_set(F.when(seen(thresh), _whole_div(F.col("code"))))
+    sites = base.groupBy("camID").agg(hit_codes.alias("hits"), hit_years.alias("years"))
     sites = sites.withColumn("codes", base.agg(hit_codes).scalar())
-    if missing_site is None:
-        years = F.array_distinct(F.transform("hits", _whole_div))
-        def zero(c):
-            return F.when(F.array_contains(years, _whole_div(c)), 0)
-    else:
-        def zero(c):
-            return F.lit(missing_site)
+
+    def zero(c: Column) -> Column:
+        with_detection = F.array_contains("years", _whole_div(c))
+        return F.when(with_detection, 0).otherwise(F.lit(missing_site).cast("int"))
+
     return _as_rows(sites, _fill(F.col("codes"), F.col("hits"), zero, lambda c: F.lit(1)))
 
 

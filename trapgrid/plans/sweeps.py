@@ -7,10 +7,10 @@ sum over at most a hundred counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trapgrid.functions.clock import grain
+from trapgrid.functions.clock import elapsed, grain
 from trapgrid.plans.occupancy import (
     MASK_GRAINS,
     _need_time,
@@ -20,7 +20,6 @@ from trapgrid.plans.occupancy import (
     cells,
     end_cut,
     regular_codes,
-    start_cut,
 )
 
 # Species groups of the image sweep (classifier code, None = every image).
@@ -121,9 +120,9 @@ def occupancy_sweep(
     if start < baseline:
         raise ValueError("thresholds must not be below the baseline")
     base = cells(images, species, g, time)
-    levels = F.array(*[F.lit(t) for t in [baseline, *thresholds(start, step, n)]])
 
-    # One row per interval, then one row for the study: both bounded by the calendar.
+    # The columns of the table at each level (0 = baseline): a calendar times the levels
+    # bounds these rows and everything made of them.
     by_code = base.groupBy("code").agg(
         F.max("best").alias("best"), F.min("first_photo").alias("first"), F.max("last_photo").alias("last")
     )
@@ -131,26 +130,27 @@ def occupancy_sweep(
         F.min("first").alias("first"),
         F.max("last").alias("last"),
         F.sort_array(F.collect_set(_whole_div(F.col("code")))).alias("years"),
-        F.collect_list(F.when(F.col("best") > baseline, F.struct("code", "best"))).alias("found"),
     )
-    if deployments is None:
-        regular, extra = F.array().cast("array<int>"), F.col("found")
-    else:
+    shown = by_code.select("code", "best").where(F.col("best") > baseline)
+    if deployments is not None:
         _need_time(deployments, "SetDate")
-        study = study.withColumn("first_set", deployments.agg(F.min("SetDate")).scalar())
+        period = study.withColumn("first_set", deployments.agg(F.min("SetDate")).scalar())
         regular = regular_codes(F.col("years"), F.col("first_set"), F.col("last"), g)
-        study = study.withColumn("regular", regular)
-        outside = F.array_except(F.transform("found", lambda x: x["code"]), F.col("regular"))
-        study = study.withColumn("outside", outside)
-        regular, extra = F.col("regular"), F.filter("found", lambda x: F.array_contains("outside", x["code"]))
-    columns = F.transform(
-        levels,
-        lambda t: F.array_sort(
-            F.concat(regular, F.transform(F.filter(extra, lambda x: x["best"] > t), lambda x: x["code"]))
-        ),
+        always = period.select(F.explode(regular).alias("code"), F.lit(float("inf")).alias("best"))
+        shown = shown.union(always).groupBy("code").agg(F.max("best").alias("best"))
+    columns = shown.select("code", F.explode(F.sequence(F.lit(0), thresholds_below(F.col("best"), start, step, n))).alias("level"))
+    ordered = Window.partitionBy("level").orderBy("code")
+    columns = columns.withColumn("position", F.row_number().over(ordered) - 1)
+    ends = columns.groupBy("level").agg(F.min("code").alias("head"), F.max("code").alias("tail"))
+    ends = ends.agg(
+        F.map_from_entries(F.collect_list(F.struct("level", _whole_div(F.col("head"))))).alias("first_years"),
+        F.map_from_entries(F.collect_list(F.struct("level", "tail"))).alias("tails"),
+    )
+    at_position = columns.groupBy("position").agg(
+        F.map_from_entries(F.collect_list(F.struct("level", "code"))).alias("codes")
     )
-    study = study.select("first", "last", columns.alias("tables"))
 
+    # One row per camera with its detections above the baseline.
     sites = base.groupBy("camID").agg(
         F.min("first_photo").alias("s"),
         F.max("last_photo").alias("e"),
@@ -158,12 +158,27 @@ def occupancy_sweep(
     )
     if deployments is not None:
         sites = deployments.select("camID").distinct().join(sites, "camID")
-    sites = sites.where(F.size("hits") > 0).withColumn("study", _one_row(study))
-    since = (F.col("s"), F.col("study.first"))
-    starts = F.transform("study.tables", lambda codes: start_cut(F.col("s"), since[1], codes, g, since))
-    sites = sites.select("camID", "hits", starts.alias("starts"), end_cut(
-        F.col("e"), g, (F.col("e"), F.col("study.last"))
-    ).alias("end"))
+    sites = sites.where(F.size("hits") > 0).withColumns(
+        {"study": _one_row(study.select("first", "last")), "columns": _one_row(ends)}
+    )
+    late = elapsed(F.col("s"), F.col("study.first"), g.name)
+    sites = sites.withColumn("position", F.when(F.abs(late) > 1, F.rint(late).cast("int")))
+    sites = sites.join(F.broadcast(at_position), "position", "left").withColumns(
+        {"start_yr": F.year("s"), "start_code": g.code(F.col("s"))}
+    )
+
+    def start_at(level: Column) -> Column:
+        other_year = F.try_element_at("columns.first_years", level) != F.col("start_yr")
+        place = F.coalesce(F.try_element_at("codes", level), F.try_element_at("columns.tails", level))
+        cut = F.when(other_year, F.col("start_code")).otherwise(place)
+        return F.when(F.col("position").isNotNull(), cut)
+
+    sites = sites.select(
+        "camID",
+        "hits",
+        F.transform(F.sequence(F.lit(0), F.lit(n)), start_at).alias("starts"),
+        end_cut(F.col("e"), g, (F.col("e"), F.col("study.last"))).alias("end"),
+    )
     hits = sites.select("starts", "end", F.inline("hits"))
     passed = F.lit(1) + thresholds_below(F.col("best"), start, step, n)
     hits = hits.withColumn("passed", passed)
