@@ -12,6 +12,7 @@ from trapgrid.functions.labels import camera_of, prediction_key, study_label
 from trapgrid.functions.text import paste
 from trapgrid.operators.joins import HEAVY_SHARE, first_per_key, left_join
 from trapgrid.operators.ranking import add_dense_code
+from trapgrid.session import checkpointed
 
 # Time zone and place of the studies, under each name they go by.
 _CA = (34.9, -118.7, "US/Pacific")
@@ -98,9 +99,10 @@ def burst_extremes(images: DataFrame, burst: str = "cam_chk_burst") -> DataFrame
 def with_burst_extremes(images: DataFrame, burst: str = "cam_chk_burst") -> DataFrame:
     """Every image with the best and worst confidence of its burst.
 
-    The burst sizes that tell which bursts are heavy come from the same aggregate.
+    The burst sizes that tell which bursts are heavy come from the same aggregate, which is
+    kept in the shared folder because it is read three times.
     """
-    sized = images.groupBy(burst).agg(*_extremes(), F.count("*").alias("_size"))
+    sized = checkpointed(images.groupBy(burst).agg(*_extremes(), F.count("*").alias("_size")))
     total = sized.agg(F.sum("_size")).scalar()
     heavy = sized.where(F.col("_size") > F.greatest(total * HEAVY_SHARE, F.lit(1.0)))
     return left_join(images, sized.drop("_size"), [burst], right_unique=True, heavy=heavy)

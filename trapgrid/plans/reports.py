@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from trapgrid.functions.labels import study_label
 from trapgrid.functions.text import recode
-from trapgrid.operators.aggregates import crosstab, distinct_count, frequency, missing_counts
+from trapgrid.operators.aggregates import crosstab, distinct_count, frequency
+from trapgrid.session import checkpointed
 
 
 def class_names(categories: DataFrame) -> DataFrame:
@@ -53,19 +54,34 @@ def quality_report(predictions: DataFrame, metadata: DataFrame, joined: DataFram
     def rows(df: DataFrame, check: str, column, value) -> DataFrame:
         return df.select(F.lit(check).alias("check"), column.alias("column"), value.cast("long").alias("value"))
 
+    def missing(df: DataFrame, columns: list[str], check: str) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.sum(f"missing_{c}").alias("n")) for c in columns])
+        return rows(df.agg(pairs.alias("pairs")).select(F.inline("pairs")), check, F.col("column"), F.col("n"))
+
+    def missing_per(df: DataFrame) -> list:
+        return [F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in df.columns]
+
+    # Each input is read once; the reports below are made of these small tables.
+    by_study = checkpointed(predictions.groupBy("study").agg(F.count("*").alias("n"), *missing_per(predictions)))
     unread = F.col("DateTimeOriginal").isNotNull() & F.col("photo_time").isNull()
-    facts = joined.agg(
-        F.count_if(F.col("DateTimeOriginal").isNull()).alias("without_metadata"),
-        F.count_if(unread).alias("unreadable_time"),
+    by_length = checkpointed(
+        joined.groupBy(F.char_length("DateTimeOriginal").alias("length")).agg(
+            F.count("*").alias("n"), F.count_if(unread).alias("unread")
+        )
     )
-    twice = metadata.agg((F.count("*") - distinct_count("FileName")).alias("n"))
+    # One row: counts per column and the number of repeated names.
+    whole = metadata.agg(*missing_per(metadata), (F.count("*") - distinct_count("FileName")).alias("twice"))
+    whole = checkpointed(whole)
+    no_text = F.coalesce(F.sum(F.when(F.col("length").isNull(), F.col("n"))), F.lit(0))
+    with_text = by_length.where(F.col("length").isNotNull())
+    time_column = F.lit("DateTimeOriginal")
     parts = [
-        rows(missing_counts(predictions), "missing", F.col("column"), F.col("n_missing")),
-        rows(missing_counts(metadata), "missing_metadata", F.col("column"), F.col("n_missing")),
-        rows(facts, "unmatched", F.lit("DateTimeOriginal"), F.col("without_metadata")),
-        rows(facts, "unreadable", F.lit("DateTimeOriginal"), F.col("unreadable_time")),
-        rows(twice, "duplicates", F.lit("FileName"), F.col("n")),
-        rows(length_table(joined, "DateTimeOriginal"), "length", F.col("length").cast("string"), F.col("n")),
-        rows(frequency(predictions, "study"), "rows", F.col("study"), F.col("n")),
+        missing(by_study, predictions.columns, "missing"),
+        missing(whole, metadata.columns, "missing_metadata"),
+        rows(by_length.agg(no_text.alias("n")), "unmatched", time_column, F.col("n")),
+        rows(by_length.agg(F.sum("unread").alias("n")), "unreadable", time_column, F.col("n")),
+        rows(whole, "duplicates", F.lit("FileName"), F.col("twice")),
+        rows(with_text, "length", F.col("length").cast("string"), F.col("n")),
+        rows(by_study.where(F.col("study").isNotNull()), "rows", F.col("study"), F.col("n")),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -21,6 +21,7 @@ from trapgrid.plans.occupancy import (
     end_cut,
     regular_codes,
 )
+from trapgrid.session import checkpointed
 
 # Species groups of the image sweep (classifier code, None = every image).
 SWEEP_SPECIES = {"all": None, "cattle": 1, "bobcat": 13, "deer": 15, "mountain_lion": 20, "pig": 22}
@@ -119,7 +120,8 @@ def occupancy_sweep(
     _need_time(images, time)
     if start < baseline:
         raise ValueError("thresholds must not be below the baseline")
-    base = cells(images, species, g, time)
+    # Kept in the shared folder: three aggregates below read the cells, the images only once.
+    base = checkpointed(cells(images, species, g, time))
 
     # The columns of the table at each level (0 = baseline): a calendar times the levels
     # bounds these rows and everything made of them.
