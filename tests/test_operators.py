@@ -93,6 +93,20 @@ def test_dense_codes_restart_per_group(spark):
     )
 
 
+def test_row_numbers_of_copies_and_of_nothing(spark):
+    copies = spark.createDataFrame([("a",)] * 50, "v string").repartition(4)
+    assert sorted(r.row_number for r in ranking.with_row_number(copies, ["v"]).collect()) == list(range(1, 51))
+    nothing = spark.createDataFrame([], "v double")
+    assert ranking.with_row_number(nothing, ["v"]).count() == 0
+    assert tuple(ranking.six_numbers(nothing, "v").first()) == (None,) * 6 + (0,)
+
+
+def test_sort_spread(spark):
+    df = spark.createDataFrame([(2, "b"), (None, "c"), (1, "z"), (2, "a")], "k int, v string").repartition(3)
+    got = [tuple(r) for r in ranking.sort_spread(df, F.asc_nulls_last("k")).collect()]
+    assert got == [(1, "z"), (2, "a"), (2, "b"), (None, "c")]
+
+
 @pytest.mark.parametrize("values", [[1, 2, 4, 8], [5], [1, 1, 1, 9], list(range(101))])
 def test_six_numbers(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")

@@ -127,6 +127,26 @@ def test_files(spark, tmp_path):
     assert rows(clean) == [("a/b.jpg", 4, "FL01"), ("a/b.jpg", 4, "FL02")]
 
 
+def test_exported_metadata_keeps_three_columns(spark, tmp_path):
+    (tmp_path / "out.csv").write_text("SourceFile,FileSize,FileName,DateTimeOriginal\nd/a.jpg,9,a.jpg,2015:01:01 00:00:00\n")
+    got = readers.read_exported_metadata(spark, str(tmp_path))
+    assert rows(got) == [("d/a.jpg", "a.jpg", "2015:01:01 00:00:00")]
+
+
+def test_quality_report(spark):
+    preds = predictions(spark, ["a/b/FL/FL-1_1.jpg", "a/b/FL/FL-1_2.jpg", "short.jpg"])
+    meta = spark.createDataFrame(
+        [("d", "FL-1_1.jpg", "0000:00:00 00:00:00"), ("d", "FL-1_1.jpg", None)], schemas.PLAIN_METADATA
+    )
+    joined = preds.select("FileName").join(meta.limit(1).drop("Directory"), "FileName", "left")
+    joined = joined.withColumn("photo_time", F.lit(None).cast("timestamp_ntz"))
+    got = {(r.check, r.column): r.value for r in reports.quality_report(preds, meta, joined).collect()}
+    assert got[("missing", "FileName")] == 1 and got[("missing_metadata", "DateTimeOriginal")] == 1
+    assert got[("unmatched", "DateTimeOriginal")] == 2 and got[("unreadable", "DateTimeOriginal")] == 1
+    assert got[("duplicates", "FileName")] == 1 and got[("length", "19")] == 1
+    assert got[("rows", "FL")] == 2 and got[("rows", "flag")] == 1
+
+
 def test_a_file_with_another_header_is_an_error(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,2\n")
     (tmp_path / "b.csv").write_text("y,x\n1,2\n")

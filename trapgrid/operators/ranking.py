@@ -30,7 +30,9 @@ def with_positions(df: DataFrame, order: list[str], weight: Column | None = None
 def with_row_number(df: DataFrame, order: list[str], name: str = "row_number") -> DataFrame:
     """Row number over the whole table; columns outside `order` break ties."""
     rest = [c for c in df.columns if c not in order]
-    return with_positions(df, [*order, *rest], name=name)
+    # The source partition as last key lets exact copies lie in several ranges.
+    tied = df.withColumn("_tie", F.spark_partition_id())
+    return with_positions(tied, [*order, *rest, "_tie"], name=name).drop("_tie")
 
 
 def row_slice(df: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
@@ -91,5 +93,7 @@ def six_numbers(df: DataFrame, value: str) -> DataFrame:
 
 
 def sort_spread(df: DataFrame, *order: Column) -> DataFrame:
-    """Global sort; the remaining columns break ties, so equal keys can lie in several partitions."""
-    return df.orderBy(*order, *[F.col(c).asc_nulls_last() for c in df.columns])
+    """Global sort; the remaining columns and then the source partition break ties, so that
+    equal keys and even exact copies can lie in several partitions."""
+    rest = [F.col(c).asc_nulls_last() for c in df.columns]
+    return df.withColumn("_tie", F.spark_partition_id()).orderBy(*order, *rest, "_tie").drop("_tie")

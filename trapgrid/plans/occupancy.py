@@ -207,7 +207,8 @@ def mask_inactive(
     ranges = images.groupBy("camID").agg(
         F.min(time).alias("s"), F.max(time).alias("e"), F.min(at).alias("si"), F.max(at).alias("ei")
     )
-    study = _one_row(images.agg(F.min(time).alias("s"), F.min(at).alias("si"), F.max(at).alias("ei")))
+    # All four, so that both uses of the ranges share one shuffle.
+    study = _one_row(ranges.agg(*[f(c).alias(c) for c, f in (("s", F.min), ("e", F.max), ("si", F.min), ("ei", F.max))]))
     cuts = ranges.withColumns({"study": study, "codes": occ.agg(_codes_of(occ)).scalar()})
     cuts = cuts.select(
         "camID",
