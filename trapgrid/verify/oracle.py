@@ -408,9 +408,12 @@ def all_oracles() -> dict[str, str]:
             cast(o_custkey as varchar) as UnkID, case when o_orderkey % 40 > 0 then o_orderstatus end as speciesID from orders) q
         join {PREDS} p on p.FileName = {paste(piece('q.filename', '_', 5), piece('q.filename', '_', 6))}
         where speciesID is not null"""
-    sql["import_conversion"] = f"""select i.camID as camera, concat(i.part, '-', i.line) as ImageID, i.FileName,
+    photo = "concat_ws('_', FileName, cast(line as varchar), cast(part as varchar))"
+    sql["import_conversion"] = f"""select i.camID as camera, concat(i.part, '-', i.line) as ImageID, i.name as FileName,
         o.GUESS1 as Guess1, o.CONFIDENCE1 as Confidence1
-        from {IMAGES} i left join (select * from {IMAGES} j where line = 1) o on o.camID = i.camID and o.FileName = i.FileName"""
+        from (select *, {photo} as name from {IMAGES} i) i left join
+          (select *, case when line < 7 then {photo} else 'unnamed' end as name from {IMAGES} j) o
+          on o.camID = i.camID and o.name = i.name"""
     sql["quality_report"] = f"""{_missing(PREDS, _PRED_COLUMNS, 'missing')} union all
         {_missing(META, _META_COLUMNS, 'missing_metadata')}
         union all select 'unmatched', '{TIME}', count(*) filter (where {TIME} is null) from ({JOINED}) j
@@ -433,5 +436,5 @@ def all_oracles() -> dict[str, str]:
     sql["indexed_export"] = f"select row_number() over (order by camID) as X1, camID, SetDate from {DEPLOY} d"
     sql["partitioned_export"] = f"""select camID as camera, 'check_num=2' as "check", count(*) as n, true as listed
         from {IMAGES} i group by 1"""
-    sql["image_table_parquet"] = f"select FileName, line, CONFIDENCE1 from {IMAGES} i where study = 'FL' and year({TIME}) = 1999"
+    sql["image_table_parquet"] = f"select study, {yr(TIME)} as year, FileName, line, CONFIDENCE1 from {IMAGES} i"
     return sql
