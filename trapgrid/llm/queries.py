@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapgrid.llm import decontaminate, language_id, packing, quality, token_output, url_filter
+from trapgrid.llm import decontaminate, language_id, near_dedup, packing, quality, token_output, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [("com", "/", True), ("example.com", "/en/", False), ("www.example.com", "/en/", True), ("net", "/es/", False), ("net", "/fr/", False)]
@@ -53,6 +53,10 @@ def op6_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
 
 
+def op7_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_benchmark_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.benchmark_hits(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -72,6 +76,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_best_fit_token_matrix": op3_best_fit_token_matrix,
         "op4_line_first_quality": op4_line_first_quality,
         "op6_naive_bayes_language": op6_naive_bayes_language,
+        "op7_chosen_path_near_duplicates": op7_chosen_path_near_duplicates,
         "op10_benchmark_automaton": op10_benchmark_automaton,
     }
 
