@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapgrid.llm import decontaminate, language_id, near_dedup, packing, quality, token_output, url_filter
+from trapgrid.llm import decontaminate, language_id, near_dedup, packing, quality, suffix_dedup, token_output, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [("com", "/", True), ("example.com", "/en/", False), ("www.example.com", "/en/", True), ("net", "/es/", False), ("net", "/fr/", False)]
@@ -47,6 +47,11 @@ def op4_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", *[f"quality.{c}" for c in facts])
 
 
+def op5_prefix_doubling_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.with_language(docs.select("doc_id", "text"), docs.where(fold(5) != 0))
@@ -75,6 +80,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_cost_balanced_packing": op2_cost_balanced_packing,
         "op3_best_fit_token_matrix": op3_best_fit_token_matrix,
         "op4_line_first_quality": op4_line_first_quality,
+        "op5_prefix_doubling_repeats": op5_prefix_doubling_repeats,
         "op6_naive_bayes_language": op6_naive_bayes_language,
         "op7_chosen_path_near_duplicates": op7_chosen_path_near_duplicates,
         "op10_benchmark_automaton": op10_benchmark_automaton,
