@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapgrid.llm import decontaminate, language_id, near_dedup, packing, quality, suffix_dedup, token_output, url_filter
+from trapgrid.llm import decontaminate, language_id, near_dedup, packing, quality, suffix_dedup, token_output, toxicity, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [("com", "/", True), ("example.com", "/en/", False), ("www.example.com", "/en/", True), ("net", "/es/", False), ("net", "/fr/", False)]
@@ -62,6 +62,14 @@ def op7_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    marks = read(spark, sf_dir, "labels").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    labelled = docs.join(marks.where(fold(4) != 2), "doc_id").select(F.col("doc_id").alias("doc"), "label", "text")
+    rated = toxicity.with_toxicity(docs, labelled, docs.select("text"), "score")
+    return rated.select("doc_id", (fold(4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op10_benchmark_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.benchmark_hits(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -83,6 +91,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_prefix_doubling_repeats": op5_prefix_doubling_repeats,
         "op6_naive_bayes_language": op6_naive_bayes_language,
         "op7_chosen_path_near_duplicates": op7_chosen_path_near_duplicates,
+        "op8_noisy_channel_toxicity": op8_noisy_channel_toxicity,
         "op10_benchmark_automaton": op10_benchmark_automaton,
     }
 
