@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapgrid.llm import decontaminate, packing, quality
+from trapgrid.llm import decontaminate, near_dedup, packing, quality, secret_scan
 from trapgrid.llm.frames import free_name, stored
 from trapgrid.llm.queries import read, tokenizer_path
 
@@ -18,6 +18,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.with_quality(docs, name).where(F.col(f"{name}.kept")).drop(name)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id; of repeated rows with that id, one.
+
+    Documents without an id stand for themselves where no document of their group has one.
+    """
+    found = near_dedup.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_kept_rows"))
+    found = stored(found, "near-kept")
+    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept_id")))
+    once = kept.where("_kept_rows = 1 or doc_id is null").select(*docs.columns)
+    repeated = kept.where("_kept_rows > 1 and doc_id is not null")
+    if found.where("_kept_rows > 1 and _kept_id is not null").isEmpty():
+        return once
+    return once.unionByName(repeated.dropDuplicates(["doc_id"]).select(*docs.columns))
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which less than a twentieth of the words stand in passages of benchmark items."""
     name = free_name(docs, "hits")
@@ -25,6 +40,16 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return found.where(~decontaminate.is_contaminated(name)).drop(name)
 
 
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with "[secret]" in the place of each secret; n_chars, where it is a column, follows the new text."""
+    path = "source" if "source" in docs.columns else None
+    secrets = stored(secret_scan.find_secrets(docs, path=path).where("is_secret"), "secrets")
+    clean = secret_scan.without_secrets(docs, secrets)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(F.col("text").contains("[secret]"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return clean
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents, packed into sequences of at most 2048."""
     return packing.packed_pieces(docs, tokenizer_path())
@@ -32,7 +57,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_stage),
+    ("MinHash near-dedup", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secret_stage),
     ("packing", packing_stage),
 ]
 

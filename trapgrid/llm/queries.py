@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapgrid.llm import decontaminate, language_id, near_dedup, packing, quality, suffix_dedup, token_output, toxicity, url_filter
+from trapgrid.llm import decontaminate, language_id, near_dedup, packing, quality, secret_scan, suffix_dedup, token_output, toxicity, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [("com", "/", True), ("example.com", "/en/", False), ("www.example.com", "/en/", True), ("net", "/es/", False), ("net", "/fr/", False)]
@@ -70,6 +70,11 @@ def op8_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", (fold(4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op9_random_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "start", "length", F.sha2(F.col("found").cast("binary"), 256).alias("found_sha256"), "probability", "is_secret")
+
+
 def op10_benchmark_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.benchmark_hits(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -92,6 +97,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_naive_bayes_language": op6_naive_bayes_language,
         "op7_chosen_path_near_duplicates": op7_chosen_path_near_duplicates,
         "op8_noisy_channel_toxicity": op8_noisy_channel_toxicity,
+        "op9_random_forest_secrets": op9_random_forest_secrets,
         "op10_benchmark_automaton": op10_benchmark_automaton,
     }
 
