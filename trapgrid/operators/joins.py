@@ -2,57 +2,93 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapgrid.session import shuffle_partitions
+from trapgrid.session import checkpointed, shuffle_partitions
 
-# A key with more than this share of a table's rows is spread over several tasks. Fewer than
-# 1 / HEAVY_SHARE keys can be that heavy, so the list of them is safe to broadcast.
-HEAVY_SHARE = 2e-4
-_TRACKED = 65_536  # sketch size; its error is at most 3.5 / _TRACKED of the rows
-_SKETCH_GROUPS = 256
-_MAX_SALTS = 256
+# What one salted part of a key may hold, as a share of a task's mean load.
+_PART_OF_TASK = 0.5
+# Keys that a sketch tracks for each key that can be heavy: its error is then a small part of the
+# limit. The function takes a million at most.
+_TRACKED_PER_KEY, _MOST_TRACKED = 16, 1_000_000
 
 
-def _hash(keys: list[str]) -> Column:
-    return F.xxhash64(*[F.col(k) for k in keys])
+def _limit(partitions: int) -> float:
+    """Share of the rows from which on a key is heavy; fewer than its inverse can be."""
+    return max(_PART_OF_TASK / partitions, 2.0 * _TRACKED_PER_KEY / _MOST_TRACKED)
 
 
-def heavy_hashes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Hashes of the keys with more than HEAVY_SHARE of `rows`, fewer than 1 / HEAVY_SHARE rows.
+def _key(keys: list[str]) -> Column:
+    """The keys of a row as one text, which is the same for the same keys only; missing ones count."""
+    columns = [F.col(f"`{k}`") for k in keys]
+    if len(columns) == 1:
+        return F.coalesce(F.concat(F.lit("="), columns[0].cast("string")), F.lit(""))
+    return F.to_json(F.struct(*columns))
+
+
+def _salted(counted: DataFrame, count: Column, total: Column, partitions: int) -> DataFrame:
+    """(_k, _salts) of the keys over the limit, each with as many salts as keep a part below it."""
+    share = count / total
+    heavy = counted.where((share > _limit(partitions)) & (count > 1))
+    return heavy.select("_k", F.ceil(share / _limit(partitions)).cast("long").alias("_salts"))
+
+
+def heavy_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(_k, _salts): the keys that hold more of `rows` than a part of a task's load, and their number of salts.
 
     One pass over the key columns. Each task keeps a sketch of bounded size, and the sketches
-    are merged in two steps, so that neither the keys nor all sketches go through one task.
+    are merged in two steps, so that neither the keys nor all sketches go through one task. The
+    list is kept by a checkpoint: whoever uses it sees the same keys.
     """
-    group = (F.spark_partition_id() % _SKETCH_GROUPS).alias("_g")
-    size = F.lit(_TRACKED)
-    parts = rows.select(group, _hash(keys).alias("_h")).groupBy("_g").agg(
-        F.call_function("approx_top_k_accumulate", F.col("_h"), size).alias("_s"), F.count("*").alias("_n")
+    partitions = shuffle_partitions(rows.sparkSession)
+    most = math.ceil(1 / _limit(partitions))
+    size = F.lit(min(max(_TRACKED_PER_KEY * most, 1024), _MOST_TRACKED))
+    group = (F.spark_partition_id() % math.ceil(math.sqrt(partitions))).alias("_g")
+    parts = rows.select(group, _key(keys).alias("_k")).groupBy("_g").agg(
+        F.call_function("approx_top_k_accumulate", F.col("_k"), size).alias("_s"), F.count("*").alias("_n")
     )
     # Grouped by a constant, so that no rows give no group instead of an empty sketch.
     whole = parts.groupBy(F.lit(0).alias("_all")).agg(
         F.call_function("approx_top_k_combine", F.col("_s"), size).alias("_s"), F.sum("_n").alias("_n")
     )
-    top = F.call_function("approx_top_k_estimate", F.col("_s"), F.lit(int(1 / HEAVY_SHARE)))
-    listed = whole.select(F.explode(top).alias("_top"), "_n")
-    return listed.where(F.col("_top.count") > F.greatest(F.col("_n") * HEAVY_SHARE, F.lit(1.0))).select(
-        F.col("_top.item").alias("_h")
-    )
+    top = F.call_function("approx_top_k_estimate", F.col("_s"), F.lit(most))
+    listed = whole.select(F.explode(top).alias("_top"), "_n").select(F.col("_top.item").alias("_k"), F.col("_top.count").alias("_c"), "_n")
+    return checkpointed(_salted(listed, F.col("_c"), F.col("_n"), partitions))
+
 
+def heavy_of_counts(counted: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """The same list from a table with the exact number of rows of each key."""
+    total = counted.agg(F.sum(count)).scalar()
+    named = counted.withColumn("_k", _key(keys))
+    return checkpointed(_salted(named, F.col(count), total, shuffle_partitions(counted.sparkSession)))
 
-def _row_salt(columns: list[str], salts: int) -> Column:
+
+def _row_salt(columns: list[str], salts: Column) -> Column:
     # Stays the same when a task is run again; splits even rows that are exact copies.
-    return F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in columns]), F.lit(salts))
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in columns]), salts)
 
 
 def _match(on: list[str], prefix: str) -> Column:
     return reduce(and_, [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in on])
 
 
+def _dealt(rows: DataFrame, on: list[str], heavy: DataFrame, name: str, salt_by: list[str] | None) -> DataFrame:
+    """`rows` with the column `name`: by `salt_by` one salt of a heavy key, or without it a row for each; 0 for other keys."""
+    # The list has fewer keys than the inverse of the limit.
+    marked = rows.withColumn("_k", _key(on)).join(F.broadcast(heavy), "_k", "left").drop("_k")
+    zero = F.lit(0).cast("long")
+    if salt_by is not None:
+        salt = F.when(F.col("_salts").isNotNull(), _row_salt(salt_by, F.col("_salts"))).otherwise(zero)
+    else:
+        salt = F.explode(F.when(F.col("_salts").isNotNull(), F.sequence(zero, F.col("_salts") - 1)).otherwise(F.array(zero)))
+    return marked.withColumn(name, salt)
+
+
 def left_join(
     left: DataFrame,
     right: DataFrame,
@@ -64,43 +100,31 @@ def left_join(
     """Left equi-join on equally named columns; missing equals missing; keys come from `left`.
 
     Rows of a key that is heavy on one side are salted there and repeated per salt on the
-    other, so that no task gets them all. `right_unique` says that `right` has one row per
-    key, which saves looking for heavy keys in it. `heavy` gives the heavy keys of `left`
-    (fewer than 1 / HEAVY_SHARE rows) where the caller knows them already. `salt_by` names
+    other, so that no task gets them all. A key has salts by its share of the rows, and all
+    keys together fewer than four for each shuffle partition. `right_unique` says that `right` has one row per
+    key, which saves looking for heavy keys in it. `heavy` gives the heavy keys of `left`, as from
+    heavy_of_counts, where the caller has counted them already. `salt_by` names
     columns of `left` that differ between rows of a key, so that the others need not be read
-    for the salt.
+    for the salt. The lists of heavy keys are made when this is called.
     """
     clash = (set(left.columns) & set(right.columns)) - set(on)
     if clash:
         raise ValueError(f"rename or drop before the join: {sorted(clash)}")
     for c in on:
-        # Salts go by hashes, and equal values of different types hash differently.
+        # Equal values of different types need not have equal texts.
         if left.schema[c].dataType != right.schema[c].dataType:
             raise ValueError(f"{c} is {left.schema[c].dataType} on the left and {right.schema[c].dataType} on the right")
-    salts = min(max(shuffle_partitions(left.sparkSession), 8), _MAX_SALTS)
-    zero = F.lit(0).cast("long")
-    every = F.sequence(zero, F.lit(salts - 1).cast("long"))
-
-    heavy_left = heavy_hashes(left, on) if heavy is None else heavy.select(_hash(on).alias("_h"))
-    heavy_left = heavy_left.distinct().withColumn("_l", F.lit(True))
-    a = left.withColumn("_h", _hash(on)).join(F.broadcast(heavy_left), "_h", "left").drop("_h")
-    a = a.withColumn("_a", F.when(F.col("_l"), _row_salt(salt_by or left.columns, salts)).otherwise(zero)).drop("_l")
-    b = right.withColumn("_h", _hash(on)).join(F.broadcast(heavy_left), "_h", "left").drop("_h")
-    b = b.withColumn("_a", F.explode(F.when(F.col("_l"), every).otherwise(F.array(zero)))).drop("_l")
+    # Both sides are dealt by one list, made once: a row is salted here if and only if it is repeated there.
+    heavy_left = heavy_keys(left, on) if heavy is None else heavy
+    a = _dealt(left, on, heavy_left, "_a", salt_by or left.columns).drop("_salts")
+    b = _dealt(right, on, heavy_left, "_a", None).drop("_salts")
 
     salted = ["_a"]
     if not right_unique:
         # The keys themselves, not hashes: such a key is known to exist in `right`.
-        listed = right.withColumn("_h", _hash(on)).join(F.broadcast(heavy_hashes(right, on)), "_h", "left_semi")
-        heavy_right = F.broadcast(
-            listed.select(*[F.col(c).alias(f"_heavy_{c}") for c in on]).distinct().withColumn("_r", F.lit(True))
-        )
-        gone = [f"_heavy_{c}" for c in on]
-        a = a.join(heavy_right, _match(on, "_heavy_"), "left").drop(*gone)
-        a = a.withColumn("_b", F.explode(F.when(F.col("_r"), every).otherwise(F.array(zero))))
-        b = b.join(heavy_right, _match(on, "_heavy_"), "left").drop(*gone)
-        b = b.withColumn("_b", F.when(F.col("_r"), _row_salt(right.columns, salts)).otherwise(zero)).drop("_r")
-        b = b.withColumn("_hit", F.lit(True))
+        heavy_right = heavy_keys(right, on)
+        a = _dealt(a, on, heavy_right, "_b", None).withColumnRenamed("_salts", "_r")
+        b = _dealt(b, on, heavy_right, "_b", right.columns).drop("_salts").withColumn("_hit", F.lit(True))
         salted.append("_b")
 
     b = b.withColumnsRenamed({c: f"_right_{c}" for c in [*on, *salted]})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trapgrid.functions.clock import calendar_parts, parse_photo_time, to_utc
 from trapgrid.functions.labels import camera_of, prediction_key, study_label
 from trapgrid.functions.text import paste
-from trapgrid.operators.joins import HEAVY_SHARE, first_per_key, left_join
+from trapgrid.operators.joins import first_per_key, heavy_of_counts, left_join
 from trapgrid.operators.ranking import add_dense_code
 from trapgrid.session import checkpointed
 
@@ -60,7 +60,7 @@ def image_table(
     """Labelled predictions joined to metadata on FileName, dated rows only, with calendar parts.
 
     `study` comes from the predictions. DateTimeOriginal becomes the wall clock of the camera
-    and DateTimeUTC the instant by the study's zone. `complete_only` drops rows with any
+    and DateTimeUTC the instant by the study's zone, null for a study whose zone is not known. `complete_only` drops rows with any
     missing value before dates are read.
     """
     right = metadata.drop(*[c for c in metadata.columns if c in predictions.columns and c != "FileName"])
@@ -69,7 +69,7 @@ def image_table(
         joined = joined.dropna("any")
     wall = parse_photo_time(F.col("DateTimeOriginal"))
     dated = joined.withColumn("DateTimeOriginal", wall).where(F.col("DateTimeOriginal").isNotNull())
-    zone = F.coalesce(site_value(F.col("study"), 2), F.lit("UTC"))
+    zone = site_value(F.col("study"), 2)
     return dated.withColumns(
         {
             "camID": camera_of(F.col("FileName")),
@@ -103,6 +103,5 @@ def with_burst_extremes(images: DataFrame, burst: str = "cam_chk_burst") -> Data
     kept in the shared folder because it is read three times.
     """
     sized = checkpointed(images.groupBy(burst).agg(*_extremes(), F.count("*").alias("_size")))
-    total = sized.agg(F.sum("_size")).scalar()
-    heavy = sized.where(F.col("_size") > F.greatest(total * HEAVY_SHARE, F.lit(1.0)))
+    heavy = heavy_of_counts(sized, [burst], "_size")
     return left_join(images, sized.drop("_size"), [burst], right_unique=True, heavy=heavy)
