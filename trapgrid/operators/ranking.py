@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,43 +12,66 @@ from trapgrid.operators.joins import left_join
 from trapgrid.session import checkpointed, shuffle_partitions
 
 
-def with_positions(df: DataFrame, order: list[str], weight: Column | None = None, name: str = "pos") -> DataFrame:
-    """Adds the running total of `weight` (default 1, a row number) over the global order.
+def _ranged(df: DataFrame, order: list[str], weight: Column | None) -> tuple[DataFrame, DataFrame]:
+    """(rows, starts): `df` in the global order with `_part`, `_place` (in the partition, from 0) and `_w`,
+    and for each partition what comes before it (`_start`) and its `_total`.
 
-    Rows are range-partitioned, kept that way by a checkpoint, and numbered per partition on
-    top of the totals of the partitions before. `order` must be unique per row.
+    Rows are range-partitioned, sorted there and kept that way by a checkpoint, so that the row
+    ids, which count up in each partition, give the places without another shuffle.
     """
     weight = F.lit(1).cast("long") if weight is None else weight.cast("long")
-    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *[F.col(c) for c in order])
-    ranged = checkpointed(ranged.withColumns({"_part": F.spark_partition_id(), "_w": weight}))
+    columns = [F.col(c) for c in order]
+    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *columns).sortWithinPartitions(*columns)
+    ranged = checkpointed(ranged.withColumn("_w", weight)).withColumn("_id", F.monotonically_increasing_id())
+    placed = ranged.withColumns({"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
     # One row per partition, so this window is as small as the partition count.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_part").agg(F.sum("_w").alias("_total"))
-    starts = totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.sum("_w").over(inside))
-    return out.select(*df.columns, name)
+    totals = placed.groupBy("_part").agg(F.sum("_w").alias("_total"))
+    return placed, totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"), "_total")
+
+
+def with_positions(df: DataFrame, order: list[str], weight: Column | None = None, name: str = "pos") -> DataFrame:
+    """Adds the running total of `weight` (default 1, a row number) over the global order.
+
+    `order` must be unique per row. Only weights other than 1 need a window in each partition.
+    """
+    placed, starts = _ranged(df, order, weight)
+    out = placed.join(F.broadcast(starts.drop("_total")), "_part")
+    inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("_place") + 1 if weight is None else F.sum("_w").over(inside)
+    return out.withColumn(name, F.col("_start") + upto).select(*df.columns, name)
+
+
+def _with_ties(df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
+    # The source partition as last key lets exact copies lie in several ranges.
+    rest = [c for c in df.columns if c not in order]
+    return df.withColumn("_tie", F.spark_partition_id()), [*order, *rest, "_tie"]
 
 
 def with_row_number(df: DataFrame, order: list[str], name: str = "row_number") -> DataFrame:
     """Row number over the whole table; columns outside `order` break ties."""
-    rest = [c for c in df.columns if c not in order]
-    # The source partition as last key lets exact copies lie in several ranges.
-    tied = df.withColumn("_tie", F.spark_partition_id())
-    return with_positions(tied, [*order, *rest, "_tie"], name=name).drop("_tie")
+    tied, keys = _with_ties(df, order)
+    return with_positions(tied, keys, name=name).drop("_tie")
 
 
 def row_slice(df: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
-    """Rows number `first` to `last` (from 1, inclusive) of the ordered table."""
-    numbered = with_row_number(df, order, "_row")
-    return numbered.where(F.col("_row").between(first, last)).drop("_row")
+    """Rows number `first` to `last` (from 1, inclusive) of the ordered table.
+
+    Rows of the other ranges are dropped by the partition totals, before anything is numbered.
+    """
+    placed, starts = _ranged(*_with_ties(df, order), None)
+    wanted = starts.where((F.col("_start") < last) & (F.col("_start") + F.col("_total") >= first)).drop("_total")
+    number = F.col("_start") + F.col("_place") + 1
+    return placed.join(F.broadcast(wanted), "_part").where(number.between(first, last)).select(*df.columns)
 
 
 def dense_codes(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
     """Distinct (group, value) pairs with the value's rank among its group's values, from 1."""
     placed = with_positions(df.select(*group, value).where(F.col(value).isNotNull()).distinct(), [*group, value])
-    lowest = placed.groupBy(*group).agg(F.min("pos").alias("_lowest"))
-    joined = left_join(placed, lowest, group, right_unique=True)
+    lowest = placed.groupBy(*group).agg(F.min("pos").alias("_lowest")).withColumnsRenamed({c: f"_of_{c}" for c in group})
+    # One row per group on the right, so that adaptive execution can split a large group on the left.
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group])
+    joined = placed.join(lowest, same)
     return joined.select(*group, value, (F.col("pos") - F.col("_lowest") + 1).cast("int").alias(name))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trapgrid.session import checkpointed
+
 
 def interval_label(time_int: str) -> Column:
     """Name of a wide column, such as 2015_week_7."""
@@ -14,8 +16,10 @@ def interval_label(time_int: str) -> Column:
 def widen(occ: DataFrame, time_int: str) -> DataFrame:
     """One row per camera, one column per year and interval in calendar order.
 
-    The column list is collected first; a calendar bounds it (12, 53 or 366 per year).
+    The long table is kept in the shared folder, so that its plan runs once; the column list comes from
+    there, and a calendar bounds it (12, 53 or 366 per year).
     """
+    occ = checkpointed(occ)
     intervals = occ.select("year", "interval").distinct().orderBy("year", "interval").collect()
     labels = [f"{r.year}_{time_int}_{r.interval}" for r in intervals]
     labelled = occ.select("camID", interval_label(time_int).alias("label"), "occ")
@@ -34,14 +38,3 @@ def lengthen(wide: DataFrame) -> DataFrame:
 
 def title_case_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.capitalize() for c in df.columns])
-
-
-def drop_position(df: DataFrame, position: int) -> DataFrame:
-    """Without the column at `position` (from 1)."""
-    return df.drop(df.columns[position - 1])
-
-
-def rename_position(df: DataFrame, position: int, name: str) -> DataFrame:
-    names = list(df.columns)
-    names[position - 1] = name
-    return df.toDF(*names)

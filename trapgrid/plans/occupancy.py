@@ -259,7 +259,10 @@ def occupancy(
             }
         )
     else:
-        rows = rows.withColumns({"start": F.lit(None).cast("int"), "end": F.lit(None).cast("int")})
+        # Never set: no camera's first photo comes after its last. Both are named so that this aggregate
+        # stays the one that the study's limits share, and the images are read once.
+        never = F.when(F.col("s") > F.col("e"), F.lit(0))
+        rows = rows.withColumns({"start": never, "end": never})
     hits = F.coalesce("hits", F.array().cast("array<int>"))
 
     def value(occ: int):
