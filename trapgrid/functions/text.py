@@ -37,6 +37,12 @@ def last_suffix(text: Column, sep: str = "_") -> Column:
     return F.substring_index(text, sep, -1)
 
 
+def title_case(text: Column) -> Column:
+    """Each word with a capital and the rest small; words end at anything but letters, digits, `_`, `.` and `'`."""
+    edge = r"(?<=[^\p{L}\p{N}_.'])|(?=[^\p{L}\p{N}_.'])"
+    return F.array_join(F.transform(F.split(text, edge), F.initcap), "")
+
+
 def count_char(text: Column, char: str) -> Column:
     return F.char_length(text) - F.char_length(F.replace(text, F.lit(char), F.lit("")))
 

@@ -43,16 +43,18 @@ def add_database_names(images: DataFrame) -> DataFrame:
     return images.join(codes, F.col("GUESS1") == F.col("ml_code"), "left").drop("ml_code")
 
 
-def merge_photo_db(export: DataFrame, predictions: DataFrame) -> DataFrame:
+def merge_photo_db(export: DataFrame, predictions: DataFrame, predictions_unique: bool = False) -> DataFrame:
     """Database export keyed by file name, left-joined to predictions, complete rows only.
 
+    `predictions_unique` says that they have one row per file name, which saves a pass over them.
+
     The row-number and directory columns of the predictions are dropped afterwards, so a row
     that lacks one of them is not complete either.
     """
     left = export.select(
         F.col("filename").alias("old_filename"), "UnkID", "speciesID", photo_db_key(F.col("filename")).alias("filename")
     )
-    merged = left_join(left, predictions, ["filename"]).dropna("any")
+    merged = left_join(left, predictions, ["filename"], predictions_unique).dropna("any")
     return merged.drop("X1", "Directory")
 
 
@@ -67,21 +69,29 @@ def clean_classifier_output(output: DataFrame) -> DataFrame:
     )
 
 
-def to_import(output: DataFrame, import_table: DataFrame) -> DataFrame:
-    """The import table with the classifier's guesses, for all cameras of a check at once."""
+def to_import(output: DataFrame, import_table: DataFrame, output_unique: bool = False) -> DataFrame:
+    """The import table with the classifier's guesses, for all cameras of a check at once.
+
+    `output_unique` says that the output has one row per camera and file name, which saves a pass over it.
+    """
     ids = import_table.select("camera", "ImageID", "FileName")
-    return left_join(ids, clean_classifier_output(output), ["camera", "FileName"])
+    return left_join(ids, clean_classifier_output(output), ["camera", "FileName"], output_unique, salt_by=["ImageID"])
 
 
 def deployment_table(
     images: DataFrame, set_dates: DataFrame, overrides: dict[str, object], time: str = "DateTimeOriginal"
 ) -> DataFrame:
-    """Each camera with the date of its last photo and its set date; `overrides` come last."""
+    """Each camera with the date of its last photo and its set date; `overrides` come last.
+
+    Photos without a camera get the set date that has no camera either.
+    """
     last = images.groupBy("camID").agg(F.to_date(F.max(time)).alias("end_date"))
     dates = set_dates.select(
-        strip_spaces(F.col("camID")).alias("camID"), parse_set_date(F.col("SetDate")).alias("SetDate")
+        strip_spaces(F.col("camID")).alias("_site"), parse_set_date(F.col("SetDate")).alias("SetDate")
     )
-    return override(last.join(dates, "camID", "left"), "camID", "SetDate", overrides)
+    # Both have about one row per camera.
+    joined = last.join(dates, F.col("camID").eqNullSafe(F.col("_site")), "left").drop("_site")
+    return override(joined, "camID", "SetDate", overrides)
 
 
 def file_manifest(wanted: DataFrame, listing: DataFrame, depth: int) -> DataFrame:

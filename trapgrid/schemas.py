@@ -23,4 +23,3 @@ CLEAN_OUTPUT = (
     + ", ".join(f"confidence{i} double" for i in range(1, 6))
 )
 IMPORT_TABLE = "ImageID string, FileName string"
-OCCUPANCY = "camID string, year int, interval int, occ int"

@@ -1,29 +1,82 @@
-"""CSV scans with explicit schemas, and file listings."""
+"""CSV scans with explicit schemas, and file listings.
+
+Files are read as the field teams' tools write them: a quote inside a quoted field is doubled, an empty
+field and the text NA are missing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trapgrid import schemas
 
-
-def _by_name(spark: SparkSession, path, schema: str, *extra: Column, **options) -> DataFrame:
-    # A file whose header differs from the first one's is an error, not a silent shift.
-    lines = spark.read.options(header=True, enforceSchema=False, **options).csv(path)
-    fields = spark.createDataFrame([], schema).schema.fields
-    return lines.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields], *extra)
-
-
-def read_table(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """CSV files with a header line. Columns are found by name, whatever their place; further
-    columns of the files are left out."""
-    return _by_name(spark, path, schema)
+_QUOTES = {"quote": '"', "escape": '"'}
+_MISSING = ("", "NA")
+
+
+def _fields(spark: SparkSession, schema: str) -> list[T.StructField]:
+    return spark.createDataFrame([], schema).schema.fields
+
+
+def _typed(text: Column, field: T.StructField) -> Column:
+    return F.when(~text.isin(*_MISSING), text).try_cast(field.dataType).alias(field.name)
+
+
+def _headers(spark: SparkSession, path, **options) -> DataFrame:
+    """(file, names): the header line of each file."""
+    lines = spark.read.options(**options).text(path)
+    first = lines.where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+    header = first.groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    clean = F.regexp_replace("line", "^\\uFEFF|\\r$", "")
+    # The same CSV rules for the header as for the rows: as many columns as it can have commas.
+    return header.select("file", F.transform(F.split(clean, ',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda x: F.replace(F.trim(x, F.lit('"')), F.lit('""'), F.lit('"'))).alias("names"))
+
+
+def _by_name(spark: SparkSession, path, schema: str, *extra: Column, one_header: bool = False, **options) -> DataFrame:
+    """Rows of the files at `path` with the columns of `schema`, found by name in each file's own header.
+
+    The headers are looked at first. If all files have one, which is what `one_header` vouches
+    for, columns go by place; otherwise each row is matched with the header of its file. A file without one of the columns is an error.
+    """
+    fields = _fields(spark, schema)
+    if one_header:
+        lines = spark.read.options(header=True, enforceSchema=False, **_QUOTES, **options).csv(path)
+        return lines.select(*[_typed(F.col(f"`{f.name}`"), f) for f in fields], *extra)
+    headers = _headers(spark, path, **options)
+    # A few different headers, however many files.
+    kinds = [r.names for r in headers.select("names").distinct().limit(1000).collect()]
+    for names in kinds:
+        absent = [f.name for f in fields if f.name not in names]
+        if absent:
+            raise ValueError(f"a file with the columns {names} lacks {absent}")
+    width = max(map(len, kinds), default=len(fields))
+    places = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+    lines = spark.read.schema(places).options(header=True, **_QUOTES, **options).csv(path)
+    if len(kinds) <= 1:
+        place = {n: i for i, n in reversed(list(enumerate(kinds[0])))} if kinds else {f.name: i for i, f in enumerate(fields)}
+        return lines.select(*[_typed(F.col(f"_c{place[f.name]}"), f) for f in fields], *extra)
+    wanted = F.array(*[F.array_position("names", f.name).cast("int") - 1 for f in fields])
+    own = headers.select(F.col("file").alias("_file"), wanted.alias("_places"))
+    rows = lines.select(F.array(*places.names).alias("_row"), F.col("_metadata.file_path").alias("_path"), *extra)
+    joined = rows.join(own, F.col("_path") == F.col("_file"))
+    given = [c for c in joined.columns if c not in ("_row", "_path", "_file", "_places")]
+    return joined.select(*[_typed(F.get("_row", F.get("_places", F.lit(i))), f) for i, f in enumerate(fields)], *given)
+
+
+def read_table(spark: SparkSession, path: str | list[str], schema: str, one_header: bool = False) -> DataFrame:
+    """CSV files with a header line. Columns are found by name, whatever their place, which may differ from file to file;
+    further columns of the files are left out."""
+    return _by_name(spark, path, schema, one_header=one_header)
 
 
 def read_headerless(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """CSV files without a header line, columns by place."""
-    return spark.read.schema(schema).option("header", False).csv(path)
+    fields = _fields(spark, schema)
+    places = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
+    lines = spark.read.schema(places).options(header=False, **_QUOTES).csv(path)
+    return lines.select(*[_typed(F.col(f"`{f.name}`"), f) for f in fields])
 
 
 def file_name(path: Column) -> Column:
@@ -36,10 +89,23 @@ def read_metadata_folder(spark: SparkSession, folder: str, schema: str = schemas
     return _by_name(spark, folder, schema, source, recursiveFileLookup=True)
 
 
+def _below(root: str) -> Column:
+    """The path of a row's file below `root`."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(path, "^.*?" + _literal(root.rstrip("/").split(":", 1)[-1]) + "/", "")
+
+
 def read_camera_folders(spark: SparkSession, root: str, pattern: str, schema: str) -> DataFrame:
-    """One folder per camera under `root`; the folder name is the camera."""
-    camera = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("camera")
-    return _by_name(spark, f"{root.rstrip('/')}/*/{pattern}", schema, camera)
+    """Files `pattern` in the folders below `root`: one folder per camera, and in it, where there are any, one per check.
+
+    `camera` is the name of the folder below `root`, `check_num` that of the one in it (null without); in
+    both a name as in camera=FL01 counts by what follows the sign.
+    """
+    parts = F.split(_below(root), "/")
+    camera = F.regexp_replace(F.get(parts, F.lit(0)), "^camera=", "").alias("camera")
+    check = F.when(F.size(parts) > 2, F.regexp_replace(F.get(parts, F.lit(1)), "^check_num=", "")).alias("check_num")
+    # Without a base path Spark would take names with a sign for columns of its own.
+    return _by_name(spark, root, schema, camera, check, recursiveFileLookup=True, pathGlobFilter=pattern)
 
 
 def read_exported_metadata(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -47,8 +113,19 @@ def read_exported_metadata(spark: SparkSession, path: str | list[str]) -> DataFr
     return read_table(spark, path, schemas.EXPORTED_METADATA)
 
 
+def read_listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, length) from listing files, one path and, after a tab, its length per line, as the inventory of a store
+    or a recursive listing gives them. A table like any other: tasks read it, whatever the number of files listed."""
+    lines = spark.read.schema("path string, length long").options(sep="\t", quote="", header=False).csv(path)
+    return lines.where(F.col("path").isNotNull())
+
+
 def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(path, length) of the files below `folder`; paths are relative to it, contents are not read."""
+    """(path, length) of the files below `folder`; paths are relative to it, contents are not read.
+
+    The driver keeps the index of the files, so this is for folders of up to some hundred
+    thousand; for a whole store of photos use read_listing.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
     relative = F.regexp_replace("path", "^.*?" + _literal(folder.rstrip("/").split(":", 1)[-1]) + "/", "")
     return files.select(relative.alias("path"), "length")

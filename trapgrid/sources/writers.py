@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from trapgrid.operators.ranking import with_row_number
 
+# Quotes inside a field are doubled and missing values are written as NA, as the readers expect.
+_FORM = {"header": True, "quote": '"', "escape": '"', "nullValue": "NA"}
+
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with a header line and no row index."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header line and no row index; missing values as NA."""
+    df.write.mode(mode).options(**_FORM).csv(path)
 
 
 def write_indexed(df: DataFrame, path: str, order: list[str], mode: str = "errorifexists") -> None:
@@ -25,8 +28,13 @@ def write_image_table(df: DataFrame, path: str, mode: str = "errorifexists") ->
     even.write.mode(mode).partitionBy("study", "year").parquet(path)
 
 
+def write_listing(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """(path, length) as listing files, which read_listing reads."""
+    df.select("path", "length").write.mode(mode).options(sep="\t", quote="", header=False).csv(path)
+
+
 def write_per_camera(df: DataFrame, path: str, check_num: int, mode: str = "errorifexists") -> None:
     """One folder per camera and check below `path`."""
     # Rebalancing puts a camera's rows together but still splits one that is too large.
     out = df.withColumn("check_num", F.lit(check_num)).hint("rebalance", "camera")
-    out.write.mode(mode).option("header", True).partitionBy("camera", "check_num").csv(path)
+    out.write.mode(mode).options(**_FORM).partitionBy("camera", "check_num").csv(path)
