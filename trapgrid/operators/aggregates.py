@@ -34,12 +34,12 @@ def duplicate_count(value: str) -> Column:
     return F.count("*") - distinct_count(value)
 
 
-def histogram(df: DataFrame, value: str, low: float, width: float) -> DataFrame:
-    """(bin, n) for equal-width bins from `low`, closed on the right; bin 1 also holds `low`."""
-    number = F.greatest(F.ceil((F.col(value) - F.lit(low)) / F.lit(width)), F.lit(1)).cast("int")
-    return df.where(F.col(value).isNotNull()).groupBy(number.alias("bin")).agg(F.count("*").alias("n"))
-
-
-def share(condition: Column) -> Column:
-    """Part of the rows for which `condition` holds."""
-    return F.count_if(condition).cast("double") / F.count("*")
+def histogram(df: DataFrame, value: str, low: float, width: float, n: int) -> DataFrame:
+    """(bin, n) of `n` equal-width bins from `low`, empty ones too. Bins are closed on the right, and bin 1
+    also holds `low`. The row without a bin counts the values outside all bins; missing values are left out."""
+    number = F.greatest(F.ceil((F.col(value) - F.lit(low)) / F.lit(width)), F.lit(1))
+    inside = (F.col(value) >= F.lit(low)) & (number <= n) & ~F.isnan(value)
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.when(inside, number).cast("int").alias("_bin")).agg(F.count("*").alias("n"))
+    bins = df.sparkSession.createDataFrame([(i,) for i in [None, *range(1, n + 1)]], "bin int")
+    joined = bins.join(counts, F.col("bin").eqNullSafe(F.col("_bin")), "left")
+    return joined.select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

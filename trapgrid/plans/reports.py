@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trapgrid.functions.labels import study_label
 from trapgrid.functions.text import recode
-from trapgrid.operators.aggregates import crosstab, distinct_count, frequency
+from trapgrid.operators.aggregates import distinct_count, frequency
 from trapgrid.session import checkpointed
 
 
@@ -32,10 +32,15 @@ def species_tally(results: DataFrame, categories: DataFrame, tag_label: str = "C
 
 
 def camera_year_coverage(images: DataFrame, time: str = "DateTimeOriginal") -> DataFrame:
-    """Photos per camera and year, zero cells included. Years are collected; a calendar bounds them."""
-    dated = images.where(F.col(time).isNotNull()).select("camID", F.year(time).alias("year"))
-    years = [r.year for r in dated.select("year").distinct().orderBy("year").collect()]
-    return crosstab(dated, "camID", "year", years)
+    """Photos per camera and year, zero cells included.
+
+    The images are counted once; years, which a calendar bounds, and cells come from the kept counts.
+    """
+    counts = images.where(F.col(time).isNotNull()).groupBy("camID", F.year(time).alias("year")).agg(F.count("*").alias("n"))
+    counts = checkpointed(counts)
+    years = [r.year for r in counts.select("year").distinct().orderBy("year").collect()]
+    wide = counts.groupBy("camID").pivot("year", years).agg(F.sum("n"))
+    return wide.na.fill(0, [str(y) for y in years])
 
 
 def length_table(df: DataFrame, column: str) -> DataFrame:
@@ -45,10 +50,12 @@ def length_table(df: DataFrame, column: str) -> DataFrame:
 
 
 def quality_report(predictions: DataFrame, metadata: DataFrame, joined: DataFrame) -> DataFrame:
-    """(check, column, value): missing values, rows without metadata, duplicate file names,
-    times that cannot be read, text lengths and rows per study.
+    """(check, column, value): missing values, rows without metadata (unmatched), with metadata but without
+    a time (undated), duplicate file names, times that cannot be read, text lengths and rows per study,
+    and the rows that a missing name on both sides has joined (nameless).
 
-    `joined` is the left join of the two, with the parsed time in `photo_time`.
+    `joined` is the left join of the two, with the parsed time in `photo_time` and `found`, which is
+    true where there was metadata and missing elsewhere.
     """
 
     def rows(df: DataFrame, check: str, column, value) -> DataFrame:
@@ -66,20 +73,26 @@ def quality_report(predictions: DataFrame, metadata: DataFrame, joined: DataFram
     unread = F.col("DateTimeOriginal").isNotNull() & F.col("photo_time").isNull()
     by_length = checkpointed(
         joined.groupBy(F.char_length("DateTimeOriginal").alias("length")).agg(
-            F.count("*").alias("n"), F.count_if(unread).alias("unread")
+            F.count("*").alias("n"),
+            F.count_if(unread).alias("unread"),
+            F.count_if(F.col("found").isNull()).alias("unmatched"),
+            F.count_if(F.col("found") & F.col("DateTimeOriginal").isNull()).alias("undated"),
+            F.count_if(F.col("found") & F.col("FileName").isNull()).alias("nameless"),
         )
     )
     # One row: counts per column and the number of repeated names.
     whole = metadata.agg(*missing_per(metadata), (F.count("*") - distinct_count("FileName")).alias("twice"))
     whole = checkpointed(whole)
-    no_text = F.coalesce(F.sum(F.when(F.col("length").isNull(), F.col("n"))), F.lit(0))
+    sums = by_length.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("unread", "unmatched", "undated", "nameless")])
     with_text = by_length.where(F.col("length").isNotNull())
     time_column = F.lit("DateTimeOriginal")
     parts = [
         missing(by_study, predictions.columns, "missing"),
         missing(whole, metadata.columns, "missing_metadata"),
-        rows(by_length.agg(no_text.alias("n")), "unmatched", time_column, F.col("n")),
-        rows(by_length.agg(F.sum("unread").alias("n")), "unreadable", time_column, F.col("n")),
+        rows(sums, "unmatched", F.lit("FileName"), F.col("unmatched")),
+        rows(sums, "undated", time_column, F.col("undated")),
+        rows(sums, "nameless", F.lit("FileName"), F.col("nameless")),
+        rows(sums, "unreadable", time_column, F.col("unread")),
         rows(whole, "duplicates", F.lit("FileName"), F.col("twice")),
         rows(with_text, "length", F.col("length").cast("string"), F.col("n")),
         rows(by_study.where(F.col("study").isNotNull()), "rows", F.col("study"), F.col("n")),

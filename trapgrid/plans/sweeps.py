@@ -7,7 +7,7 @@ sum over at most a hundred counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trapgrid.functions.clock import elapsed, grain
@@ -49,22 +49,31 @@ def thresholds_below(value: Column, start: float, step: float, n: int) -> Column
     return F.when(clean.isNull(), 0).otherwise(count).cast("int")
 
 
-def _curve(counts: DataFrame, group: list[str], start: float, step: float, n: int) -> DataFrame:
-    """(group, threshold, kept, total) from counts per number of passed thresholds.
+def _grid(spark: SparkSession, n: int, names: list[str] | None = None) -> DataFrame:
+    """(i) for the numbers below `n`, for each of the names if there are any. A few hundred rows."""
+    numbers = spark.range(n).select(F.col("id").cast("int").alias("i"))
+    return numbers if names is None else numbers.select(F.explode(F.array(*map(F.lit, names))).alias("species"), "i")
 
-    `counts` has at most n + 1 rows per group.
+
+def _curve(counts: DataFrame, names: list[str] | None, start: float, step: float, n: int) -> DataFrame:
+    """(species, threshold, kept, total) from counts per number of passed thresholds; without names for one curve.
+
+    `counts` has at most n + 1 rows per name. Every name has all thresholds: where nothing was
+    counted, 0 of 0 are kept and the share is missing.
     """
+    group = [] if names is None else ["species"]
     spread = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     summed = spread.groupBy(*group, "i").agg(
         F.sum(F.when(F.col("k") > F.col("i"), F.col("n")).otherwise(0)).alias("kept"), F.sum("n").alias("total")
     )
+    summed = _grid(counts.sparkSession, n, names).join(summed, [*group, "i"], "left").fillna(0, ["kept", "total"])
     threshold = F.lit(start) + F.col("i").cast("double") * F.lit(step)
     return summed.select(
         *group,
         threshold.alias("threshold"),
         "kept",
         "total",
-        (F.col("kept").cast("double") / F.col("total")).alias("prop_retained"),
+        F.when(F.col("total") > 0, F.col("kept").cast("double") / F.col("total")).alias("prop_retained"),
     )
 
 
@@ -84,7 +93,7 @@ def image_retention(
         F.when(F.lit(True) if code is None else F.col("guess") == code, F.lit(name)) for name, code in groups.items()
     ]
     named = counts.withColumn("species", F.explode(F.array_compact(F.array(*labels))))
-    return _curve(named.select("species", "k", "n"), ["species"], start, step, n)
+    return _curve(named.select("species", "k", "n"), list(groups), start, step, n)
 
 
 def burst_retention(
@@ -96,7 +105,7 @@ def burst_retention(
     """
     bursts = images.where(F.col("GUESS1") == species).groupBy("cam_chk_burst").agg(F.max("CONFIDENCE1").alias("b_max"))
     counts = bursts.groupBy(thresholds_below(F.col("b_max"), start, step, n).alias("k")).agg(F.count("*").alias("n"))
-    return _curve(counts, [], start, step, n)
+    return _curve(counts, None, start, step, n)
 
 
 def occupancy_sweep(
@@ -165,7 +174,7 @@ def occupancy_sweep(
     )
     late = elapsed(F.col("s"), F.col("study.first"), g.name)
     sites = sites.withColumn("position", F.when(F.abs(late) > 1, F.rint(late).cast("int")))
-    sites = sites.join(F.broadcast(at_position), "position", "left").withColumns(
+    sites = sites.join(at_position, "position", "left").withColumns(
         {"start_yr": F.year("s"), "start_code": g.code(F.col("s"))}
     )
 
@@ -205,9 +214,10 @@ def occupancy_sweep(
     entries = F.when(same, F.when(keeps(F.get("starts", F.lit(0))), entry).otherwise(none)).otherwise(pieces)
     counts = hits.select(F.inline(entries)).groupBy("k").agg(F.sum("n").alias("n"))
 
-    # At most n + 2 counts from here on.
+    # At most n + 2 counts from here on; every threshold has a row, also where nothing is seen.
     spread = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n))))
     totals = spread.groupBy("i").agg(F.sum(F.when(F.col("k") > F.col("i"), F.col("n")).otherwise(0)).alias("total"))
+    totals = _grid(images.sparkSession, n + 1).join(totals, "i", "left").fillna(0, ["total"])
     at_base = totals.where(F.col("i") == 0).select("total").scalar()
     threshold = F.lit(start) + (F.col("i") - 1).cast("double") * F.lit(step)
     changed = F.col("base") - F.col("total")
@@ -218,6 +228,6 @@ def occupancy_sweep(
             threshold.alias("threshold"),
             F.col("total").alias("occ_total"),
             changed.alias("occ_int_changed"),
-            (changed.cast("double") / F.col("base")).alias("prop_changed"),
+            F.when(F.col("base") > 0, changed.cast("double") / F.col("base")).alias("prop_changed"),
         )
     )
