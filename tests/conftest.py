@@ -12,9 +12,9 @@ from trapgrid.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "trapgrid-tests",
-        "local[8]",
+        "local[4]",
         **{
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",

@@ -138,8 +138,6 @@ def test_day_or_night(spark):
 def test_column_names(spark):
     df = spark.createDataFrame([(1, 2, 3)], "guess1 int, fileName int, x int")
     assert reshape.title_case_names(df).columns == ["Guess1", "Filename", "X"]
-    assert reshape.drop_position(df, 2).columns == ["guess1", "x"]
-    assert reshape.rename_position(df, 3, "y").columns == ["guess1", "fileName", "y"]
 
 
 def test_grain_guard():

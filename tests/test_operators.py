@@ -55,8 +55,44 @@ def test_left_join_on_two_keys_and_name_clash(spark):
 
 def test_heavy_keys_are_the_frequent_ones(spark):
     df = spark.createDataFrame([("h",)] * 30_000 + [(str(i),) for i in range(40_000)], "key string")
-    want = spark.createDataFrame([("h",)], "key string").select(F.xxhash64("key"))
-    assert rows(joins.heavy_hashes(df, ["key"])) == rows(want)
+    listed = joins.heavy_keys(df, ["key"]).collect()
+    assert [r._k for r in listed] == ["=h"]
+    # A third of the rows and more, in parts of half a task's load each.
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert listed[0]._salts == pytest.approx(3 / 7 * 2 * partitions, abs=1.5)
+
+
+def test_salts_follow_the_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    df = spark.createDataFrame([("h",)] * 900 + [("k",)] * 90 + [(str(i),) for i in range(10)], "key string")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        salts = {r._k: r._salts for r in joins.heavy_keys(df, ["key"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 1750 <= salts["=h"] <= 1850 and 170 <= salts["=k"] <= 190
+
+
+def test_left_join_beyond_the_sketch_without_shared_exchanges(spark):
+    """More keys than a sketch tracks, hot and missing keys on both sides, each exchange run on its own."""
+    left = [(f"k{i}", i) for i in range(6000)] + [("h", i) for i in range(2000)] + [(None, 1)] * 30 + [("r", 5)] * 3
+    right = [(f"k{i * 2}", i) for i in range(6000)] + [("r", i) for i in range(1500)] + [("h", 1), ("h", 2), (None, 7)]
+    a, b = spark.createDataFrame(left, "key string, a int").repartition(7), spark.createDataFrame(right, "key string, b int").repartition(5)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = joins.left_join(a, b, ["key"]).groupBy("key").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+        named = b.withColumnRenamed("key", "other")
+        plain = a.join(named, F.col("key").eqNullSafe(F.col("other")), "left").groupBy("key").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+        assert rows(got) == rows(plain)
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
+def test_positions_need_one_shuffle(spark):
+    df = spark.range(100).select(F.col("id").cast("string").alias("v"))
+    plan = ranking.with_row_number(df, ["v"])._jdf.queryExecution().executedPlan().toString()
+    # After the range shuffle, which the checkpoint holds, only the totals of the partitions are exchanged.
+    assert plan.count("hashpartitioning") <= 1 and "rangepartitioning" not in plan
 
 
 def test_first_per_key(spark):
@@ -126,12 +162,11 @@ def test_missing_counts_as_a_value(spark):
     assert rows(aggregates.frequency(df, "x")) == [("a", 2), ("b", 1)]
 
 
-def test_histogram_is_closed_on_the_right(spark):
-    df = spark.createDataFrame([(0.0,), (0.25,), (0.26,), (0.5,), (None,)], "x double")
-    assert rows(aggregates.histogram(df, "x", 0.0, 0.25)) == [(1, 2), (2, 2)]
+def test_histogram_is_closed_on_the_right_and_complete(spark):
+    df = spark.createDataFrame([(0.0,), (0.25,), (0.26,), (0.5,), (None,), (-5.0,), (float("nan"),), (1.01,)], "x double")
+    assert rows(aggregates.histogram(df, "x", 0.0, 0.25, 4)) == sorted([(1, 2), (2, 2), (3, 0), (4, 0), (None, 3)], key=repr)
 
 
-def test_crosstab_and_share(spark):
+def test_crosstab(spark):
     df = spark.createDataFrame([("a", 2015), ("a", 2015), ("b", 2016)], "c string, y int")
     assert rows(aggregates.crosstab(df, "c", "y", [2015, 2016])) == [("a", 2, 0), ("b", 0, 1)]
-    assert df.agg(aggregates.share(F.col("y") == 2015)).first()[0] == pytest.approx(2 / 3)

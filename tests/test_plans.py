@@ -124,7 +124,12 @@ def test_files(spark, tmp_path):
         (tmp_path / "cams" / cam).mkdir(parents=True)
         (tmp_path / "cams" / cam / f"{cam}_check1_clean_out.csv").write_text('X1,fileName,answer\n1,"a/b.jpg",4\n')
     clean = readers.read_camera_folders(spark, f"{root}/cams", "*_clean_out.csv", "fileName string, answer int")
-    assert rows(clean) == [("a/b.jpg", 4, "FL01"), ("a/b.jpg", 4, "FL02")]
+    assert rows(clean) == [("a/b.jpg", 4, "FL01", None), ("a/b.jpg", 4, "FL02", None)]
+    back = readers.read_camera_folders(spark, f"{root}/out", "*.csv", schemas.IMPORT_TABLE)
+    assert rows(back) == [("i1", "x.jpg", "FL01", "3"), ("i2", "y.jpg", "FL02", "3")]
+    listing = spark.createDataFrame([("a b/c.jpg", 5), ("d", None)], "path string, length long")
+    writers.write_listing(listing, f"{root}/listing")
+    assert rows(readers.read_listing(spark, f"{root}/listing")) == [("a b/c.jpg", 5), ("d", None)]
 
 
 def test_exported_metadata_keeps_three_columns(spark, tmp_path):
@@ -138,17 +143,30 @@ def test_quality_report(spark):
     meta = spark.createDataFrame(
         [("d", "FL-1_1.jpg", "0000:00:00 00:00:00"), ("d", "FL-1_1.jpg", None)], schemas.PLAIN_METADATA
     )
-    joined = preds.select("FileName").join(meta.limit(1).drop("Directory"), "FileName", "left")
+    found = meta.where("DateTimeOriginal is not null").drop("Directory").withColumn("found", F.lit(True))
+    undated = spark.createDataFrame([("FL-1_2.jpg", None, True)], found.schema)
+    joined = preds.select("FileName").join(found.union(undated), "FileName", "left")
     joined = joined.withColumn("photo_time", F.lit(None).cast("timestamp_ntz"))
     got = {(r.check, r.column): r.value for r in reports.quality_report(preds, meta, joined).collect()}
     assert got[("missing", "FileName")] == 1 and got[("missing_metadata", "DateTimeOriginal")] == 1
-    assert got[("unmatched", "DateTimeOriginal")] == 2 and got[("unreadable", "DateTimeOriginal")] == 1
+    assert got[("unmatched", "FileName")] == 1 and got[("unreadable", "DateTimeOriginal")] == 1
+    assert got[("undated", "DateTimeOriginal")] == 1 and got[("nameless", "FileName")] == 0
     assert got[("duplicates", "FileName")] == 1 and got[("length", "19")] == 1
     assert got[("rows", "FL")] == 2 and got[("rows", "flag")] == 1
 
 
-def test_a_file_with_another_header_is_an_error(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
-    (tmp_path / "b.csv").write_text("y,x\n1,2\n")
+def test_columns_are_found_by_name_in_each_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y\n1,"say ""hi"", a.jpg"\nNA,\n')
+    (tmp_path / "b.csv").write_text('"y","more, or less",x\r\nNA,5,2\r\n')
+    assert rows(readers.read_table(spark, str(tmp_path), "x int, y string")) == sorted([(1, 'say "hi", a.jpg'), (None, None), (2, None)], key=repr)
+    with pytest.raises(Exception, match="lacks"):
+        readers.read_table(spark, str(tmp_path), "x int, z string")
     with pytest.raises(Exception):
-        readers.read_table(spark, str(tmp_path), "x int, y int").collect()
+        readers.read_table(spark, str(tmp_path), "x int, y string", one_header=True).collect()
+
+
+def test_an_instant_needs_a_known_zone(spark):
+    preds = predictions(spark, ["a/b/ACAM/SREL-1_1.jpg"])
+    meta = spark.createDataFrame([("d", "SREL-1_1.jpg", "2015:07:01 02:00:00")], schemas.PLAIN_METADATA)
+    got = assembly.image_table(preds, meta).first()
+    assert got.study == "SREL" and got.DateTimeUTC is None and got.hour == 2

@@ -149,27 +149,28 @@ def mask_only_sql(images: str, thresh: str, grain: str) -> str:
       left join det d on d.camID = c.camID and d.year = k.year and d.interval = k.interval"""
 
 
-def retention(rows: str, group: str, n: int, start: str) -> str:
-    """Share of rows with v above each threshold."""
-    g = f"{group}, " if group else ""
-    return f"""select {g}t.t as threshold, cast(count(*) filter (where v > t.t) as bigint) as kept,
-        cast(count(*) as bigint) as total,
-        cast(count(*) filter (where v > t.t) as double) / count(*) as prop_retained
-      from {rows} r, (select cast({start} as double) + cast(range as double) * cast(0.01 as double) as t
-        from range({n})) t group by {g}t.t"""
-
-
-def sweep_sql(grain: str, base: str, start: str, n: int, deploy: str | None = DEPLOY) -> str:
+def retention(rows: str, n: int, start: str, names: str | None = None) -> str:
+    """Share of rows with v above each threshold; `names` lists the species that have a curve."""
+    levels = f"(select cast({start} as double) + cast(range as double) * cast(0.01 as double) as t from range({n})) t"
+    species, given = ("g.species, ", f"{names} g cross join ") if names else ("", "")
+    same = "r.species = g.species" if names else "true"
+    return f"""select {species}t.t as threshold, cast(count(*) filter (where v > t.t) as bigint) as kept,
+        cast(count(one) as bigint) as total,
+        case when count(one) > 0 then cast(count(*) filter (where v > t.t) as double) / count(one) end as prop_retained
+      from {given}{levels} left join (select *, 1 as one from {rows} r0) r on {same} group by {species}t.t"""
+
+
+def sweep_sql(grain: str, base: str, start: str, n: int, deploy: str | None = DEPLOY, images: str = IMAGES, species: int = PIG) -> str:
     """The whole table once per threshold: columns, mask and total at each."""
     u = _UNIT[grain]
     reg = regular(grain, deploy) + "," if deploy else ""
     union = "union select lv.i, g.year, g.interval from lv, regular g" if deploy else ""
     only = f"and c.camID in (select camID from {deploy} d)" if deploy else ""
-    return f"""with img as (select camID, GUESS1, CONFIDENCE1, {TIME} as t from {IMAGES} i), {reg}
+    return f"""with img as (select camID, GUESS1, CONFIDENCE1, {TIME} as t from {images} i), {reg}
       lv as (select 0 as i, cast({base} as double) as lev union all
         select cast(range + 1 as integer), cast({start} as double) + cast(range as double) * cast(0.01 as double) from range({n})),
       c as (select camID, {yr('t')} as year, {iv('t', grain)} as interval, max(CONFIDENCE1) as best
-        from img where GUESS1 = {PIG} group by 1, 2, 3),
+        from img where GUESS1 = {species} group by 1, 2, 3),
       allcols as (select distinct lv.i, c.year, c.interval from lv join c on c.best > lv.lev {union}),
       pos as (select i, year, interval, row_number() over (partition by i order by year, interval) as p,
         first_value(year) over (partition by i order by year, interval) as y0 from allcols),
@@ -185,7 +186,7 @@ def sweep_sql(grain: str, base: str, start: str, n: int, deploy: str | None = DE
         left join pos on pos.i = lv.i and pos.year = c.year and pos.interval = c.interval
         left join rng on rng.camID = c.camID group by lv.i, lv.lev)
       select a.lev as threshold, cast(a.n as bigint) as occ_total, cast(b.n - a.n as bigint) as occ_int_changed,
-        cast(b.n - a.n as double) / b.n as prop_changed
+        case when b.n > 0 then cast(b.n - a.n as double) / b.n end as prop_changed
       from tot a, tot b where b.i = 0 and a.i > 0"""
 
 
@@ -270,8 +271,9 @@ def all_oracles() -> dict[str, str]:
     sql["study_filter"] = f"select FileName, line, {TIME} from {IMAGES} i where study <> 'FL' and year({TIME}) = 1997"
     sql["drop_incomplete"] = f"select * from {META} m where " + " and ".join(f"{c} is not null" for c in _META_COLUMNS)
     sql["drop_undated"] = f"select * from {META} m where {TIME} is not null"
-    pieces = ", ".join(f"string_split(url, '/')[{n}] as piece{n}" for n in range(1, 7))
-    sql["split_piece"] = f"select page_id, {pieces}, string_split(url, '/')[6] as slashed6 from pages"
+    pieces = ", ".join(f"{piece('url', '/', n)} as piece{n}" for n in range(1, 7))
+    slashed = piece("(url || '/')", "/", 6)
+    sql["split_piece"] = f"select page_id, {pieces}, {slashed} as slashed6 from pages"
     sql["paste_key"] = f"select imageID, {paste(piece('imageID', '_', 5), piece('imageID', '_', 6))} as key from {PATHS} p"
     sql["basename_clean"] = """select page_id, regexp_replace(url, '.*/', '') as name,
         regexp_replace(regexp_replace(url, '.*/', ''), '.$', '') as trimmed, regexp_replace(url, '.*=', '') as suffix,
@@ -342,8 +344,10 @@ def all_oracles() -> dict[str, str]:
     )
     sql["time_summary"] = f"select {quantiles}, count(*) as n from {IMAGES} i"
     sql["length_summary"] = six("(select length(text) as t from documents)", "t")
-    sql["histogram"] = f"""select cast(greatest(ceil((CONFIDENCE1 - 0.0) / 0.125), 1) as integer) as bin, count(*) as n
-        from {IMAGES} i group by 1"""
+    sql["histogram"] = f"""select b.bin, count(v) as n from
+        (select cast(range as integer) as bin, case range when 1 then 0.1 else range * 0.125 end as a, (range + 1) * 0.125 as z from range(1, 11)) b
+        left join (select CONFIDENCE1 as v from {IMAGES} i) r on (v > a or (bin = 1 and v >= 0.125)) and v <= z and v >= 0.125 group by 1
+        union all select null, count(*) from {IMAGES} i where CONFIDENCE1 < 0.125 or CONFIDENCE1 > 1.375"""
     sql["burst_extremes"] = f"select b as cam_chk_burst, hi as b_max, lo as b_min from {_BURST} q"
     sql["burst_extremes_on_images"] = f"""select FileName, line, cam_chk_burst, hi as b_max, lo as b_min
         from {IMAGES} i join {_BURST} q on q.b is not distinct from cam_chk_burst where {pig}"""
@@ -369,6 +373,7 @@ def all_oracles() -> dict[str, str]:
     sql["occ_steps_week"] = sql["occ_unpivot"] = sql["occ_masked_week"]
     sql["occ_mask_only_day"] = mask_only_sql(IMAGES, "0.9", "day")
     sql["occ_year_masked_day"] = mask_only_sql(f"(select * from {IMAGES} y where year({TIME}) = 1996)", "0.0", "day")
+    sql["occ_year_full_day"] = full_sql(f"(select * from {IMAGES} y where year({TIME}) = 1996)", DEPLOY, "0.0", "day")
     sql["occ_hour"] = full_sql(EVENTS, EVENT_DEPLOY, "0.01", "hour")
     sql["occ_events_day"] = full_sql(EVENTS, EVENT_DEPLOY, "0.01", "day")
     sql["occ_total"] = f"""select year, cast(sum(occ) as bigint) as occ, count(*) filter (where occ is null) as blank
@@ -382,17 +387,24 @@ def all_oracles() -> dict[str, str]:
 
     groups = "(values ('all', null), ('cattle', 1), ('bobcat', 13), ('deer', 15), ('mountain_lion', 20), ('pig', 22)) s(species, code)"
     chosen = f"(select species, CONFIDENCE1 as v from {IMAGES} i join {groups} on code is null or code = GUESS1)"
-    sql["image_retention"] = retention(chosen, "species", 80, "0.2")
-    sql["burst_retention"] = retention(f"(select hi as v from {_BURST} q)", "", 51, "0.5")
+    sql["image_retention"] = retention(chosen, 80, "0.2", f"(select species from {groups})")
+    absent = "(values ('none', 99), ('cattle', 1), ('never', -1)) s(species, code)"
+    odd = f"(select species, CONFIDENCE1 as v from {IMAGES} i join {absent} on code = GUESS1)"
+    sql["image_retention_absent"] = retention(odd, 80, "0.2", f"(select species from {absent})")
+    sql["burst_retention"] = retention(f"(select hi as v from {_BURST} q)", 51, "0.5")
+    sql["burst_retention_absent"] = retention(f"(select hi as v from {_BURST} q where false)", 51, "0.5")
     sql["burst_filtered_images"] = f"""select FileName, line, CONFIDENCE1, hi as b_max, lo as b_min
         from {IMAGES} i join {_BURST} q on q.b is not distinct from cam_chk_burst
         where {pig} and hi > cast(0.4999 as double)"""
     sql["occ_sweep_week_b50"] = sweep_sql("week", "0.5", "0.51", 49)
     sql["occ_sweep_week_b0"] = sweep_sql("week", "0.0", "0.01", 99)
     sql["occ_sweep_day_b50"] = sweep_sql("day", "0.5", "0.51", 49)
+    sql["occ_sweep_day_no_zeros"] = sweep_sql("day", "0.5", "0.51", 49, None)
+    sql["occ_sweep_hour"] = sweep_sql("hour", "0.0", "0.01", 99, EVENT_DEPLOY, EVENTS)
+    sql["occ_sweep_absent"] = sweep_sql("week", "0.5", "0.51", 49, species=99)
     sql["occ_sweep_week_no_zeros"] = sweep_sql("week", "0.5", "0.51", 49, None)
 
-    zone_of = "case study when 'FL' then 'US/Eastern' when 'CA' then 'US/Pacific' when 'TAG' then 'US/Pacific' else 'UTC' end"
+    zone_of = "case study when 'FL' then 'US/Eastern' when 'CA' then 'US/Pacific' when 'TAG' then 'US/Pacific' end"
     sql["image_table"] = f"""select ROW_NUM, study, FileName, Directory, {piece('FileName', '_', 1)} as camID, GUESS1, CONFIDENCE1,
         w as {TIME}, {utc('w', zone_of)} as DateTimeUTC, {PARTS.format(t='w')}
         from (select *, {wall(TIME)} as w from ({JOINED}) j) q where w is not null"""
@@ -416,7 +428,12 @@ def all_oracles() -> dict[str, str]:
           on o.camID = i.camID and o.name = i.name"""
     sql["quality_report"] = f"""{_missing(PREDS, _PRED_COLUMNS, 'missing')} union all
         {_missing(META, _META_COLUMNS, 'missing_metadata')}
-        union all select 'unmatched', '{TIME}', count(*) filter (where {TIME} is null) from ({JOINED}) j
+        union all select 'unmatched', 'FileName', count(*) from {PREDS} p where not exists
+          (select 1 from {META} m where m.FileName is not distinct from p.FileName)
+        union all select 'undated', '{TIME}', count(*) from {PREDS} p, {META} m
+          where m.FileName is not distinct from p.FileName and m.{TIME} is null
+        union all select 'nameless', 'FileName', (select count(*) from {PREDS} p where FileName is null)
+          * (select count(*) from {META} m where FileName is null)
         union all select 'unreadable', '{TIME}', count(*) filter (where {TIME} is not null and {wall(TIME)} is null) from ({JOINED}) j
         union all select 'duplicates', 'FileName', count(*) - (select count(*) from (select distinct FileName from {META} m) q) from {META} m
         union all select 'length', cast(length({TIME}) as varchar), count(*) from ({JOINED}) j where {TIME} is not null group by 2
@@ -434,7 +451,15 @@ def all_oracles() -> dict[str, str]:
     sql["csv_round_trip"] = f"select Directory, FileName, {TIME}, Sequence, EventNumber from {META} m"
     sql["headerless_scan"] = f"select imageID, answer as X2 from {PATHS} p"
     sql["indexed_export"] = f"select row_number() over (order by camID) as X1, camID, SetDate from {DEPLOY} d"
-    sql["partitioned_export"] = f"""select camID as camera, 'check_num=2' as "check", count(*) as n, true as listed
-        from {IMAGES} i group by 1"""
+    sql["partitioned_export"] = f"""select camID as camera, '2' as check_num, count(*) as n,
+        count(distinct concat(part, '-', line)) as images from {IMAGES} i group by 1"""
+    sql["csv_as_written"] = """select 'E:, x/' || o_orderpriority as Directory, concat('CA_', o_orderkey, '.jpg') as FileName,
+        case o_orderkey % 4 when 0 then 'say "hi", a.jpg' when 3 then '"' end as DateTimeOriginal,
+        case when o_orderkey % 3 > 0 then cast(o_orderkey as integer) end as Sequence,
+        cast(o_orderkey % 1000 as integer) as EventNumber, concat('check', o_orderkey % 2) as SourceCSV from orders"""
+    sql["exported_metadata"] = f"select SourceFile, FileName, {TIME} from {PHOTOS} p"
+    sql["listing_scan"] = f"select path, length(path) as length, count(*) as n from {LISTING} l group by 1, 2"
+    sql["title_case"] = """select o_orderkey, substr(o_orderpriority, 1, 2) || array_to_string(list_transform(
+        string_split(substr(o_orderpriority, 3), ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') as title from orders"""
     sql["image_table_parquet"] = f"select study, {yr(TIME)} as year, FileName, line, CONFIDENCE1 from {IMAGES} i"
     return sql

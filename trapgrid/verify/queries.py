@@ -90,6 +90,11 @@ def basename_clean(spark, d):
     )
 
 
+@query
+def title_case(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", text.title_case(F.col("o_orderpriority")).alias("title"))
+
+
 @query
 def recode_class(spark, d):
     label = text.recode(F.col("o_orderpriority"), {"1-URGENT": "Elk", "5-LOW": "Deer"})
@@ -355,7 +360,8 @@ def length_summary(spark, d):
 
 @query
 def histogram(spark, d):
-    return aggregates.histogram(view(spark, d, "images"), "CONFIDENCE1", 0.0, 0.125)
+    """Bins that start above the lowest value and end above the highest."""
+    return aggregates.histogram(view(spark, d, "images"), "CONFIDENCE1", 0.125, 0.125, 10)
 
 
 @query
@@ -473,6 +479,13 @@ def occ_year_masked_day(spark, d):
     return occ.mask_inactive(occ.detection_grid(images, PIG, 0.0, "day"), images, "day")
 
 
+@query
+def occ_year_full_day(spark, d):
+    """All three steps on the photos of one year."""
+    images = occ.year_images(view(spark, d, "images"), 1996)
+    return occ.occupancy(images, _deployments(spark, d), PIG, 0.0, "day")
+
+
 @query
 def occ_by_year_null(spark, d):
     return occ.yearly_detections(view(spark, d, "images"), PIG)
@@ -529,11 +542,22 @@ def image_retention(spark, d):
     return sweeps.image_retention(view(spark, d, "images"))
 
 
+@query
+def image_retention_absent(spark, d):
+    """Codes that no image has still get every threshold."""
+    return sweeps.image_retention(view(spark, d, "images"), {"none": 99, "cattle": 1, "never": -1})
+
+
 @query
 def burst_retention(spark, d):
     return sweeps.burst_retention(view(spark, d, "images"))
 
 
+@query
+def burst_retention_absent(spark, d):
+    return sweeps.burst_retention(view(spark, d, "images"), species=99)
+
+
 @query
 def burst_filtered_images(spark, d):
     pigs = view(spark, d, "images").where(F.col("GUESS1") == PIG)
@@ -565,6 +589,22 @@ def occ_sweep_week_no_zeros(spark, d):
     return _sweep(spark, d, "week", 0.5, 0.51, 49, deployments=False)
 
 
+@query
+def occ_sweep_day_no_zeros(spark, d):
+    return _sweep(spark, d, "day", 0.5, 0.51, 49, deployments=False)
+
+
+@query
+def occ_sweep_hour(spark, d):
+    images = _event_images(spark, d)
+    return sweeps.occupancy_sweep(images, _event_deployments(images), PIG, "hour", 0.0, 0.01, n=99)
+
+
+@query
+def occ_sweep_absent(spark, d):
+    return sweeps.occupancy_sweep(view(spark, d, "images"), _deployments(spark, d), 99, "week", 0.5, 0.51)
+
+
 # --- whole jobs ------------------------------------------------------------------------
 
 
@@ -637,7 +677,7 @@ def import_conversion(spark, d):
 @query
 def quality_report(spark, d):
     predictions, metadata = _predictions(spark, d), view(spark, d, "metadata")
-    joined = joins.left_join(predictions.select("FileName"), metadata.select("FileName", "DateTimeOriginal"), ["FileName"])
+    joined = joins.left_join(predictions.select("FileName"), metadata.select("FileName", "DateTimeOriginal", F.lit(True).alias("found")), ["FileName"])
     joined = joined.withColumn("photo_time", clock.parse_photo_time(F.col("DateTimeOriginal")))
     return reports.quality_report(predictions, metadata, joined)
 
@@ -687,10 +727,52 @@ def csv_round_trip(spark, d):
     return readers.read_table(spark, folder, schemas.BURST_METADATA)
 
 
+def _awkward(spark, d) -> DataFrame:
+    """Metadata with NA, quotes, commas and nothing in their texts."""
+    order = F.col("o_orderkey")
+    remark = F.when(order % 4 == 0, 'say "hi", a.jpg').when(order % 4 == 1, "NA").when(order % 4 == 2, "").otherwise('"')
+    return table(spark, d, "orders").select(
+        F.concat_ws("/", F.lit("E:, x"), "o_orderpriority").alias("Directory"),
+        F.concat(F.lit("CA_"), order.cast("string"), F.lit(".jpg")).alias("FileName"),
+        remark.alias("DateTimeOriginal"),
+        F.when(order % 3 > 0, order.cast("string")).otherwise("NA").alias("Sequence"),
+        (order % 1000).cast("string").alias("EventNumber"),
+        F.lit("more").alias("Other"),
+        (order % 2).alias("file"),
+    )
+
+
+@query
+def csv_as_written(spark, d):
+    """Files of one folder whose columns stand in two orders."""
+    folder, rows = new_folder(spark, "field"), _awkward(spark, d)
+    names = [c for c in rows.columns if c != "file"]
+    for file, order in ((0, names), (1, sorted(names, reverse=True))):
+        part = rows.where(F.col("file") == file).select(*order)
+        part.write.options(header=True, quote='"', escape='"', emptyValue="").csv(f"{folder}/check{file}")
+    found = readers.read_metadata_folder(spark, folder)
+    return found.withColumn("SourceCSV", F.regexp_extract("SourceCSV", "(check[01])/", 1))
+
+
+@query
+def exported_metadata(spark, d):
+    folder = new_folder(spark, "exported")
+    rows = view(spark, d, "day_photos").withColumn("FileSize", F.lit(9))
+    writers.write_table(rows.select("FileSize", "FileName", "study", "SourceFile", "DateTimeOriginal"), folder)
+    return readers.read_exported_metadata(spark, folder)
+
+
+@query
+def listing_scan(spark, d):
+    folder = new_folder(spark, "listing")
+    writers.write_listing(_listing(spark, d).withColumn("length", F.char_length("path").cast("long")), folder)
+    return readers.read_listing(spark, folder).groupBy("path", "length").agg(F.count("*").alias("n"))
+
+
 @query
 def headerless_scan(spark, d):
     folder = new_folder(spark, "labels")
-    view(spark, d, "label_paths").write.csv(folder)
+    view(spark, d, "label_paths").write.options(quote='"', escape='"').csv(folder)
     return readers.read_headerless(spark, folder, schemas.LABEL_LIST)
 
 
@@ -706,7 +788,7 @@ def metadata_folder_scan(spark, d):
     """Metadata written as one folder per check and read back with the file each row came from."""
     folder = new_folder(spark, "checks")
     metadata = view(spark, d, "metadata").hint("rebalance", "SourceCSV")
-    metadata.write.option("header", True).partitionBy("SourceCSV").csv(folder)
+    metadata.write.options(header=True, quote='"', escape='"').partitionBy("SourceCSV").csv(folder)
     rows = readers.read_metadata_folder(spark, folder)
     source = F.regexp_extract("SourceCSV", "SourceCSV=([^/]+)/", 1)
     return ranking.dense_codes(rows.withColumn("SourceCSV", source), ["SourceCSV"], "Directory", "unique_chk")
@@ -714,21 +796,14 @@ def metadata_folder_scan(spark, d):
 
 @query
 def partitioned_export(spark, d):
-    """Import tables written per camera and check, read back with the camera from the path."""
+    """Import tables written per camera and check, read back with both from the path."""
     folder = new_folder(spark, "imports")
     images = view(spark, d, "images").select(
         F.col("camID").alias("camera"), F.concat_ws("-", "part", "line").alias("ImageID"), "FileName"
     )
     writers.write_per_camera(images, folder, 2)
-    rows = readers.read_camera_folders(spark, f"{folder}/*", "*.csv", schemas.IMPORT_TABLE)
-    files = readers.list_files(spark, folder).where(F.col("path").endswith(".csv"))
-    cameras = F.regexp_extract("path", "camera=([^/]+)/", 1)
-    listed = files.select(cameras.alias("camera")).distinct().withColumn("listed", F.lit(True))
-    from_file = F.regexp_extract(F.input_file_name(), "camera=([^/]+)/", 1)
-    counted = rows.select(F.col("camera").alias("check"), from_file.alias("camera")).groupBy("camera", "check").agg(
-        F.count("*").alias("n")
-    )
-    return counted.join(listed, "camera", "left")
+    rows = readers.read_camera_folders(spark, folder, "*.csv", schemas.IMPORT_TABLE)
+    return rows.groupBy("camera", "check_num").agg(F.count("*").alias("n"), F.count_distinct("ImageID").alias("images"))
 
 
 @query
