@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from trapgrid.llm.frames import arrow_map
 from trapgrid.llm.textbytes import slices
-from trapgrid.llm.tokens import Encoder, texts_of
+from trapgrid.llm.tokens import encoder, texts_of
 
 #: Sequence ids of one task start at its number times this.
 TASK_STEP = 1 << 36
@@ -75,11 +75,11 @@ def blocks(
     batches: Iterator[pa.RecordBatch], tokenizer: str, last: int, block_tokens: int, key: str, text: str
 ) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(keys, ids, offsets) of a task's documents, in runs of about `block_tokens` tokens."""
-    encoder = Encoder(tokenizer)
+    known = encoder(tokenizer)
     keys, ids, sizes, held = [], [], [], 0
     for batch in batches:
         for rows in slices(batch, text, 1 << 20):
-            got, offsets = encoder.encode(texts_of(rows.column(rows.schema.get_field_index(text))), last)
+            got, offsets = known.encode(texts_of(rows.column(rows.schema.get_field_index(text))), last)
             keys += rows.column(rows.schema.get_field_index(key)).to_pylist()
             ids.append(got)
             sizes.append(np.diff(offsets))

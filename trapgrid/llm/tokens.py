@@ -1,23 +1,32 @@
-"""Token ids of whole texts by a public tokenizer file, with its pieces of text remembered by each task."""
+"""Token ids of whole texts by a public tokenizer file, with pieces of text remembered by each worker."""
 
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 #: White space for Python that the tokenizer's pattern does not split at.
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"
-#: Pieces of text that a task remembers before it starts afresh, and the longest such piece.
-_REMEMBERED, _LONGEST = 1 << 19, 64
+#: ASCII signs that are neither letters nor digits.
+_SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: The tokenizer's names for bytes that have no printable sign of their own.
+_BYTE_NAMES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+#: Characters of pieces that a worker remembers before it starts afresh.
+_REMEMBERED = 12_000_000
+
+_encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
     """Ids of texts, as the tokenizer gives them for each whole text without special tokens.
 
-    The tokenizer never joins over white space, so that its ids of a text are those of the
-    text's pieces between white space, one after the other; each different piece is encoded once.
+    The tokenizer (lower case, white space dropped) never joins over white space, nor letters with
+    signs. So a text's ids are those of its pieces between white space, one after the other, and a piece that is
+    a run of letters with signs after it has the ids of the two. Each different run is encoded once; pieces of any
+    other form are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -25,45 +34,85 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._merges = Tokenizer(self._tokenizer.model)  # for runs that are normal already
         self._clear()
 
     def _clear(self) -> None:
-        self._places: dict[str, int] = {}
-        self._pool = np.zeros(1 << 16, np.uint32)
-        self._ends = [0]
+        self._held = 0
+        self._pieces: dict[str, int] = {}
+        self._runs: dict[str, int] = {}
+        self._of_piece = [np.zeros(0, np.int64)]  # runs of the pieces, one after the other
+        self._piece_ends, self._run_ends = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+        self._ids = [np.zeros(0, np.uint32)]
+        self._count, self._size = 0, 0
+
+    def _add_run(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """The number of the first of new runs with these ids."""
+        self._ids.append(ids)
+        self._run_ends.append(np.cumsum(sizes) + self._size)
+        self._size += len(ids)
+        self._count += len(sizes)
+        return self._count - len(sizes)
 
     def _learn(self, pieces: list[str]) -> None:
-        got = [x.ids for x in self._tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        need = self._ends[-1] + sum(map(len, got))
-        if need > len(self._pool):
-            self._pool = np.concatenate([self._pool, np.zeros(max(need, len(self._pool)), np.uint32)])
-        for piece, ids in zip(pieces, got):
-            first = self._ends[-1]
-            self._pool[first : first + len(ids)] = ids
-            self._places[piece] = len(self._ends) - 1
-            self._ends.append(first + len(ids))
+        plain, other, made = [], [], []
+        for piece in pieces:
+            core = piece.rstrip(_SIGNS)
+            if core and not (core.isalpha() and max(core) <= "ÿ"):
+                other.append(piece)
+                made.append((piece,))
+            else:
+                parts = tuple(x for x in (core.lower(), piece[len(core) :]) if x)
+                made.append(parts)
+                plain += parts
+        plain = [x for x in dict.fromkeys(plain) if x not in self._runs]
+        if plain:
+            named = [x.encode().decode("latin-1").translate(_BYTE_NAMES) for x in plain]
+            got = self._merges.encode_batch([named], is_pretokenized=True, add_special_tokens=False)[0]
+            sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(plain))
+            first = self._add_run(np.array(got.ids, np.uint32), sizes)
+            self._runs.update(zip(plain, range(first, first + len(plain))))
+        whole = {}
+        if other:
+            got = [x.ids for x in self._tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            first = self._add_run(np.array(list(chain.from_iterable(got)), np.uint32), np.array([len(x) for x in got]))
+            whole = dict(zip(other, range(first, first + len(other))))
+        before = int(self._piece_ends[-1][-1])
+        self._of_piece.append(np.array([whole[x] if x in whole else self._runs[x] for parts in made for x in parts], np.int64))
+        self._piece_ends.append(np.cumsum([len(parts) for parts in made]) + before)
+        known = len(self._pieces)
+        self._pieces.update(zip(pieces, range(known, known + len(pieces))))
+        self._held += sum(map(len, pieces))
+
+    @staticmethod
+    def _expand(place: np.ndarray, ends: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values of the stretches `place`, one after the other, and how many come before each stretch)."""
+        sizes = ends[place + 1] - ends[place]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        return values[np.repeat(ends[place] - before[:-1], sizes) + np.arange(before[-1])], before
 
     def encode(self, texts: list[str | None], last: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, each followed by the id `last`; null is an empty text."""
-        if len(self._places) > _REMEMBERED:
+        if self._held > _REMEMBERED:
             self._clear()
         split, odd = [], {}
         for i, text in enumerate(texts):
             text = text or ""
-            pieces = text.split()
-            if any(c in text for c in _ODD_SPACES) or (pieces and max(map(len, pieces)) > _LONGEST):
+            if "<|" in text or any(c in text for c in _ODD_SPACES):  # a special token may stand there
                 odd[i] = np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                pieces = []
-            split.append(pieces)
-        new = list(dict.fromkeys(p for pieces in split for p in pieces if p not in self._places))
+                text = ""
+            split.append(text.split())
+        flat = list(chain.from_iterable(split))
+        new = [p for p in dict.fromkeys(flat) if p not in self._pieces]
         if new:
             self._learn(new)
-        ends = np.array(self._ends, np.int64)
-        place = np.fromiter((self._places[p] for pieces in split for p in pieces), np.int64)
-        starts, sizes = ends[place], ends[place + 1] - ends[place]
-        before = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self._pool[np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])]
-        cut = before[np.concatenate([[0], np.cumsum([len(p) for p in split])]).astype(np.int64)]
+        for parts in (self._of_piece, self._piece_ends, self._run_ends, self._ids):
+            if len(parts) > 1:
+                parts[:] = [np.concatenate(parts)]
+        place = np.fromiter(map(self._pieces.__getitem__, flat), np.int64, len(flat))
+        runs, by_piece = self._expand(place, self._piece_ends[0], self._of_piece[0])
+        ids, by_run = self._expand(runs, self._run_ends[0], self._ids[0])
+        cut = by_run[by_piece[np.concatenate([[0], np.cumsum([len(p) for p in split])]).astype(np.int64)]]
         parts, end = [], np.array([last], np.uint32)
         for i in range(len(texts)):
             parts += [odd.get(i, ids[cut[i] : cut[i + 1]]), end]
@@ -71,5 +120,13 @@ class Encoder:
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
 
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, which later tasks of the worker find with what it remembers."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def texts_of(column: pa.Array) -> list[str | None]:
     return column.to_pylist()
