@@ -102,5 +102,50 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_SPACES = r"[ \t\n\x0B\f\r]+"
+_LINE = r"""
+  (10 * (length(regexp_replace(l, '{sp}', '', 'g')) - length(regexp_replace(regexp_replace(l, '{sp}', '', 'g'), '[#*$%&|<>{{}}\[\]^~=_\\/@+!?]', '', 'g')))
+     > 2 * length(regexp_replace(l, '{sp}', '', 'g'))
+   or regexp_matches(l, '(?i)^\W*(home|menu|login|log in|sign in|sign up|register|search|contact us|about us|next|previous|back to top|share|tweet|read more)\W*$')
+   or len(regexp_split_to_array(l, ' [|»·>] ')) > 4
+   or (length(l) < 200 and regexp_matches(l, '(?i)(all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript|lorem ipsum|(released|licensed) under|is licensed under|click here|subscribe to our)')))"""
+
+#: Windows of three words are counted per document, lines judged one by one.
+_QUALITY_SQL = rf"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+words as (select r, list_filter(regexp_split_to_array(t, '{_SPACES}'), lambda w: w <> '') as ws from docs),
+win as (select r, i, ws[i] as a, ws[i + 1] as b, ws[i + 2] as c
+  from (select r, ws, unnest(generate_series(1, len(ws) - 2)) as i from words)),
+often as (select r, i from (select r, i, count(*) over (partition by r, a, b, c) as n from win) where n > 1),
+rep as (select r, count(distinct p) as n from (select r, unnest([i, i + 1, i + 2]) as p from often) group by r),
+lines as (select r, unnest(string_split(t, chr(10))) as l from docs),
+dup as (select r, count(*) - count(distinct l) as n from lines where regexp_matches(l, '[^ \t\n\x0B\f\r]') group by r),
+gone as (select r, sum(length(regexp_replace(l, '{_SPACES}', '', 'g'))) as n from lines where {_LINE.format(sp=_SPACES)} group by r),
+facts as (select doc_id, len(ws) as n_words, cast(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) as bigint) as word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines,
+    coalesce(rep.n, 0) as n_repeat_words, cast(coalesce(gone.n, 0) as bigint) as removed
+  from docs join words using (r) left join dup using (r) left join rep using (r) left join gone using (r))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 2 * removed <= word_chars as kept
+from facts"""
+
+#: A window of an item against the windows of the same length of each document.
+_HITS_SQL = r"""
+with norm as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as ws from documents),
+items as (select coalesce(cast(item_id as varchar), 'null') as item, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as ws from benchmark),
+wins as (select distinct item, least(13, len(ws)) as k, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') as w
+  from (select item, ws, unnest(generate_series(1, greatest(1, len(ws) - 12))) as i from items where len(ws) > 0)),
+found as (select r, k, i, item from (select r, k, i, array_to_string(ws[i:i + k - 1], ' ') as w
+    from (select r, ws, k, unnest(generate_series(1, len(ws) - k + 1)) as i from norm, (select distinct k from wins))) p join wins using (k, w)),
+hit as (select r, count(distinct p) as n from (select r, unnest(generate_series(i, i + k - 1)) as p from found) group by r),
+own as (select r, count(*) as n, string_agg(item, ',' order by item) as names from (select distinct r, item from found) group by r)
+select doc_id, len(ws) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(own.n, 0) as n_items,
+  sha256(coalesce(names, '')) as items_sha256, coalesce(hit.n, 0) > 0 and 20 * coalesce(hit.n, 0) >= len(ws) as contaminated
+from norm left join hit using (r) left join own using (r)"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op4_line_first_quality": _QUALITY_SQL, "op10_benchmark_automaton": _HITS_SQL}
