@@ -22,7 +22,7 @@ SKETCH = 256
 #: Pairs whose sketches agree less than the threshold by this much are not compared in full.
 MARGIN = 0.1
 #: Documents that one node compares exhaustively, branches of a larger node, and the most branchings.
-NODE_LIMIT, BRANCHES, DEPTH = 1024, 3, 4
+NODE_LIMIT, BRANCHES, DEPTH = 4096, 2, 4
 
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, TREES + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WEIGHTS = np.random.default_rng(8).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,7 +113,7 @@ def _similar(sketches: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, n
     for first in range(0, n, 32):
         block = sketches[first : first + 32]
         rest = sketches[first:]
-        same = (block[:, None, :] == rest[None, :, :]).mean(2)
+        same = np.count_nonzero(block[:, None, :] == rest[None, :, :], axis=2) / SKETCH
         i, j = np.nonzero(same >= least)
         own = i < j
         yield i[own] + first, j[own] + first, same[i[own], j[own]]
@@ -133,11 +133,25 @@ def _with_partner(threshold: float) -> Callable:
                 found[i] = found[j] = True
             if found.any():
                 rids = table["rid"].to_numpy()[found]
-                yield pa.RecordBatch.from_arrays([pa.array([table["leaf"][0].as_py()] * len(rids), pa.int64()), pa.array(rids)], names=["leaf", "rid"])
+                leaf, tree = (pa.repeat(table[c][0].as_py(), len(rids)).cast(k) for c, k in (("leaf", pa.int64()), ("tree", pa.int32())))
+                yield pa.RecordBatch.from_arrays([leaf, pa.array(rids), tree], names=["leaf", "rid", "tree"])
 
     return run
 
 
+def _compared_before(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs were together in a small node of an earlier tree, where they have been compared."""
+    tree = table["tree"][0].as_py()
+    nodes = np.zeros((table.num_rows, TREES), np.int64)
+    for row, own in enumerate(table["small"].to_pylist()):
+        for x in own or []:
+            nodes[row, x["tree"]] = x["node"]
+    out = np.zeros(len(i), bool)
+    for t in range(tree):
+        out |= (nodes[i, t] == nodes[j, t]) & (nodes[i, t] != 0)
+    return out
+
+
 def _links(percent: int) -> Callable:
     """Links in each leaf, as many as connect what is connected there; each confirmed on the full sets."""
 
@@ -145,6 +159,8 @@ def _links(percent: int) -> Callable:
         for table in _by_leaf(batches):
             sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
             pairs = [np.concatenate(x) for x in zip(*_similar(_sketch_matrix(table), percent / 100 - MARGIN))]
+            new = ~_compared_before(table, pairs[0], pairs[1])
+            pairs = [x[new] for x in pairs]
             up = list(range(table.num_rows))
 
             def top(x: int) -> int:
@@ -173,7 +189,8 @@ def _links(percent: int) -> Callable:
 
 
 def _leaves(features: DataFrame) -> DataFrame:
-    """(leaf, rid): leaves of all trees with at least two rows, each of about NODE_LIMIT rows at most.
+    """(leaf, rid, tree, first): leaves of all trees with at least two rows, each of about NODE_LIMIT rows at most; first marks
+    nodes that were small from the start.
 
     A row's first node in a tree is given by its minwise token there. A node over the limit branches:
     by BRANCHES coordinates of the sketch, picked by a hash of the node, its rows go to the
@@ -181,27 +198,27 @@ def _leaves(features: DataFrame) -> DataFrame:
     by hash, and each pair of blocks is a leaf; so no pair of a large node is left out.
     """
     spark = features.sparkSession
-    rows = features.select("rid", F.posexplode("keys").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "rid")
+    rows = features.select("rid", F.posexplode("keys").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "rid", "tree")
     found, level = [], 0
     while True:
         counts = rows.groupBy("node").count().where("count > 1")
         rows = stored(rows.join(counts, "node"), "paths")
-        found.append(rows.where(F.col("count") <= NODE_LIMIT).select(F.col("node").alias("leaf"), "rid"))
+        found.append(rows.where(F.col("count") <= NODE_LIMIT).select(F.col("node").alias("leaf"), "rid", "tree"))
         large = rows.where(F.col("count") > NODE_LIMIT)
         if level == DEPTH or large.isEmpty():
             break
         level += 1
         picks = F.sequence(F.lit(0), F.lit(BRANCHES - 1))
-        steps = large.join(features.select("rid", "sketch"), "rid").select("node", "rid", "sketch", F.explode(picks).alias("pick"))
+        steps = large.join(features.select("rid", "sketch"), "rid").select("node", "rid", "tree", "sketch", F.explode(picks).alias("pick"))
         place = F.pmod(F.xxhash64("node", "pick"), F.lit(SKETCH)).cast("int") + 1
-        rows = steps.select(F.xxhash64("node", "pick", F.substring("sketch", place, F.lit(1))).alias("node"), "rid")
+        rows = steps.select(F.xxhash64("node", "pick", F.substring("sketch", place, F.lit(1))).alias("node"), "rid", "tree")
     blocks = F.ceil(F.col("count") * 2 / NODE_LIMIT).cast("int")
     dealt = large.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("rid"), blocks).cast("int")})
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    found.append(dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("leaf"), "rid"))
-    out = found[0]
+    found.append(dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("leaf"), "rid", "tree"))
+    out = found[0].withColumn("first", F.lit(True))
     for more in found[1:]:
-        out = out.union(more)
+        out = out.union(more.withColumn("first", F.lit(False)))
     return out
 
 
@@ -246,10 +263,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, text: str
         return rows.repartition("leaf").sortWithinPartitions("leaf", "rid")
 
     sketches = heads.select("rid", "sketch")
-    likely = stored(arrow_map(sorted_leaves(leaves.join(sketches, "rid").select("leaf", "rid", "sketch")), _with_partner(percent / 100), "leaf long, rid long"), "near-likely")
+    likely = arrow_map(sorted_leaves(leaves.join(sketches, "rid").select("leaf", "rid", "tree", "sketch")), _with_partner(percent / 100), "leaf long, rid long, tree int")
+    likely = stored(likely, "near-likely")
     wanted = heads.join(likely.select("rid").distinct(), "rid", "left_semi").select("rid", "doc_id", "c1", "c2")
     sets = stored(_sets_of(wanted, docs, size, text, key), "near-sets")
-    compared = likely.join(sketches, "rid").join(sets, "rid").select("leaf", "rid", "sketch", "shingles")
+    # Pairs are compared in the first small node that they share.
+    small = leaves.where("first").groupBy("rid").agg(F.collect_list(F.struct("tree", F.col("leaf").alias("node"))).alias("small"))
+    held = sketches.join(sets, "rid").join(small, "rid", "left")
+    compared = likely.join(held, "rid").select("leaf", "rid", "tree", "sketch", "shingles", "small")
     links = stored(arrow_map(sorted_leaves(compared), _links(percent), "a long, b long").distinct(), "near-links")
     roots = components(links)
     rooted = stored(classes.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid")), "near-roots")
