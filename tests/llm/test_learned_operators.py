@@ -188,3 +188,11 @@ def test_secret_cases(spark, leaks):
     assert len(clean) == len(odd) and sum(r.text is None for r in clean) == 1
     rows = secret_scan.candidates(leaks)
     assert "Python" not in secret_scan.with_features(rows, secret_scan.dictionary(leaks))._jdf.queryExecution().toString()
+
+
+def test_labelled_texts(spark, rated):
+    docs = rated.withColumnRenamed("doc", "doc_id").drop("label")
+    marks = rated.select(F.col("doc").alias("doc_id"), "label")
+    assert toxicity.labelled_texts(docs, marks).count() == 400
+    some = toxicity.labelled_texts(docs, marks, most_labelled=100)
+    assert 50 < some.count() < 150 and some.columns == ["doc", "label", "text"]

@@ -121,3 +121,13 @@ def test_empty_tables(none, spark):
     assert decontaminate.benchmark_hits(none, bench).count() == 0
     texts = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     assert decontaminate.benchmark_hits(texts, bench).select("hits.items").first()[0] == []
+
+
+def test_repeats_of_frequent_names(spark, monkeypatch):
+    """With room for five contexts, most names are given out as pairs and settled by Spark."""
+    monkeypatch.setattr(suffix_dedup, "_TOGETHER", 5)
+    p = brute.prose(11, 60)[:130]
+    rows = [(i, brute.prose(40 + i % 3, 15) + p[i % 4 :] + brute.prose(60 + i, 15)) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.without_repeats(table).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, [tuple(x) for x in r.removed], bytes(r.kept)) for r in got} == brute.repeats(rows)

@@ -10,7 +10,8 @@ only anchors, and positions drop out of the rounds as soon as they are settled:
    rank of the context). A context that occurs earlier settles all its windows as repeated; an anchor whose
    bytes have one context settles them as new.
 3. The windows of what is left are sorted by rank pairs at half of `least`: (rank of the first half, rank of the
-   second half). All but the first of equal pairs are repeated.
+   second half). All but the first of equal pairs are repeated. Equal windows have one anchor name, by which
+   the contexts are dealt, so that most pairs are sorted where they are made.
 
 Ranks are 64-bit names, so that no round needs a global numbering.
 """
@@ -31,6 +32,8 @@ from trapgrid.llm.textbytes import Rolling, flat, mix, slices
 ANCHOR = 20
 #: Starts of windows that are looked at together; bounds memory for a text of any length.
 _SEGMENT = 1 << 21
+#: Contexts of one name that a task compares at once.
+_TOGETHER = 20_000
 #: Documents without an id come after all others.
 _NO_ID = 1 << 62
 
@@ -86,12 +89,13 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[new], start[new], (reach - group * wide)[np.concatenate([new[1:] - 1, [len(doc) - 1]])]
 
 
-def _no_names(n: int) -> list[pa.Array]:
-    return [pa.nulls(n, pa.int64()) for _ in range(2)]
-
-
 def _first_round(least: int, text: str) -> Callable:
-    """Anchors of all texts, and the stretches that repeat an earlier context of the same batch."""
+    """Anchors of all texts, and the stretches that repeat an earlier context of the same batch.
+
+    Rows are kept narrow, as most of them go through the exchange only to be found alone: doc; at, which
+    is start * 256 + 2 * (windows - 1) for an anchor and start * 256 + 1 for a stretch; name; context, for a stretch
+    its end. A stretch is settled already, and its name only spreads the rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,29 +108,25 @@ def _first_round(least: int, text: str) -> Callable:
                     found.append((ids[of], first - at[of], last - first, place - first, name, context))
             if not found:
                 continue
-            doc, start, more, offset, name, context = (np.concatenate(x) for x in zip(*found))
+            doc, start, more, _, name, context = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((start, doc, context))
-            doc, start, more, offset, name, context = (x[order] for x in (doc, start, more, offset, name, context))
+            doc, start, more, name, context = (x[order] for x in (doc, start, more, name, context))
             head = np.concatenate([[True], context[1:] != context[:-1]])
             to = np.flatnonzero(head)[np.cumsum(head) - 1]
             again = (doc > doc[to]) | (start > start[to])
             rest = ~again
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(doc[rest]),
-                    pa.array(start[rest]),
-                    pa.array((more[rest] << 32) | offset[rest]),
-                    pa.array(name[rest].view(np.int64)),
-                    pa.array(context[rest].view(np.int64)),
-                ],
-                names=["doc", "start", "shape", "name", "context"],
-            )
+            yield _row_batch(doc[rest], (start[rest] << 8) | (more[rest] << 1), name[rest], context[rest])
             doc, start, end = _merged(doc[again], start[again], start[again] + more[again] + least)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(end), *_no_names(len(doc))], names=["doc", "start", "shape", "name", "context"])
+            yield _row_batch(doc, (start << 8) | 1, mix(mix(doc.astype(np.uint64)) + start.astype(np.uint64)), end.astype(np.uint64))
 
     return run
 
 
+def _row_batch(doc: np.ndarray, at: np.ndarray, name: np.ndarray, context: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(doc), pa.array(at), pa.array(name.view(np.int64)), pa.array(context.view(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["doc", "at", "name", "context"])
+
+
 def _contexts(least: int, text: str) -> Callable:
     """The bytes of the contexts that the second round left open."""
 
@@ -145,35 +145,75 @@ def _contexts(least: int, text: str) -> Callable:
     return run
 
 
+def _windows(held: list[pa.RecordBatch], least: int) -> tuple[np.ndarray, ...]:
+    """(doc, start, first half, second half) of all windows in the contexts, sorted by rank pair, then place; and which
+    of them repeat the first of their pair."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    rolling, at = _rolled(table["bytes"].chunk(0))
+    count = np.diff(at) - least + 1
+    of = np.repeat(np.arange(len(count)), count)
+    step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    here, half = at[of] + step, least // 2
+    first, second = rolling.stretch(here, here + half), rolling.stretch(here + half, here + least)
+    doc, start = table["doc"].to_numpy()[of], table["start"].to_numpy()[of] + step
+    order = np.lexsort((start, doc, second, first))
+    doc, start, first, second = doc[order], start[order], first[order], second[order]
+    head = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+    to = np.flatnonzero(head)[np.cumsum(head) - 1]
+    return doc, start, first, second, (doc > doc[to]) | (start > start[to])
+
+
+def _rolled(column: pa.Array) -> tuple[Rolling, np.ndarray]:
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return Rolling(np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]), at - at[0]
+
+
 def _pairs(least: int) -> Callable:
-    """The rank pairs of all windows in the contexts, and the stretches that repeat an earlier window of the same batch."""
+    """Rank pairs of the windows in contexts that come sorted by name.
+
+    Equal windows have one name, so a name's contexts settle each other: what repeats an earlier
+    window comes out as stretches. Only of names with more than _TOGETHER contexts are the
+    pairs themselves given out, to be sorted by Spark.
+    """
+
+    def settle(held: list[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "start", "first", "second", "end"]
+        doc, start, first, second, again = _windows(held, least)
+        ends = _merged(doc[again], start[again], start[again] + least)
+        n = len(ends[0])
+        yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(ends[2])], names=names)
+        if not whole:
+            rest = ~again
+            columns = [pa.array(x[rest].view(np.int64)) for x in (doc, start, first, second)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(int(rest.sum()), pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        large = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column(3)
-            at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            rolling = Rolling(np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]])
-            at = at - at[0]
-            count = np.diff(at) - least + 1
-            of = np.repeat(np.arange(len(count)), count)
-            step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            here, half = at[of] + step, least // 2
-            first, second = rolling.stretch(here, here + half), rolling.stretch(here + half, here + least)
-            doc, start = batch.column(1).to_numpy()[of], batch.column(2).to_numpy()[of] + step
-            order = np.lexsort((start, doc, second, first))
-            doc, start, first, second = doc[order], start[order], first[order], second[order]
-            head = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-            to = np.flatnonzero(head)[np.cumsum(head) - 1]
-            again = (doc > doc[to]) | (start > start[to])
-            rest = ~again
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[rest]) for x in (doc, start)] + [pa.array(x[rest].view(np.int64)) for x in (first, second)] + [pa.nulls(int(rest.sum()), pa.int64())],
-                names=["doc", "start", "first", "second", "end"],
-            )
-            doc, start, end = _merged(doc[again], start[again], start[again] + least)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), *_no_names(len(doc)), pa.array(end)], names=["doc", "start", "first", "second", "end"])
+            names = batch.column(0).to_numpy()
+            cut = 0
+            if large is not None:  # the rest of a name that is given out as pairs
+                cut = int(np.searchsorted(names != large, True)) if names[-1] != large else len(names)
+                if cut:
+                    yield from settle([batch.slice(0, cut)], False)
+                if cut == len(names):
+                    continue
+                large = None
+            last = len(names) - int(np.searchsorted(names[::-1] != names[-1], True)) if names[cut] != names[-1] else cut
+            if last > cut:  # all names but the last are complete
+                yield from settle([*held, batch.slice(cut, last - cut)], True)
+                held = []
+            elif held and held[-1].column(0)[0].as_py() != int(names[cut]):
+                yield from settle(held, True)
+                held = []
+            held.append(batch.slice(last))
+            if sum(x.num_rows for x in held) > _TOGETHER:
+                large = int(names[-1])
+                yield from settle(held, False)
+                held = []
+        if held:
+            yield from settle(held, True)
 
     return run
 
@@ -217,30 +257,26 @@ def _cut(text: str) -> Callable:
 
 def repeated_spans(docs: DataFrame, least: int) -> DataFrame:
     """(doc, start, end) in bytes: stretches of `docs` (doc, text) made of strings of `least` bytes that start earlier too."""
-    columns = "doc long, start long, shape long, name long, context long"
-    dealt = arrow_map(docs, _first_round(least, "text"), columns)
-    # A stretch that is settled already needs no neighbours; it is spread by where it stands.
-    spread = dealt.withColumn("to", F.coalesce("name", F.xxhash64("doc", "start")))
-    same = "partition by to, name"
-    ranked = spread.selectExpr(
-        "doc", "start", "shape", "name",
-        f"min(struct(doc, start)) over ({same}, context) as head",
-        f"min(context) over ({same}) <> max(context) over ({same}) as several",
+    dealt = arrow_map(docs, _first_round(least, "text"), "doc long, at long, name long, context long")
+    ranked = dealt.selectExpr(
+        "doc", "at", "name", "context",
+        "min(struct(doc, at)) over (partition by name, context) as head",
+        "min(context) over (partition by name) <> max(context) over (partition by name) as several",
     )
-    repeated = F.struct("doc", "start") > F.col("head")
-    kept = ranked.where(F.col("name").isNull() | repeated | F.col("several"))
-    more = F.shiftright("shape", 32)
-    settled = F.when(F.col("name").isNull(), F.col("shape")).when(repeated, F.col("start") + more + least)
-    round2 = stored(kept.select("doc", "start", settled.alias("end"), "name", more.alias("more")), "suffix-contexts")
+    start, stretch = F.shiftright("at", 8), F.col("at").bitwiseAND(F.lit(1)) == 1
+    more = F.shiftright("at", 1).bitwiseAND(F.lit(127))
+    repeated = F.struct("doc", "at") > F.col("head")
+    kept = ranked.where(stretch | repeated | F.col("several"))
+    settled = F.when(stretch, F.col("context")).when(repeated, start + more + least)
+    round2 = stored(kept.select("doc", start.alias("start"), settled.alias("end"), "name", more.alias("more")), "suffix-contexts")
     spans = round2.where(F.col("end").isNotNull()).select("doc", "start", "end")
 
     open_ = round2.where(F.col("end").isNull()).groupBy("doc").agg(F.collect_list(F.struct("name", "start", "more")).alias("open"))
     held = arrow_map(docs.join(open_, "doc"), _contexts(least, "text"), "name long, doc long, start long, bytes binary")
-    # Sorted by name, equal windows meet in one batch mostly, and little is left for the last exchange.
-    near = held.repartition("name").sortWithinPartitions("name")
-    pairs = stored(arrow_map(near, _pairs(least), "doc long, start long, first long, second long, end long"), "suffix-pairs")
+    pairs = arrow_map(held.repartition("name").sortWithinPartitions("name"), _pairs(least), "doc long, start long, first long, second long, end long")
+    pairs = stored(pairs, "suffix-pairs")
     ranked = pairs.where(F.col("end").isNull()).selectExpr("doc", "start", "min(struct(doc, start)) over (partition by first, second) as head")
-    last = ranked.where(repeated).select("doc", "start", (F.col("start") + least).alias("end"))
+    last = ranked.where(F.struct("doc", "start") > F.col("head")).select("doc", "start", (F.col("start") + least).alias("end"))
     return spans.union(pairs.where(F.col("end").isNotNull()).select("doc", "start", "end")).union(last)
 
 
@@ -254,8 +290,8 @@ def without_repeats(docs: DataFrame, least: int = 100, text: str = "text", key:
     of their text. Rows with one key are one document: a repeated row gets the same result and is no
     earlier place; rows with one key and different texts lose what repeats in any of them. Keys are integers below 2**62.
     """
-    if least < 2 * ANCHOR or least % 2:
-        raise ValueError(f"least must be an even number from {2 * ANCHOR}")
+    if not 2 * ANCHOR <= least < 128 + ANCHOR or least % 2:
+        raise ValueError(f"least must be an even number from {2 * ANCHOR} to {127 + ANCHOR}")
     body = F.coalesce(F.col(text), F.lit(""))
     ordered = docs.select(_order(F.col(key), body).alias("doc"), F.col(key).alias("key"), body.alias("text"))
     spans = repeated_spans(ordered.where(F.octet_length("text") >= least).select("doc", "text"), least)
