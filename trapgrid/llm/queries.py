@@ -65,7 +65,7 @@ def op7_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
 def op8_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     marks = read(spark, sf_dir, "labels").where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    labelled = docs.join(marks.where(fold(4) != 2), "doc_id").select(F.col("doc_id").alias("doc"), "label", "text")
+    labelled = toxicity.labelled_texts(docs, marks.where(fold(4) != 2))
     rated = toxicity.with_toxicity(docs, labelled, docs.select("text"), "score")
     return rated.select("doc_id", (fold(4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 

@@ -175,6 +175,19 @@ def character_counts(docs: DataFrame, text: str = "text") -> dict[str, int]:
     return {r.gram: r.n for r in grams.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
 
 
+def labelled_texts(docs: DataFrame, marks: DataFrame, most_labelled: int = 200_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc, label, `text`) of the documents that `marks` (`key`, label; one row per key) labels.
+
+    Of more than `most_labelled` marks about that many are used, picked by a hash of the key: a bound on the fit alone.
+    It keeps the list small enough to broadcast, so that no text is shuffled to find its label. Marks without a document are
+    left out; repeated documents are all used.
+    """
+    n = marks.count()
+    if n > most_labelled:
+        marks = marks.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < 1_000_000 * most_labelled / n)
+    return docs.join(F.broadcast(marks), key).select(F.col(key).alias("doc"), "label", text)
+
+
 def _restored(rows: DataFrame, trigrams: dict[str, int], text: str) -> DataFrame:
     """`rows` with `words`, the distinct restored words as one text, and `near`, the lowest hash of a word pair."""
     held = rows.sparkSession.sparkContext.broadcast(trigrams)
