@@ -20,6 +20,19 @@ _REMEMBERED = 12_000_000
 _encoders: dict[str, Encoder] = {}
 
 
+class _Places(dict):
+    """Pieces numbered as they turn up; `new` holds those that were not known."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        place = self[piece] = len(self)
+        self.new.append(piece)
+        return place
+
+
 class Encoder:
     """Ids of texts, as the tokenizer gives them for each whole text without special tokens.
 
@@ -39,7 +52,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self._held = 0
-        self._pieces: dict[str, int] = {}
+        self._pieces = _Places()
         self._runs: dict[str, int] = {}
         self._of_piece = [np.zeros(0, np.int64)]  # runs of the pieces, one after the other
         self._piece_ends, self._run_ends = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
@@ -55,16 +68,17 @@ class Encoder:
         return self._count - len(sizes)
 
     def _learn(self, pieces: list[str]) -> None:
-        plain, other, made = [], [], []
+        other, made = [], []
         for piece in pieces:
             core = piece.rstrip(_SIGNS)
-            if core and not (core.isalpha() and max(core) <= "ÿ"):
-                other.append(piece)
-                made.append((piece,))
+            if core.isalpha() and (core.isascii() or max(core) <= "ÿ"):
+                made.append((core.lower(), piece[len(core) :]) if len(core) < len(piece) else (core.lower(),))
             else:
-                parts = tuple(x for x in (core.lower(), piece[len(core) :]) if x)
-                made.append(parts)
-                plain += parts
+                made.append((piece,))
+                if core:
+                    other.append(piece)
+        odd = set(other)
+        plain = chain.from_iterable(parts for parts in made if parts[0] not in odd)
         plain = [x for x in dict.fromkeys(plain) if x not in self._runs]
         if plain:
             named = [x.encode().decode("latin-1").translate(_BYTE_NAMES) for x in plain]
@@ -80,8 +94,6 @@ class Encoder:
         before = int(self._piece_ends[-1][-1])
         self._of_piece.append(np.array([whole[x] if x in whole else self._runs[x] for parts in made for x in parts], np.int64))
         self._piece_ends.append(np.cumsum([len(parts) for parts in made]) + before)
-        known = len(self._pieces)
-        self._pieces.update(zip(pieces, range(known, known + len(pieces))))
         self._held += sum(map(len, pieces))
 
     @staticmethod
@@ -102,17 +114,17 @@ class Encoder:
                 odd[i] = np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 text = ""
             split.append(text.split())
-        flat = list(chain.from_iterable(split))
-        new = [p for p in dict.fromkeys(flat) if p not in self._pieces]
-        if new:
-            self._learn(new)
+        counts = [len(p) for p in split]
+        place = np.fromiter(map(self._pieces.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
+        if self._pieces.new:
+            self._learn(self._pieces.new)
+            self._pieces.new = []
         for parts in (self._of_piece, self._piece_ends, self._run_ends, self._ids):
             if len(parts) > 1:
                 parts[:] = [np.concatenate(parts)]
-        place = np.fromiter(map(self._pieces.__getitem__, flat), np.int64, len(flat))
         runs, by_piece = self._expand(place, self._piece_ends[0], self._of_piece[0])
         ids, by_run = self._expand(runs, self._run_ends[0], self._ids[0])
-        cut = by_run[by_piece[np.concatenate([[0], np.cumsum([len(p) for p in split])]).astype(np.int64)]]
+        cut = by_run[by_piece[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]]
         parts, end = [], np.array([last], np.uint32)
         for i in range(len(texts)):
             parts += [odd.get(i, ids[cut[i] : cut[i + 1]]), end]
