@@ -152,6 +152,28 @@ def test_decoding():
     assert [toxicity.decode(t, model) for t in ("1d10t", "m0r0n", "w0rthl3ss", "i.d.i.o.t", "idiooooot", "letter")] == ["idiot", "moron", "worthless", "idiot", "idiot", "letter"]
 
 
+def test_disguises_of_any_length():
+    """Letters set apart in short and long runs, doubled letters, inner signs and long spelled tokens all go through the lattice."""
+    words = ["idiot", "stupid", "ass", "you", "are", "an", "the", "there", "stone", "over", "letter", "and", "what"]
+    grams: dict[str, int] = {}
+    for w in words:
+        for i in range(len(w) + 1):
+            g = f"  {w} "[i : i + 3]
+            grams[g] = grams.get(g, 0) + 50
+    restorer = toxicity.Restorer(toxicity.CharacterModel(grams))
+    long = "over there stone over there stone over there you are an idiot"
+    assert len(long.replace(" ", "")) > 40
+    got = restorer.words(" ".join(long.replace(" ", "")))
+    assert {"over", "there", "idiot"} <= got
+    assert "idiot" in restorer.words(".".join(long.replace(" ", "")))
+    assert "ass" in restorer.words("what a s s")
+    assert "idiot" in restorer.words("the idiiot there") and "letter" in restorer.words("letter")
+    assert "idiot" in restorer.words("the id-iot") and "stupid" in restorer.words("the st*pid")
+    assert {"stone", "idiot"} <= restorer.words("stone/idiot")
+    assert "stone" in restorer.words("s t o o o o o n e")
+    assert restorer.words("x" * 200_000) == {"x"}
+
+
 def key(seed: int, letters: str, n: int) -> str:
     return "".join(random.Random(seed).choices(letters, k=n))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,11 @@ SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 _LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøœùúûüýßÿ"
 _APART = " .-_*~,;:/\\'\""
 _AROUND = ".,;:?\"'()[]{}<>#%&*~^=/\\-_|`!$+@"
-#: Tokens over this length are taken as they are; tokens that a task remembers before it starts afresh.
-_LONGEST, _REMEMBERED = 32, 1 << 20
+#: Signs that may hide any letter.
+_MASKS = "*"
+_KNOWN = frozenset(_LETTERS) | {"", " "}
+#: Tokens that a task remembers before it starts afresh.
+_REMEMBERED = 1 << 20
 
 
 class CharacterModel:
@@ -57,45 +61,50 @@ class CharacterModel:
         return self._seen[gram]
 
 
-def _lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each sign of a token what it may stand for, with the cost of that in the channel."""
-    out = []
-    for i, c in enumerate(token):
-        run = 1
-        while i - run >= 0 and token[i - run] == c:
-            run += 1
-        following = 1
-        while i + following < len(token) and token[i + following] == c:
-            following += 1
-        whole = run + following - 1
+def _lattice(token: str) -> Iterator[list[tuple[str, str, float]]]:
+    """For each sign of a token what it may stand for (as text, as the model sees it) and the cost of that in the channel.
+
+    Blanks stand between letters set apart: each may be a break between words or nothing, and letters repeat across them.
+    """
+    runs = [len(list(same)) for _, same in groupby(token.replace(" ", ""))]
+    places = iter([(i, n) for n in runs for i in range(n)])
+    for c in token:
+        i, whole = next(places) if c != " " else (0, 1)
         if c.isalpha():
-            again = run > 1
-            out.append([(c, 0.0 if whole < 3 or not again else 2.0)] + ([("", 3.0 if whole < 3 else 0.3)] if again else []))
+            out = [(c, 0.0 if whole < 3 or not i else 2.0)] + ([("", 3.0 if whole < 3 else 0.3)] if i else [])
         elif c in SIGNS:
-            out.append([(x, 1.0) for x in SIGNS[c]] + [("", 6.0 if run == 1 else 1.0), (" ", 5.0)])
+            out = [(x, 1.0) for x in SIGNS[c]] + [("", 6.0 if not i else 1.0), (" ", 5.0)]
         elif c in _APART:
-            out.append([("", 1.0), (" ", 2.5)])
+            out = [("", 1.0), (" ", 2.5)]
+            if c in _MASKS and whole < 3:  # a letter left out; three and more in a row are a rule
+                out += [(x, 2.0) for x in _LETTERS[:26]]
         else:
-            out.append([("", 4.0), (" ", 2.0)])
-    return out
+            out = [("", 4.0), (" ", 2.0)]
+        yield [(x, x if x in _KNOWN else "~", cost) for x, cost in out]
 
 
 def decode(token: str, model: CharacterModel) -> str:
-    """The likeliest plain text behind a token: best path through its lattice; the state is the last two characters."""
-    best: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
-    for choices in [*_lattice(token), [(" ", 0.0)]]:
-        after: dict[str, tuple[float, str]] = {}
-        for state, (score, text) in best.items():
-            for c, cost in choices:
+    """The likeliest plain text behind a token of any length: best path through its lattice; the state is the last two characters.
+
+    A path is a chain of (path before, character), so that the work is in proportion to the length.
+    """
+    best: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
+    for choices in chain(_lattice(token), [[(" ", " ", 0.0)]]):
+        after: dict[str, tuple[float, tuple | None]] = {}
+        for state, (score, path) in best.items():
+            for c, seen, cost in choices:
                 if not c or (c == " " and state[1] == " "):
-                    now, key, told = score - cost, state, text
+                    now, key, told = score - cost, state, path
                 else:
-                    seen = c if c == " " or c in _LETTERS else "~"
-                    now, key, told = score - cost + model.log_p(state, c), state[1] + seen, text + c
+                    now, key, told = score - cost + model.log_p(state, seen), state[1] + seen, (path, c)
                 if key not in after or now > after[key][0]:
                     after[key] = (now, told)
         best = after
-    return max(best.values())[1].strip()
+    path, out = max(best.items(), key=lambda x: (x[1][0], x[0]))[1][1], []
+    while path:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out)).strip()
 
 
 class Restorer:
@@ -107,18 +116,17 @@ class Restorer:
 
     def _restore(self, token: str) -> tuple[str, ...]:
         core = token.strip(_AROUND)
-        if core.isalpha() and not any(core[i] == core[i + 1] == core[i + 2] for i in range(len(core) - 2)):
+        if core.isalpha() and not any(a == b for a, b in zip(core, core[1:])):
             return (core,)
         # Signs at the ends may be letters too, where something of the token is a letter.
         core = token.strip(".,;:?\"'()[]{}<>#%&*~^=/\\-_`").rstrip("!")
         if not any(c.isalpha() for c in core):
             return ()
         parts = [p for p in "".join(c if c.isalnum() or c in SIGNS else " " for c in core).split()]
-        if len(core) > _LONGEST:
-            return tuple(p for p in parts if p.isalpha())
-        if len(parts) > 1 and max(map(len, parts)) > 1:  # words with a sign between them
-            return tuple(w for p in parts for w in self.token(p))
-        return tuple(decode(core, self._model).split())
+        whole = decode(core, self._model).split()
+        if len(parts) > 1 and max(map(len, parts)) > 1:  # words with a sign between them, or one with a sign in it: both readings
+            whole += [w for p in parts for w in self.token(p)]
+        return tuple(whole)
 
     def token(self, token: str) -> tuple[str, ...]:
         got = self._words.get(token)
@@ -128,6 +136,14 @@ class Restorer:
             got = self._words[token] = self._restore(token)
         return got
 
+    def _apart(self, letters: str) -> tuple[str, ...]:
+        got = self._words.get(letters)  # no token has a blank
+        if got is None:
+            if len(self._words) > _REMEMBERED:
+                self._words.clear()
+            got = self._words[letters] = tuple(decode(letters, self._model).split())
+        return got
+
     def words(self, text: str | None) -> set[str]:
         tokens = (text or "").lower().split()
         out: set[str] = set()
@@ -137,8 +153,8 @@ class Restorer:
         first = 0
         for k in range(1, len(single) + 1):
             if k == len(single) or single[k] != single[k - 1] + 1:
-                if k - first > 3:  # letters set apart
-                    out.update(decode("".join(tokens[single[first] : single[k - 1] + 1][:_LONGEST]), self._model).split())
+                if k - first > 1:  # letters set apart
+                    out.update(self._apart(" ".join(tokens[single[first] : single[k - 1] + 1])))
                 first = k
         return out
 
@@ -301,7 +317,7 @@ def with_toxicity(docs: DataFrame, labelled: DataFrame, corpus: DataFrame, name:
     """`docs` with a column `name`, the probability from 0 to 1 that the text is toxic.
 
     `corpus` (`text`) teaches the character model, `labelled` (doc, label 0 or 1, `text`) the evidence. Whole texts
-    are scored. Null or empty text has no evidence and gets the intercept's score, as does every
+    are scored, disguises of any length decoded. Null or empty text has no evidence and gets the intercept's score, as does every
     text if one of the labels does not occur. Repeated rows are scored alike.
     """
     if name in docs.columns:
