@@ -200,6 +200,18 @@ def test_secrets(leaks):
     assert all(("[secret]" in r.text) == r.leak for r in clean if r.doc_id % 5 in (0, 1, 2))
 
 
+def test_secrets_beside_harmless_words(spark, leaks):
+    """Words within others, site names and harmless words around take nothing from a proven secret; a harmless word in it does."""
+    around = ["the latest contest", "a committee said", "write to ann@mail1.example.com", "see http://www.example.com/ and", "for the test we use", "x" * 44 + " protest"]
+    rows = [(1000 + 10 * i + k, f"{w} {body} end", "src/1", True) for i, w in enumerate(around) for k, body in enumerate([f'token = "{key(i, "0123456789abcdef", 40)}"', f"AKIA{key(i, 'ABCDEFGH0123', 16)}"])]
+    got = secret_scan.find_secrets(leaks.union(spark.createDataFrame(rows, leaks.schema))).where("doc_id >= 1000").collect()
+    held = {r.doc_id for r in got if r.is_secret}
+    assert held == {r[0] for r in rows}
+    docs = spark.createDataFrame([(1, 'token = "example-0123456789ab"', "s")], "doc_id long, text string, source string")
+    rated = secret_scan.with_features(secret_scan.candidates(docs), secret_scan.dictionary(docs)).fillna("", ["path"])
+    assert rated.select(secret_scan.label_of()).first()[0] is None
+
+
 def test_secret_cases(spark, leaks):
     odd = [(None, "token = 0123456789abcdef0123", None, None), (1, None, "s", 1), (2, "", "s", 1), (3, "a" * 50_000, "s", 1), (4, "x " + "ab12" * 8 + "== y", "s", 1), (4, "x " + "ab12" * 8 + "== y", "s", 1)]
     docs = spark.createDataFrame(odd, "doc_id long, text string, source string, found int")

@@ -19,7 +19,8 @@ AROUND = 48
 _FORMATS = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^AIza[A-Za-z0-9_-]{35}$"
 _NAMES = r"(?i)(pass(word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)"
 _ASSIGNED = _NAMES + r"[A-Za-z_-]*[\"']?\s*(=|:|=>|:=)\s*[\"']?$"
-_HARMLESS = r"(?i)(example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test|mock|fake|checksum|commit|digest|sha1|sha256|md5|uuid|isbn)"
+#: Whole words only, and not the names of sites such as example.com.
+_HARMLESS = r"(?i)(?<![a-z])((example|sample|dummy|placeholder|changeme|x{4,}|test|mock|fake|checksum|commit|digest|sha1|sha256|md5|uuid|isbn)(?!\.?[a-z])|your[_-])"
 FEATURES = [
     "length", "digits", "capitals", "smalls", "signs", "hexadecimal", "transitions", "distinct", "vowels", "longest_word", "dictionary",
     "named", "assigned", "quoted", "harmless_near", "harmless_path", "path_depth", "words_before", "words_after",
@@ -73,6 +74,9 @@ def _share(found: Column, pattern: str) -> Column:
 def with_features(found: DataFrame, known: DataFrame) -> DataFrame:
     """`found` with a column for each of FEATURES."""
     c, before, after = F.col("found"), F.col("before"), F.col("after")
+    # What is cut at AROUND may begin or end within a word, which is then none.
+    whole_before = F.when(F.length(before) < AROUND, before).otherwise(F.regexp_replace(before, "^[A-Za-z]+", ""))
+    whole_after = F.when(F.length(after) < AROUND, after).otherwise(F.regexp_replace(after, r"\.?[A-Za-z]+\.?$", ""))
     runs = F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: F.length(w) > 2)
     pieces = found.select("cid", F.explode(runs).alias("word"))
     covered = pieces.join(known, "word").groupBy("cid").agg(F.sum(F.length("word")).alias("covered"))
@@ -94,7 +98,7 @@ def with_features(found: DataFrame, known: DataFrame) -> DataFrame:
             "named": flag(F.rlike(before, F.lit(_NAMES))),
             "assigned": flag(F.rlike(before, F.lit(r"(=|:)\s*[\"']?$"))),
             "quoted": flag(F.rlike(before, F.lit("[\"'`]$"))),
-            "harmless_near": flag(F.rlike(F.concat_ws(" ", before, c, after), F.lit(_HARMLESS))),
+            "harmless_near": flag(F.rlike(F.concat_ws(" ", whole_before, c, whole_after), F.lit(_HARMLESS))),
             "harmless_path": flag(F.rlike(F.col("path"), F.lit(_HARMLESS))),
             "path_depth": (F.size(F.split("path", "/")) - 1).cast("double"),
             "words_before": F.size(F.filter(F.split(before, "[^A-Za-z]+"), lambda w: F.length(w) > 1)).cast("double"),
@@ -107,13 +111,14 @@ def with_features(found: DataFrame, known: DataFrame) -> DataFrame:
 def label_of() -> Column:
     """1 for a finding that its format or assignment proves, 0 for a proven false one, else null.
 
-    Proven: a provider's format, or digits and letters mixed that are assigned to a name such as password or token. False:
+    Proven: a provider's format, or digits and letters mixed that are assigned to a name such as password or token, whatever
+    words are around; with a harmless word in the finding itself it is left unlabelled. False: what is not proven and has
     only digits, only letters of one case, or harmless words around. These are the labelled findings where none are given.
     """
     mixed = (F.col("digits") > 0.1) & (F.col("digits") < 1.0)
     proven = F.rlike("found", F.lit(_FORMATS)) | (F.rlike("before", F.lit(_ASSIGNED)) & mixed)
     false = (F.col("digits") == 1.0) | F.rlike("found", F.lit("^([a-z]+|[A-Z]+|[A-Z][a-z]+)$")) | (F.col("harmless_near") == 1.0)
-    return F.when(proven & (F.col("harmless_near") == 0.0), 1.0).when(false, 0.0)
+    return F.when(proven & ~F.rlike("found", F.lit(_HARMLESS)), 1.0).when(false & ~proven, 0.0)
 
 
 def train(labelled: DataFrame, most_findings: int = 100_000, trees: int = 20, depth: int = 6):
