@@ -212,6 +212,14 @@ def test_secrets_beside_harmless_words(spark, leaks):
     assert rated.select(secret_scan.label_of()).first()[0] is None
 
 
+def test_undecided_without_both_labels(spark):
+    """Without a forest only what is proven is a secret."""
+    texts = ["-" * 20, "_" * 20, "see /usr/local/lib/python", "a state-of-the-art-model", f"AKIA{key(1, 'ABCDEFGH0123', 16)}"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert [r.doc_id for r in secret_scan.find_secrets(docs).where("is_secret").collect()] == [4]
+    assert not secret_scan.find_secrets(docs.where("doc_id < 4")).where("is_secret").count()
+
+
 def test_secret_cases(spark, leaks):
     odd = [(None, "token = 0123456789abcdef0123", None, None), (1, None, "s", 1), (2, "", "s", 1), (3, "a" * 50_000, "s", 1), (4, "x " + "ab12" * 8 + "== y", "s", 1), (4, "x " + "ab12" * 8 + "== y", "s", 1)]
     docs = spark.createDataFrame(odd, "doc_id long, text string, source string, found int")

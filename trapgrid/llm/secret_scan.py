@@ -145,14 +145,14 @@ def find_secrets(
 
     `labelled` are findings (label 0.0 or 1.0 and FEATURES, as from with_features); without them, the
     proven ones of `docs` themselves teach the forest. The forest judges every candidate, the labelled too. If a label does
-    not occur, a candidate is a secret if label_of says so, with probability 0.5 where it says nothing (and is one).
+    not occur, a candidate is a secret if label_of proves it, with probability 0 where it says nothing.
     Null or empty text has no candidate; a null path is empty; repeated rows give repeated findings; other columns are left out.
     """
     found = candidates(docs, text, key, path)
     rated = stored(with_features(found, dictionary(docs, text=text)).fillna("", ["path"]), "secret-features")
     model = train(labelled if labelled is not None else rated.withColumn("label", label_of()).where("label is not null"))
     if model is None:
-        judged = rated.withColumn("probability", F.coalesce(label_of(), F.lit(0.5)))
+        judged = rated.withColumn("probability", F.coalesce(label_of(), F.lit(0.0)))
     else:
         judged = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rated))
         judged = judged.withColumn("probability", vector_to_array("probability")[1])
