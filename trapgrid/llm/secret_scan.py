@@ -12,18 +12,27 @@ from pyspark.sql import functions as F
 
 from trapgrid.llm.frames import stored
 
-#: A run of 16 or more signs that keys are written in.
-CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 #: Signs before and after a candidate that are looked at.
 AROUND = 48
-_FORMATS = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^AIza[A-Za-z0-9_-]{35}$"
+_FORMATS = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^AIza[A-Za-z0-9_-]{35}$|^-----BEGIN |^eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\."
 _NAMES = r"(?i)(pass(word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)"
 _ASSIGNED = _NAMES + r"[A-Za-z_-]*[\"']?\s*(=|:|=>|:=)\s*[\"']?$"
+_IN_URL = r"://[^\s/:@\"']{0,256}:$"
+# Java looks back over bounded lengths only; the first look, over few signs, spares the second in most places.
+_AFTER_NAME = r"(?<=[=:>\s\"'])(?<=[=:>]\s{0,3}[\"']?)(?<=" + _NAMES.replace("(?i)(", "(?i:") + r"[A-Za-z_-]{0,40}[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?)"
+#: What may be a secret: key blocks, values assigned to one of the names (quoted, or without blanks, from 6 signs), passwords in
+#: URLs, and runs of 16 or more signs that keys are written in, with what follows after dots.
+CANDIDATE = "|".join([
+    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----",
+    _AFTER_NAME + r"(?:(?<=\")[^\"\r\n]{6,}+(?=\")|(?<=')[^'\r\n]{6,}+(?=')|[^\s\"'`,;<>(){}\[\]]{5,}[^\s\"'`,;.:<>(){}\[\]])",
+    r"(?<=:)(?<=" + _IN_URL[:-1] + r")[^\s/@\"']++(?=@)",
+    r"[A-Za-z0-9+/_-]{16,}(?:(?:\.[A-Za-z0-9_-]{4,}){2,4}|={0,2})",
+])
 #: Whole words only, and not the names of sites such as example.com.
 _HARMLESS = r"(?i)(?<![a-z])((example|sample|dummy|placeholder|changeme|x{4,}|test|mock|fake|checksum|commit|digest|sha1|sha256|md5|uuid|isbn)(?!\.?[a-z])|your[_-])"
 FEATURES = [
     "length", "digits", "capitals", "smalls", "signs", "hexadecimal", "transitions", "distinct", "vowels", "longest_word", "dictionary",
-    "named", "assigned", "quoted", "harmless_near", "harmless_path", "path_depth", "words_before", "words_after",
+    "named", "assigned", "quoted", "in_url", "harmless_near", "harmless_path", "path_depth", "words_before", "words_after",
 ]
 
 
@@ -98,6 +107,7 @@ def with_features(found: DataFrame, known: DataFrame) -> DataFrame:
             "named": flag(F.rlike(before, F.lit(_NAMES))),
             "assigned": flag(F.rlike(before, F.lit(r"(=|:)\s*[\"']?$"))),
             "quoted": flag(F.rlike(before, F.lit("[\"'`]$"))),
+            "in_url": flag(F.rlike(before, F.lit(_IN_URL)) & F.startswith(after, F.lit("@"))),
             "harmless_near": flag(F.rlike(F.concat_ws(" ", whole_before, c, whole_after), F.lit(_HARMLESS))),
             "harmless_path": flag(F.rlike(F.col("path"), F.lit(_HARMLESS))),
             "path_depth": (F.size(F.split("path", "/")) - 1).cast("double"),
@@ -111,12 +121,12 @@ def with_features(found: DataFrame, known: DataFrame) -> DataFrame:
 def label_of() -> Column:
     """1 for a finding that its format or assignment proves, 0 for a proven false one, else null.
 
-    Proven: a provider's format, or digits and letters mixed that are assigned to a name such as password or token, whatever
+    Proven: a provider's format, a key block, a password in a URL, or digits and letters mixed that are assigned to a name such as password or token, whatever
     words are around; with a harmless word in the finding itself it is left unlabelled. False: what is not proven and has
     only digits, only letters of one case, or harmless words around. These are the labelled findings where none are given.
     """
     mixed = (F.col("digits") > 0.1) & (F.col("digits") < 1.0)
-    proven = F.rlike("found", F.lit(_FORMATS)) | (F.rlike("before", F.lit(_ASSIGNED)) & mixed)
+    proven = F.rlike("found", F.lit(_FORMATS)) | (F.rlike("before", F.lit(_ASSIGNED)) & mixed) | (F.col("in_url") == 1.0)
     false = (F.col("digits") == 1.0) | F.rlike("found", F.lit("^([a-z]+|[A-Z]+|[A-Z][a-z]+)$")) | (F.col("harmless_near") == 1.0)
     return F.when(proven & ~F.rlike("found", F.lit(_HARMLESS)), 1.0).when(false & ~proven, 0.0)
 
