@@ -174,6 +174,16 @@ def test_disguises_of_any_length():
     assert restorer.words("x" * 200_000) == {"x"}
 
 
+def test_only_near_copies_count_once(spark):
+    """Texts that share a passage stay apart; copies and near copies are one, those with another label not."""
+    shared = brute.prose(70, 30)
+    unlike = [(i, f"{shared} " + " ".join(f"{chr(97 + i)}{chr(97 + k % 26)}{chr(97 + k // 26)}q" for k in range(120)), 1) for i in range(20)]
+    copy = unlike[0][1]
+    rows = [*unlike, (30, copy, 1), (31, copy + " end", 1), (32, copy, 0), (33, "", 0), (34, None, 0)]
+    table = toxicity._restored(spark.createDataFrame(rows, "doc long, text string, label int"), {}, "text")
+    assert sorted(r.label for r in toxicity._once(table).collect()) == [0, 0] + [1] * 20
+
+
 def key(seed: int, letters: str, n: int) -> str:
     return "".join(random.Random(seed).choices(letters, k=n))
 

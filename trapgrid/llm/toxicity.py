@@ -31,6 +31,9 @@ _MASKS = "*"
 _KNOWN = frozenset(_LETTERS) | {"", " "}
 #: Tokens that a task remembers before it starts afresh.
 _REMEMBERED = 1 << 20
+#: Minwise values in a key, and the hash functions of eight keys.
+_BAND = 4
+_MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, 8 * _BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class CharacterModel:
@@ -205,21 +208,22 @@ def labelled_texts(docs: DataFrame, marks: DataFrame, most_labelled: int = 200_0
 
 
 def _restored(rows: DataFrame, trigrams: dict[str, int], text: str) -> DataFrame:
-    """`rows` with `words`, the distinct restored words as one text, and `near`, the lowest hash of a word pair."""
+    """`rows` with `words`, the distinct restored words as one text, `near`, a hash of them, and `keys`, of which
+    near copies share some: each a hash of _BAND minwise values of the words."""
     held = rows.sparkSession.sparkContext.broadcast(trigrams)
-    kind = T.StructType([T.StructField("words", T.StringType()), T.StructField("near", T.LongType())])
+    kind = T.StructType([T.StructField("words", T.StringType()), T.StructField("near", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def make() -> Callable:
         restorer = Restorer(CharacterModel(held.value))
 
         def compute(part: pa.RecordBatch) -> pa.Array:
-            words, near = [], []
+            words, near, keys = [], [], []
             for t in _column(part, text):
-                words.append(" ".join(sorted(restorer.words(t))))
-                tokens = (t or "").lower().split()
-                pairs = {_name(a + " " + b) for a, b in zip(tokens, tokens[2:])} or {_name(" ".join(tokens))}
-                near.append(min(pairs))
-            return pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(near, pa.int64())], names=["words", "near"])
+                found = sorted(restorer.words(t))
+                words.append(" ".join(found))
+                near.append(_name(words[-1]))
+                keys.append(_keys(found))
+            return pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(near, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["words", "near", "keys"])
 
         return compute
 
@@ -232,19 +236,45 @@ def _name(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
+def _keys(words: list[str]) -> list[int]:
+    names = np.array([_name(w) for w in words], np.uint64)
+    if not len(names):
+        return []
+    low = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
+    for first in range(0, len(names), 1024):
+        low = np.minimum(low, (names[None, first : first + 1024] * _MULTIPLIERS[:, None]).min(1))
+    return [_name(f"{i} {band.tobytes().hex()}") for i, band in enumerate(low.reshape(-1, _BAND))]
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """(label, words, near) of `rows`, near copies once.
+
+    Equal sets of words with one label are one. Of the rest, a row goes if the one with the lowest hash of those it shares a
+    key with shares three quarters of the words of both, counted on the sets themselves.
+    """
+    distinct = stored(rows.dropDuplicates(["near", "label"]), "toxic-distinct")
+    own = distinct.select("label", "near", F.explode("keys").alias("k"))
+    heads = own.groupBy("label", "k").agg(F.min("near").alias("head"), F.count("*").alias("n")).where("n > 1")
+    pairs = own.join(heads, ["label", "k"]).where("near <> head").select("label", "near", "head").distinct()
+    words = distinct.select("label", "near", F.split("words", " ").alias("set"))
+    both = pairs.join(words, ["label", "near"]).join(words.select("label", F.col("near").alias("head"), F.col("set").alias("other")), ["label", "head"])
+    shared = F.size(F.array_intersect("set", "other"))
+    copies = both.where(4 * shared >= 3 * (F.size("set") + F.size("other") - shared)).select("label", "near").distinct()
+    return distinct.join(copies, ["label", "near"], "left_anti").select("label", "words", "near")
+
+
 def train(
     labelled: DataFrame, trigrams: dict[str, int], least_docs: int = 6, least_gain: float = 12.0, most_evidence: int = 1 << 16, text: str = "text"
 ) -> tuple[dict[str, float], tuple[float, float]]:
     """(weight of each piece of evidence, (intercept, slope) of the score) from (doc, label, `text`) rows.
 
-    Near copies count once: of documents with the same lowest hash of word pairs and the same label one is taken.
+    Near copies with the same label count once (see _once); every other labelled text stays.
     Three of four of these give the evidence: pieces in at least `least_docs` toxic documents, most of them toxic,
     with a likelihood gain over the share of toxic documents of `least_gain`; if there are more than
     `most_evidence`, those with the highest gain, which bounds what is broadcast. The fourth sets the score.
     """
     rows = stored(_restored(labelled, trigrams, text), "toxic-words")
-    heads = rows.groupBy("near", "label").agg(F.min("doc").alias("doc"))
-    once = stored(rows.join(heads, ["near", "label", "doc"], "left_semi"), "toxic-once")
+    once = stored(_once(rows), "toxic-once")
     fourth = F.pmod(F.xxhash64("near"), F.lit(4)) == 3
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
