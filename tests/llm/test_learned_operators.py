@@ -77,6 +77,16 @@ def test_url_model_is_a_distribution(spark):
         assert gain[gram] == pytest.approx(want, abs=1e-9), gram
 
 
+def test_url_model_keeps_rare_contexts(spark, monkeypatch):
+    """One large source does not push the contexts of others out of the models."""
+    pick, tables = random.Random(4), []
+    rows = [f"http://big.com/{''.join(pick.choices('defghk', k=40))}" for _ in range(2000)] + [f"http://s.net/es/jackpot-{i}" for i in range(9)] + [f"http://s.net/es/jackpot{'z' * i}" for i in range(9)]
+    plain = url_filter.ratios
+    monkeypatch.setattr(url_filter, "ratios", lambda texts, table, order: (tables.append(table), plain(texts, table, order))[1])
+    url_filter.judge_urls(spark.createDataFrame([(u,) for u in rows], "url string"), URL_RULES).count()
+    assert tables[0].where("gram in ('jack', 'ckpo')").count() == 2
+
+
 def test_url_without_labels(spark):
     got = url_filter.judge_urls(spark.createDataFrame([("http://a.org/",), (None,)], "url string"), URL_RULES).collect()
     assert [r.judged.verdict for r in got] == ["allow", "allow"]

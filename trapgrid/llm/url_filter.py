@@ -60,7 +60,7 @@ def likelihood_table(labelled: DataFrame, order: int, least_share: float) -> Dat
     Both models are variable-order Markov models with Witten-Bell smoothing: a context's
     distribution falls back on that of the context without its first character, in proportion to the
     number of different characters seen after it. Contexts with less than `least_share` of all
-    characters of both classes are left out, which leaves at most 1 / `least_share` contexts of each length.
+    characters of both classes are left out (none at 0); the alphabet bounds the contexts of each length.
     The gains of all grams that end at a character sum up to the ratio by its longest known context.
     """
     counts = gram_counts(labelled, order).withColumn("ctx", F.expr("left(gram, length(gram) - 1)"))
@@ -90,9 +90,9 @@ def likelihood_table(labelled: DataFrame, order: int, least_share: float) -> Dat
 
 
 def ratios(texts: DataFrame, table: DataFrame, order: int) -> DataFrame:
-    """(key, ratio): log-likelihood ratio of each text per character. `table` is small, see likelihood_table."""
+    """(key, ratio): log-likelihood ratio of each text per character. The alphabet bounds `table`; Spark broadcasts it where it is small."""
     grams = texts.select("key", F.length("text").alias("n"), F.explode(_grams(F.col("text"), order)).alias("gram"))
-    hits = grams.join(F.broadcast(table), "gram")
+    hits = grams.join(table, "gram")
     return hits.groupBy("key", "n").agg(F.sum("gain").alias("sum")).select("key", (F.col("sum") / F.col("n")).alias("ratio"))
 
 
@@ -101,7 +101,7 @@ def judge_urls(
     rules: list[tuple[str, str, bool]],
     name: str = "judged",
     order: int = 3,
-    least_share: float = 1 / 4096,
+    least_share: float = 0.0,
     url: str = "url",
 ) -> DataFrame:
     """`pages` with a struct column `name`: host, path, rule, score, verdict ("allow" or "block").
