@@ -35,18 +35,19 @@ def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
 
 
 def with_computed(
-    df: DataFrame, name: str, kind: T.DataType, make: Callable[[], Callable[[pa.RecordBatch], pa.Array]], text: str
+    df: DataFrame, name: str, kind: T.DataType, make: Callable[[], Callable[[pa.RecordBatch], pa.Array]], text: str | None
 ) -> DataFrame:
     """`df` with a column that `make()(rows)` computes in the tasks, over runs of rows with a few MB of `text`.
 
-    `make` is called once in each task.
+    Without a `text` the runs are of a few hundred rows. `make` is called once in each task.
     """
     names = [*df.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            for rows in slices(batch, text):
+            runs = slices(batch, text) if text else (batch.slice(i, 256) for i in range(0, batch.num_rows, 256))
+            for rows in runs:
                 yield pa.RecordBatch.from_arrays([*rows.columns, compute(rows)], names=names)
 
     return arrow_map(df, run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))

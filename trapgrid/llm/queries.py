@@ -7,9 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapgrid.llm import decontaminate, language_id, near_dedup, packing, quality, secret_scan, suffix_dedup, token_output, toxicity, url_filter
+from trapgrid.llm import (
+    byte_bpe,
+    decontaminate,
+    hard_negatives,
+    language_id,
+    near_dedup,
+    packing,
+    quality,
+    secret_scan,
+    suffix_dedup,
+    token_output,
+    toxicity,
+    url_filter,
+    vector_codes,
+)
+from trapgrid.llm.frames import stored
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = [("com", "/", True), ("example.com", "/en/", False), ("www.example.com", "/en/", True), ("net", "/es/", False), ("net", "/fr/", False)]
 
 
@@ -87,6 +103,33 @@ def op10_benchmark_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_dual_tree_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.with_codes(read(spark, sf_dir, "embeddings"))
+    code = vector_codes.code_text("codes.entry").alias("code")
+    coded = vector_codes.with_label_error(stored(coded.select("vec_id", "label", code, "codes.error"), "vector-codes"), "error")
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebook_digest(books)).alias("codebooks_sha256"))
+
+
+def op12_segment_tree_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path(RANKS)
+    encoded = byte_bpe.with_token_ids(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    both = byte_bpe.with_decoded(encoded.select("doc_id", "ids"), ranks)
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_cover_tree_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_language_model": op1_url_language_model,
@@ -99,6 +142,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_noisy_channel_toxicity": op8_noisy_channel_toxicity,
         "op9_random_forest_secrets": op9_random_forest_secrets,
         "op10_benchmark_automaton": op10_benchmark_automaton,
+        "op11_dual_tree_vector_codes": op11_dual_tree_vector_codes,
+        "op12_segment_tree_byte_bpe": op12_segment_tree_byte_bpe,
+        "op13_cover_tree_hard_negatives": op13_cover_tree_hard_negatives,
     }
 
 
@@ -147,5 +193,54 @@ select doc_id, len(ws) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(own.n,
 from norm left join hit using (r) left join own using (r)"""
 
 
+_KEPT_SQL = """
+kept as (select row_number() over (order by vec_id nulls last, ints) as r, vec_id, label, ints
+  from (select vec_id, label, list_transform(embedding, lambda x: cast(floor({scale} * cast(x as double)) as bigint)) as ints, embedding from {table})
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0{more})"""
+
+#: Lloyd's rounds one after the other: nearest entries by exact squared distances, then means rounded down.
+_CODES_SQL = (
+    "with " + _KEPT_SQL.format(scale=4096, table="embeddings", more="") + """,
+parts as (select r, p, ints[(p - 1) * (len(ints) // 8) + 1:p * (len(ints) // 8)] as v from kept, range(1, 9) t(p)),
+book0 as (select p, r - 1 as e, v from parts where r <= 16)"""
+    + "".join(
+        f""",
+near{k} as (select r, p, v, arg_min(e, (d, e)) as e, min(d) as d from (
+    select r, a.p, a.v, b.e, cast(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d
+    from parts a join book{k} b on a.p = b.p) group by r, p, v)"""
+        + (
+            ""
+            if k == 6
+            else f""",
+mean{k} as (select p, e, list(m order by i) as v from (
+    select p, e, i, cast(floor(sum(x) / count(*)) as bigint) as m
+    from (select p, e, unnest(v) as x, generate_subscripts(v, 1) as i from near{k}) group by p, e, i) group by p, e),
+book{k + 1} as (select b.p, b.e, coalesce(m.v, b.v) as v from book{k} b left join mean{k} m on b.p = m.p and b.e = m.e)"""
+        )
+        for k in range(7)
+    )
+    + """,
+coded as (select r, string_agg(lpad(printf('%x', e), 2, '0'), '' order by p) as code, cast(sum(d) as bigint) as error from near6 group by r),
+digest as (select sha256(string_agg(array_to_string(v, ','), ',' order by p, e)) as codebooks_sha256 from book6)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from kept join coded using (r), digest"""
+)
+
+#: All rows against each anchor, then each of the anchor's positives.
+_NEGATIVES_SQL = (
+    "with moved as (select vec_id, embedding, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label from embeddings),"
+    + _KEPT_SQL.format(scale=256, table="moved", more=" and label is not null and vec_id is not null")
+    + """,
+vecs as (select r, vec_id, label, cast(ints as double[]) as v from kept),
+scored as (select a.r, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+  from vecs a join vecs b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+pos as (select r, anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by r order by score desc, vec_id) as k from scored where same),
+neg as (select p.r, p.k, p.anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score,
+    cast(row_number() over (partition by p.r, p.k order by s.score desc, s.vec_id) as integer) as rank
+  from pos p join scored s on p.r = s.r and not s.same and 80 * p.positive_score <= 100 * s.score and 100 * s.score <= 100 * p.positive_score where p.k <= 5)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from neg where rank <= 5"""
+)
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op4_line_first_quality": _QUALITY_SQL, "op10_benchmark_automaton": _HITS_SQL}
+    return {"op4_line_first_quality": _QUALITY_SQL, "op10_benchmark_automaton": _HITS_SQL, "op11_dual_tree_vector_codes": _CODES_SQL, "op13_cover_tree_hard_negatives": _NEGATIVES_SQL}
