@@ -20,7 +20,7 @@ from trapgrid.llm.frames import free_name, with_computed
 _NONE = (1 << 62) - 1
 _PLACE = (1 << 32) - 1
 #: Bytes of pieces that a worker remembers before it starts afresh, the overhead of an entry counted with each.
-_REMEMBERED = 200_000_000
+_REMEMBERED = 100_000_000
 #: Bytes of pieces that are merged many at a time.
 _SHORT = 64
 #: Stretches that are put together at a time.
