@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from trapgrid.llm import language_id, secret_scan, toxicity, url_filter
+from trapgrid.llm.frames import stored
 from trapgrid.llm.queries import URL_RULES
 
 URLS = [
@@ -190,8 +191,44 @@ def test_only_near_copies_count_once(spark):
     unlike = [(i, f"{shared} " + " ".join(f"{chr(97 + i)}{chr(97 + k % 26)}{chr(97 + k // 26)}q" for k in range(120)), 1) for i in range(20)]
     copy = unlike[0][1]
     rows = [*unlike, (30, copy, 1), (31, copy + " end", 1), (32, copy, 0), (33, "", 0), (34, None, 0)]
-    table = toxicity._restored(spark.createDataFrame(rows, "doc long, text string, label int"), {}, "text")
-    assert sorted(r.label for r in toxicity._once(table).collect()) == [0, 0] + [1] * 20
+    table = stored(toxicity._restored(spark.createDataFrame(rows, "doc long, text string, label int"), {}, "text"), "words")
+    assert sorted(r.label for r in table.join(toxicity._once(table), "row").collect()) == [0, 0] + [1] * 20
+
+
+def test_choice_of_near_copies(spark):
+    """Against a plain version: all pairs of a text and the lowest one it shares a key with, on the sets of words."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        base = brute.prose(2000 + i, 60).split()
+        rows += [(i, " ".join(base[: 60 - k] + [f"zq{chr(97 + j)}{chr(97 + i % 26)}" for j in range(k)]), rng.randint(0, 1)) for k in (0, rng.randint(1, 6), rng.randint(7, 25))]
+    table = stored(toxicity._restored(spark.createDataFrame(rows, "doc long, text string, label int"), {}, "text"), "words")
+    got = {r.row for r in toxicity._once(table).collect()}
+    first = {}
+    for r in sorted(table.collect(), key=lambda r: r.row):
+        first.setdefault((r.label, r.near), r)
+    head, want = {}, set()
+    for r in first.values():
+        for k in r["keys"]:
+            head[r.label, k] = min(head.get((r.label, k), r), r, key=lambda x: x.near)
+    for r in first.values():
+        own = set(r.words.split())
+        heads = [set(head[r.label, k].words.split()) for k in r["keys"] if head[r.label, k].near != r.near]
+        if not any(4 * len(own & h) >= 3 * len(own | h) for h in heads):
+            want.add(r.row)
+    assert got == want and len(want) < len(first) - 20
+
+
+def test_evidence_beyond_what_is_sent(spark, rated, monkeypatch):
+    """Evidence joined with the words of the texts gives the scores that evidence sent to the tasks gives."""
+    docs = rated.select("doc", F.when(F.col("doc") % 50 != 0, F.col("text")).alias("text"), F.lit(1).alias("row_number"))
+    near = toxicity.with_toxicity(docs, rated.where("doc % 5 <> 0"), rated.select("text"), "score").collect()
+    monkeypatch.setattr(toxicity, "_SENT", 0)
+    far = toxicity.with_toxicity(docs, rated.where("doc % 5 <> 0"), rated.select("text"), "score")
+    assert far.columns == ["doc", "text", "row_number", "score"]
+    assert sorted((r.doc, round(r.score, 9)) for r in near) == sorted((r.doc, round(r.score, 9)) for r in far.collect())
+    with pytest.raises(ValueError, match="column"):
+        toxicity.with_toxicity(docs.withColumn("Score", F.lit(1)), rated, rated.select("text"), "score")
 
 
 def key(seed: int, letters: str, n: int) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trapgrid.llm.frames import arrow_map, stored, with_computed
+from trapgrid.llm.frames import arrow_map, free_name, stored, with_computed
 from trapgrid.llm.textbytes import slices
 
 #: Letters that a sign may stand for.
@@ -31,6 +31,8 @@ _MASKS = "*"
 _KNOWN = frozenset(_LETTERS) | {"", " "}
 #: Tokens that a task remembers before it starts afresh.
 _REMEMBERED = 1 << 20
+#: Pieces of evidence that are sent to the tasks as they are.
+_SENT = 1 << 18
 #: Minwise values in a key, and the hash functions of eight keys.
 _BAND = 4
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, 8 * _BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,8 +152,10 @@ class Restorer:
     def words(self, text: str | None) -> set[str]:
         tokens = (text or "").lower().split()
         out: set[str] = set()
+        known = self._words.get
         for token in set(tokens):
-            out.update(self.token(token))
+            got = known(token)
+            out.update(self.token(token) if got is None else got)
         single = [i for i, t in enumerate(tokens) if len(t) == 1]
         first = 0
         for k in range(1, len(single) + 1):
@@ -208,26 +212,32 @@ def labelled_texts(docs: DataFrame, marks: DataFrame, most_labelled: int = 200_0
 
 
 def _restored(rows: DataFrame, trigrams: dict[str, int], text: str) -> DataFrame:
-    """`rows` with `words`, the distinct restored words as one text, `near`, a hash of them, and `keys`, of which
-    near copies share some: each a hash of _BAND minwise values of the words."""
+    """`rows` with `words`, the distinct restored words as one text, `near`, a hash of them, `keys`, of which near copies share
+    some (each a hash of _BAND minwise values of the words), and `low`, a byte of each minwise value."""
     held = rows.sparkSession.sparkContext.broadcast(trigrams)
-    kind = T.StructType([T.StructField("words", T.StringType()), T.StructField("near", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    kind = T.StructType(
+        [T.StructField("words", T.StringType()), T.StructField("near", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("low", T.BinaryType())]
+    )
 
     def make() -> Callable:
         restorer = Restorer(CharacterModel(held.value))
 
         def compute(part: pa.RecordBatch) -> pa.Array:
-            words, near, keys = [], [], []
+            words, near, keys, lows = [], [], [], []
             for t in _column(part, text):
                 found = sorted(restorer.words(t))
                 words.append(" ".join(found))
                 near.append(_name(words[-1]))
-                keys.append(_keys(found))
-            return pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(near, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["words", "near", "keys"])
+                low = _minwise(found)
+                keys.append([_name(f"{i} {band.tobytes().hex()}") for i, band in enumerate(low.reshape(-1, _BAND))] if found else [])
+                lows.append((low & np.uint64(255)).astype(np.uint8).tobytes())
+            columns = [pa.array(words, pa.string()), pa.array(near, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.binary())]
+            return pa.StructArray.from_arrays(columns, names=[f.name for f in kind])
 
         return compute
 
-    return with_computed(rows, "restored", kind, make, text).select(*[c for c in rows.columns if c != text], "restored.*")
+    made = with_computed(rows, "restored", kind, make, text).select(*[c for c in rows.columns if c != text], "restored.*")
+    return made.withColumn("row", F.monotonically_increasing_id())
 
 
 def _name(text: str) -> int:
@@ -236,45 +246,51 @@ def _name(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
-def _keys(words: list[str]) -> list[int]:
+def _minwise(words: list[str]) -> np.ndarray:
+    """The smallest value of each of the hash functions over the words."""
     names = np.array([_name(w) for w in words], np.uint64)
-    if not len(names):
-        return []
     low = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
     for first in range(0, len(names), 1024):
         low = np.minimum(low, (names[None, first : first + 1024] * _MULTIPLIERS[:, None]).min(1))
-    return [_name(f"{i} {band.tobytes().hex()}") for i, band in enumerate(low.reshape(-1, _BAND))]
+    return low
 
 
 def _once(rows: DataFrame) -> DataFrame:
-    """(label, words, near) of `rows`, near copies once.
+    """(row) of the rows that count, near copies once. `rows` is stored.
 
-    Equal sets of words with one label are one. Of the rest, a row goes if the one with the lowest hash of those it shares a
-    key with shares three quarters of the words of both, counted on the sets themselves.
+    Of rows with equal sets of words and one label the first counts. Of the rest, a row goes if the one with the lowest hash of those it
+    shares a key with shares three quarters of the words of both. Only pairs whose minwise values agree in half
+    of the places (a pair at three quarters agrees in less with a probability of 0.001) are confirmed, on 64-bit hashes
+    of the words; no other set is moved.
     """
-    distinct = stored(rows.dropDuplicates(["near", "label"]), "toxic-distinct")
-    own = distinct.select("label", "near", F.explode("keys").alias("k"))
-    heads = own.groupBy("label", "k").agg(F.min("near").alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = own.join(heads, ["label", "k"]).where("near <> head").select("label", "near", "head").distinct()
-    words = distinct.select("label", "near", F.split("words", " ").alias("set"))
-    both = pairs.join(words, ["label", "near"]).join(words.select("label", F.col("near").alias("head"), F.col("set").alias("other")), ["label", "head"])
+    own = rows.groupBy("label", "near").agg(F.min("row").alias("row"))
+    firsts = rows.join(F.broadcast(stored(own.select("row"), "toxic-first")), "row", "left_semi")
+    keys = firsts.select("label", "near", "low", "row", F.explode("keys").alias("k"))
+    heads = keys.groupBy("label", "k").agg(F.min(F.struct("near", "low", "row")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    agree = F.size(F.filter(F.sequence(F.lit(1), F.lit(len(_MULTIPLIERS))), lambda i: F.substring("low", i, F.lit(1)) == F.substring("head.low", i, F.lit(1))))
+    pairs = keys.join(heads, ["label", "k"]).where((F.col("near") != F.col("head.near")) & (2 * agree >= len(_MULTIPLIERS)))
+    pairs = stored(pairs.select("row", F.col("head.row").alias("head")).distinct(), "toxic-pairs")
+    wanted = stored(pairs.select("row").union(pairs.select("head")).distinct(), "toxic-wanted")
+    names = F.array_distinct(F.transform(F.split("words", " "), lambda w: F.xxhash64(w)))
+    sets = rows.join(F.broadcast(wanted), "row", "left_semi").select("row", names.alias("set"))
+    both = pairs.join(sets.select(F.col("row").alias("head"), F.col("set").alias("other")), "head").join(sets, "row")
     shared = F.size(F.array_intersect("set", "other"))
-    copies = both.where(4 * shared >= 3 * (F.size("set") + F.size("other") - shared)).select("label", "near").distinct()
-    return distinct.join(copies, ["label", "near"], "left_anti").select("label", "words", "near")
+    copies = both.where(4 * shared >= 3 * (F.size("set") + F.size("other") - shared)).select("row").distinct()
+    return stored(firsts.select("row").join(F.broadcast(stored(copies, "toxic-copies")), "row", "left_anti"), "toxic-once")
 
 
 def train(
-    labelled: DataFrame, trigrams: dict[str, int], least_docs: int = 6, least_gain: float = 12.0, most_evidence: int = 1 << 16, text: str = "text"
-) -> tuple[dict[str, float], tuple[float, float]]:
-    """(weight of each piece of evidence, (intercept, slope) of the score) from (doc, label, `text`) rows.
+    labelled: DataFrame, trigrams: dict[str, int], least_docs: int = 6, least_gain: float = 12.0, text: str = "text"
+) -> tuple[DataFrame, tuple[float, float]]:
+    """((piece, weight) of the evidence, (intercept, slope) of the score) from (doc, label, `text`) rows, a bounded list as of labelled_texts.
 
     Near copies with the same label count once (see _once); every other labelled text stays.
     Three of four of these give the evidence: pieces in at least `least_docs` toxic documents, most of them toxic,
-    with a likelihood gain over the share of toxic documents of `least_gain`; if there are more than
-    `most_evidence`, those with the highest gain, which bounds what is broadcast. The fourth sets the score.
+    with a likelihood gain over the share of toxic documents of `least_gain`. The fourth sets the score.
     """
     rows = stored(_restored(labelled, trigrams, text), "toxic-words")
-    once = stored(_once(rows), "toxic-once")
+    # Row numbers of a bounded list of texts, so that no words are moved to find them.
+    once = rows.join(F.broadcast(_once(rows)), "row", "left_semi").select("label", "words", "near")
     fourth = F.pmod(F.xxhash64("near"), F.lit(4)) == 3
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,16 +305,19 @@ def train(
 
     totals = {r.label: r["count"] for r in once.where(~fourth).groupBy("label").count().collect()}
     if not totals.get(0) or not totals.get(1):
-        return {}, (-3.0, 0.0)
+        return rows.sparkSession.createDataFrame([], "piece string, weight double"), (-3.0, 0.0)
     base = totals[1] / (totals[0] + totals[1])
     counts = arrow_map(once.where(~fourth).select("words", "label"), count, "piece string, clean long, toxic long")
     counts = counts.groupBy("piece").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= least_docs)
     share = (F.col("toxic") + 4 * base) / (F.col("toxic") + F.col("clean") + 4)
     gain = F.col("toxic") * F.log(share / base)
-    rated = counts.select("piece", share.alias("share"), gain.alias("gain")).where((F.col("share") > 0.5) & (F.col("gain") >= least_gain))
-    weights = {r.piece: math.log(r.share / (1 - r.share)) for r in rated.orderBy(F.desc("gain"), "piece").limit(most_evidence).collect()}
+    rated = counts.select("piece", F.log(share / (1 - share)).alias("weight"), share.alias("share"), gain.alias("gain"))
+    weights = stored(rated.where((F.col("share") > 0.5) & (F.col("gain") >= least_gain)).select("piece", "weight"), "toxic-evidence")
     sums = _summed(once.where(fourth).select("label", "words"), weights, "words", split=True)
-    bins = sums.groupBy("label", F.least(F.round("evidence", 1), F.lit(50.0)).alias("x")).count().collect()
+    # Steps of a tenth, and beyond fifty of two digits: a few hundred bins, whatever the longest text holds.
+    digits = F.pow(F.lit(10.0), F.floor(F.log10("evidence")) - 1)
+    step = F.when(F.col("evidence") <= 50, F.round("evidence", 1)).otherwise(F.round(F.col("evidence") / digits) * digits)
+    bins = sums.groupBy("label", step.alias("x")).count().collect()
     return weights, _logistic([(r.x, r.label, r["count"]) for r in bins], base)
 
 
@@ -316,13 +335,23 @@ def _logistic(points: list[tuple[float, int, int]], base: float) -> tuple[float,
     return float(b[0]), float(max(b[1], 0.0))
 
 
-def _summed(rows: DataFrame, weights: dict[str, float], text: str, trigrams: dict[str, int] | None = None, split: bool = False, name: str = "evidence") -> DataFrame:
-    """`rows` with `name`: the summed weights of the distinct words, each by its strongest evidence."""
-    held = rows.sparkSession.sparkContext.broadcast((weights, trigrams or {}))
+def _summed(rows: DataFrame, weights: DataFrame, text: str, trigrams: dict[str, int] | None = None, split: bool = False, name: str = "evidence") -> DataFrame:
+    """`rows` with `name`: the summed weights of the distinct words, each by its strongest evidence.
+
+    `split` says that `text` has restored words. Evidence of up to _SENT pieces is sent to the tasks; more is joined.
+    """
+    spark = rows.sparkSession
+    grams = spark.sparkContext.broadcast(trigrams or {})
+
+    def words_of() -> Callable[[str | None], set[str]]:
+        return (lambda t: set((t or "").split())) if split else Restorer(CharacterModel(grams.value)).words
+
+    if weights.count() > _SENT:
+        return _joined(rows, weights, text, words_of, name)
+    held = spark.sparkContext.broadcast({r.piece: r.weight for r in weights.collect()})
 
     def make() -> Callable:
-        known, grams = held.value
-        restorer = Restorer(CharacterModel(grams)) if not split else None
+        known, words = held.value, words_of()
         seen: dict[str, float] = {}
 
         def weight(word: str) -> float:
@@ -332,17 +361,31 @@ def _summed(rows: DataFrame, weights: dict[str, float], text: str, trigrams: dic
             return got
 
         def compute(part: pa.RecordBatch) -> pa.Array:
-            out = []
-            for t in _column(part, text):
-                words = set((t or "").split()) if split else restorer.words(t)
-                out.append(sum(seen[w] if w in seen else weight(w) for w in words))
-            return pa.array(out, pa.float64())
+            return pa.array([math.fsum(seen[w] if w in seen else weight(w) for w in words(t)) for t in _column(part, text)], pa.float64())
 
         return compute
 
     return with_computed(rows, name, T.DoubleType(), make, text)
 
 
+def _joined(rows: DataFrame, weights: DataFrame, text: str, words_of: Callable, name: str) -> DataFrame:
+    """The same by a join of the pieces of all words with the evidence, for evidence of any size."""
+    own = free_name(rows, "row_number")
+    kept = stored(rows.withColumn(own, F.monotonically_increasing_id()), "toxic-rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = words_of()
+        for batch in batches:
+            for part in slices(batch, text):
+                found = [(r, w, e) for r, t in zip(_column(part, own), _column(part, text)) for w in words(t) for e in evidence_of(w)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string()))], names=["row", "word", "piece"])
+
+    pieces = arrow_map(kept.select(own, text), run, "row long, word string, piece string").join(weights, "piece")
+    strongest = pieces.groupBy("row", "word").agg(F.max(F.greatest("weight", F.lit(0.0))).alias("weight"))
+    sums = strongest.groupBy(F.col("row").alias(own)).agg(F.sum("weight").alias(name))
+    return kept.join(sums, own, "left").withColumn(name, F.coalesce(name, F.lit(0.0))).drop(own)
+
+
 def with_toxicity(docs: DataFrame, labelled: DataFrame, corpus: DataFrame, name: str = "toxicity", text: str = "text") -> DataFrame:
     """`docs` with a column `name`, the probability from 0 to 1 that the text is toxic.
 
@@ -350,7 +393,7 @@ def with_toxicity(docs: DataFrame, labelled: DataFrame, corpus: DataFrame, name:
     are scored, disguises of any length decoded. Null or empty text has no evidence and gets the intercept's score, as does every
     text if one of the labels does not occur. Repeated rows are scored alike.
     """
-    if name in docs.columns:
+    if free_name(docs, name) != name:
         raise ValueError(f"{name} is a column of the documents")
     trigrams = character_counts(corpus, text)
     weights, (intercept, slope) = train(labelled, trigrams, text=text)
