@@ -7,8 +7,10 @@ over the lattice of what each sign may stand for, under a character trigram mode
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain, groupby
 
 import numpy as np
@@ -29,6 +31,7 @@ _AROUND = ".,;:?\"'()[]{}<>#%&*~^=/\\-_|`!$+@"
 #: Signs that may hide any letter.
 _MASKS = "*"
 _KNOWN = frozenset(_LETTERS) | {"", " "}
+_DOUBLED = re.compile(r"(.)\1").search
 #: Tokens that a task remembers before it starts afresh.
 _REMEMBERED = 1 << 20
 #: Pieces of evidence that are sent to the tasks as they are.
@@ -54,16 +57,23 @@ class CharacterModel:
         for gram, n in self._two.items():
             self._starts[gram[0]] += n
         self._all = sum(self._one.values())
-        self._seen: dict[str, float] = {}
+        self.seen: dict[str, float] = {}
 
     def log_p(self, before: str, c: str) -> float:
         c = c if c == " " or c in _LETTERS else "~"
         gram = before + c
-        if gram not in self._seen:
+        if gram not in self.seen:
             one = (self._one[c] + 1) / (self._all + len(_LETTERS) + 2)
             two = (self._two[gram[1:]] + 4 * one) / (self._starts[gram[1]] + 4)
-            self._seen[gram] = math.log((self._three.get(gram, 0) + 4 * two) / (self._pairs[before] + 4))
-        return self._seen[gram]
+            self.seen[gram] = math.log((self._three.get(gram, 0) + 4 * two) / (self._pairs[before] + 4))
+        return self.seen[gram]
+
+
+@lru_cache(1 << 12)
+def _letter(c: str, again: bool, short: bool) -> list[tuple[str, str, float]]:
+    """Choices of a letter, which may be left out where it repeats; `short` runs of it are likelier meant."""
+    out = [(c, 0.0 if short or not again else 2.0)] + ([("", 3.0 if short else 0.3)] if again else [])
+    return [(x, x if x in _KNOWN else "~", cost) for x, cost in out]
 
 
 def _lattice(token: str) -> Iterator[list[tuple[str, str, float]]]:
@@ -76,8 +86,9 @@ def _lattice(token: str) -> Iterator[list[tuple[str, str, float]]]:
     for c in token:
         i, whole = next(places) if c != " " else (0, 1)
         if c.isalpha():
-            out = [(c, 0.0 if whole < 3 or not i else 2.0)] + ([("", 3.0 if whole < 3 else 0.3)] if i else [])
-        elif c in SIGNS:
+            yield _letter(c, i > 0, whole < 3)
+            continue
+        if c in SIGNS:
             out = [(x, 1.0) for x in SIGNS[c]] + [("", 6.0 if not i else 1.0), (" ", 5.0)]
         elif c in _APART:
             out = [("", 1.0), (" ", 2.5)]
@@ -93,16 +104,24 @@ def decode(token: str, model: CharacterModel) -> str:
 
     A path is a chain of (path before, character), so that the work is in proportion to the length.
     """
+    known = model.seen.get
     best: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
     for choices in chain(_lattice(token), [[(" ", " ", 0.0)]]):
+        if len(best) == 1 and len(choices) == 1 and choices[0][0] not in " ":  # one path goes one way; what that costs decides nothing
+            (state, (score, path)), (c, seen, _) = *best.items(), choices[0]
+            best = {state[1] + seen: (score, (path, c))}
+            continue
         after: dict[str, tuple[float, tuple | None]] = {}
         for state, (score, path) in best.items():
+            last = state[1]
             for c, seen, cost in choices:
-                if not c or (c == " " and state[1] == " "):
+                if not c or (c == " " and last == " "):
                     now, key, told = score - cost, state, path
                 else:
-                    now, key, told = score - cost + model.log_p(state, seen), state[1] + seen, (path, c)
-                if key not in after or now > after[key][0]:
+                    p = known(state + seen)
+                    now, key, told = score - cost + (model.log_p(state, seen) if p is None else p), last + seen, (path, c)
+                other = after.get(key)
+                if other is None or now > other[0]:
                     after[key] = (now, told)
         best = after
     path, out = max(best.items(), key=lambda x: (x[1][0], x[0]))[1][1], []
@@ -112,16 +131,32 @@ def decode(token: str, model: CharacterModel) -> str:
     return "".join(reversed(out)).strip()
 
 
+class _Memory(dict):
+    """What a function of a text gave, looked up where it is asked again; starts afresh when it holds too many."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self._make = make
+
+    def __missing__(self, token: str):
+        got = self._make(token)
+        if len(self) > _REMEMBERED:
+            self.clear()
+        self[token] = got
+        return got
+
+
 class Restorer:
     """Distinct plain words of texts; remembers the tokens it has decoded."""
 
     def __init__(self, model: CharacterModel):
         self._model = model
-        self._words: dict[str, tuple[str, ...]] = {}
+        self._words = _Memory(self._restore)
+        self._runs = _Memory(lambda letters: tuple(decode(letters, self._model).split()))
 
     def _restore(self, token: str) -> tuple[str, ...]:
         core = token.strip(_AROUND)
-        if core.isalpha() and not any(a == b for a, b in zip(core, core[1:])):
+        if core.isalpha() and not _DOUBLED(core):
             return (core,)
         # Signs at the ends may be letters too, where something of the token is a letter.
         core = token.strip(".,;:?\"'()[]{}<>#%&*~^=/\\-_`").rstrip("!")
@@ -130,45 +165,27 @@ class Restorer:
         parts = [p for p in "".join(c if c.isalnum() or c in SIGNS else " " for c in core).split()]
         whole = decode(core, self._model).split()
         if len(parts) > 1 and max(map(len, parts)) > 1:  # words with a sign between them, or one with a sign in it: both readings
-            whole += [w for p in parts for w in self.token(p)]
+            whole += [w for p in parts for w in self._words[p]]
         return tuple(whole)
 
-    def token(self, token: str) -> tuple[str, ...]:
-        got = self._words.get(token)
-        if got is None:
-            if len(self._words) > _REMEMBERED:
-                self._words.clear()
-            got = self._words[token] = self._restore(token)
-        return got
-
-    def _apart(self, letters: str) -> tuple[str, ...]:
-        got = self._words.get(letters)  # no token has a blank
-        if got is None:
-            if len(self._words) > _REMEMBERED:
-                self._words.clear()
-            got = self._words[letters] = tuple(decode(letters, self._model).split())
-        return got
-
     def words(self, text: str | None) -> set[str]:
         tokens = (text or "").lower().split()
         out: set[str] = set()
-        known = self._words.get
-        for token in set(tokens):
-            got = known(token)
-            out.update(self.token(token) if got is None else got)
-        single = [i for i, t in enumerate(tokens) if len(t) == 1]
+        out.update(*map(self._words.__getitem__, set(tokens)))
+        sizes = list(map(len, tokens))
+        single = [i for i, n in enumerate(sizes) if n == 1] if 1 in sizes else []
         first = 0
         for k in range(1, len(single) + 1):
             if k == len(single) or single[k] != single[k - 1] + 1:
                 if k - first > 1:  # letters set apart
-                    out.update(self._apart(" ".join(tokens[single[first] : single[k - 1] + 1])))
+                    out.update(self._runs[" ".join(tokens[single[first] : single[k - 1] + 1])])
                 first = k
         return out
 
 
 def evidence_of(word: str) -> list[str]:
     """What stands for a word: the word itself and its beginnings of 4 to 7 letters."""
-    return [word, *[f"{word[:n]}-" for n in range(4, 8) if len(word) > n]]
+    return [word, *[word[:n] + "-" for n in range(4, min(8, len(word)))]]
 
 
 def _column(rows: pa.RecordBatch, name: str) -> list:
@@ -352,16 +369,10 @@ def _summed(rows: DataFrame, weights: DataFrame, text: str, trigrams: dict[str,
 
     def make() -> Callable:
         known, words = held.value, words_of()
-        seen: dict[str, float] = {}
-
-        def weight(word: str) -> float:
-            if len(seen) > _REMEMBERED:
-                seen.clear()
-            got = seen[word] = max((known.get(e, 0.0) for e in evidence_of(word)), default=0.0)
-            return got
+        weight = _Memory(lambda word: max([known.get(e, 0.0) for e in evidence_of(word)]))
 
         def compute(part: pa.RecordBatch) -> pa.Array:
-            return pa.array([math.fsum(seen[w] if w in seen else weight(w) for w in words(t)) for t in _column(part, text)], pa.float64())
+            return pa.array([math.fsum(map(weight.__getitem__, words(t))) for t in _column(part, text)], pa.float64())
 
         return compute
 
