@@ -52,7 +52,47 @@ def test_stages(spark, folder):
     assert after["benchmark decontamination"] == sorted((-1 if r[0] is None else r[0], r[1]) for r in kept)
     assert [d for d, _ in after["secret scans"]] == sorted(-1 if r[0] is None else r[0] for r in kept)
     whole = dict(after["benchmark decontamination"])
-    assert {d for d, t in after["secret scans"] if t != whole[d]} <= {26}
+    assert {d for d, t in after["secret scans"] if t != whole[d]} == {26}
+    assert dict(after["secret scans"])[26] == whole[26].replace("0123456789abcdef0123456789abcdef01234567", "[secret]")
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_quality_stage_removes_failing_lines(spark):
+    body = brute.prose(5, 90)
+    rows = [(1, f"Home\n{body}\nAll rights reserved.\n", "en", "s", 7), (2, body, "en", "s", 7), (3, "Home\n" * 60, "en", "s", 7), (4, None, "en", "s", 7)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.quality_stage(spark, docs, "").collect())
+    assert got == [(1, body + "\n", len(body) + 1), (2, body, 7)]
+    clash = docs.withColumnRenamed("source", "Quality").withColumnRenamed("lang", "was")
+    kept = corpus_pipeline.quality_stage(spark, clash, "")
+    assert kept.columns == clash.columns and {r.Quality for r in kept.collect()} == {"s"}
+
+
+@pytest.mark.parametrize("scanned", [False, True])
+def test_one_row_of_each_group(spark, tmp_path, scanned):
+    """One id with two texts, missing ids, repeated rows, and texts without words."""
+    a, b, c, d = (brute.prose(40 + i, 90) for i in range(4))
+    rows = [(5, a), (5, b), (5, a), (7, a + " end"), (None, a), (None, c), (None, c), (None, c + " end"), (None, d), (8, d + " end"), (9, None), (9, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).withColumnRenamed("lang", "file").repartition(3)
+    if scanned:
+        docs.write.parquet(f"{tmp_path}/docs")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in got.collect()]
+    kept = [x for x in found if x[1] not in (c, c + " end")]
+    assert sorted(kept, key=repr) == sorted([(5, a), (5, b), (8, d + " end"), (9, None), (9, ""), (None, None)], key=repr)
+    assert len(found) == len(kept) + 1 and all(i is None for i, t in found if t in (c, c + " end"))
+
+
+def test_empty_table(spark, folder):
+    root, _, _ = folder
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, root)
+        assert got.count() == 0 and (name == "packing" or got.columns == docs.columns)
 
 
 def queries_stored(df, name):

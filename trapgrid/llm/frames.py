@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trapgrid.llm.textbytes import slices
@@ -62,3 +65,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def with_places(df: DataFrame, file: str, at: str) -> DataFrame:
+    """`df` with two columns that tell its rows apart: a hash of the row's file and its number there.
+
+    A filtered or projected scan of parquet files has these by itself, the same in each scan, however the files are split.
+    Any other table is written first.
+    """
+    plan = df._jdf.queryExecution().analyzed().toString()
+    nodes = {re.sub(r"^[ :+|-]*'?", "", line).split(" ")[0].split("(")[0] for line in plan.splitlines() if line.strip()}
+    if nodes <= {"Project", "Filter", "Relation", "SubqueryAlias"} and "_metadata" not in {c.lower() for c in df.columns}:
+        try:
+            return df.withColumns({file: F.xxhash64("_metadata.file_path"), at: F.col("_metadata.row_index")})
+        except AnalysisException:  # files of a kind without row numbers
+            pass
+    names = [f"c{i}" for i in range(len(df.columns))]
+    kept = stored(df.toDF(*names), "rows").withColumns({file: F.xxhash64("_metadata.file_path"), at: F.col("_metadata.row_index")})
+    return kept.toDF(*df.columns, file, at)

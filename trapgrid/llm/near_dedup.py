@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trapgrid.llm.components import components
-from trapgrid.llm.frames import arrow_map, stored
+from trapgrid.llm.frames import arrow_map, free_name, stored, with_places
 from trapgrid.llm.textbytes import LOWER, SPACES, Rolling, flat, mix, slices, words
 
 #: Independent trees. A pair at the threshold of 0.75 shares the first step of none of them with a probability of 0.25 ** 8.
@@ -62,12 +62,12 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _features(size: int, text: str, key: str) -> Callable:
+def _features(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for rows in slices(batch, text):
-                data, at = flat(rows.column(rows.schema.get_field_index(text)))
+            for rows in slices(batch, "text"):
+                data, at = flat(rows.column(rows.schema.get_field_index("text")))
                 sets, whole = shingle_sets(data, at, size)
                 keys, sketches = [], []
                 for s in sets:
@@ -78,14 +78,16 @@ def _features(size: int, text: str, key: str) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(rid, rid + len(sets))),
-                        rows.column(rows.schema.get_field_index(key)),
+                        rows.column(rows.schema.get_field_index("doc_id")),
                         pa.array(whole[:, 0].view(np.int64), mask=empty),
                         pa.array(whole[:, 1].view(np.int64), mask=empty),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(keys, pa.list_(pa.int64())),
                         pa.array(sketches, pa.binary()),
+                        rows.column(rows.schema.get_field_index("file")),
+                        rows.column(rows.schema.get_field_index("at")),
                     ],
-                    names=["rid", "doc_id", "c1", "c2", "n", "keys", "sketch"],
+                    names=["rid", "doc_id", "c1", "c2", "n", "keys", "sketch", "file", "at"],
                 )
                 rid += len(sets)
 
@@ -222,41 +224,37 @@ def _leaves(features: DataFrame) -> DataFrame:
     return out
 
 
-def _sets_of(wanted: DataFrame, docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
-    """(rid, shingles): the full sets of the wanted classes, from the texts themselves."""
+def _sets_of(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(rid, shingles): the full sets of the wanted rows (rid, file, at), from the texts themselves.
+
+    A row is found by its place, which no other has, so that this moves each text once at any size and no key is hot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, text):
-                data, at = flat(rows.column(rows.schema.get_field_index(text)))
-                sets, whole = shingle_sets(data, at, size)
-                c1, c2 = (rows.column(rows.schema.get_field_index(c)).to_numpy() for c in ("c1", "c2"))
-                same = np.flatnonzero((whole[:, 0].view(np.int64) == c1) & (whole[:, 1].view(np.int64) == c2)).tolist()
-                rids = rows.column(rows.schema.get_field_index("rid"))
-                yield pa.RecordBatch.from_arrays([rids.take(pa.array(same, pa.int64())), pa.array([sets[i].tobytes() for i in same], pa.binary())], names=["rid", "shingles"])
+            for rows in slices(batch, "text"):
+                sets, _ = shingle_sets(*flat(rows.column(1)), size)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rid", "shingles"])
 
-    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias(text)).where(F.col(text).isNotNull())
-    joined = texts.join(wanted.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own"))).select("rid", "c1", "c2", text)
-    return arrow_map(joined, run, "rid long, shingles binary").dropDuplicates(["rid"])
+    joined = texts.select("file", "at", "text").where("text is not null").join(wanted.hint("shuffle_hash"), ["file", "at"])
+    return arrow_map(joined.select("rid", "text"), run, "rid long, shingles binary")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(`key`, n_shingles, component_id, kept) for each row of `docs`.
+def _grouped(texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """(doc_id, n, component_id, file, at, first) of each row of `texts` (doc_id, text, file, at).
 
-    A document's set holds the distinct shingles of `size` words (A-Z in lower case) of its whole text; a text with fewer
-    words is one shingle; one without words, or null, is linked with nothing. Documents are linked if the sets
-    share at least `percent` of their union. component_id is the smallest key that links lead to (null if all are null); kept marks
-    it (also where both are null). Repeated rows with one key share the result of their text.
+    `first` marks one row of each component: the one with the smallest id (null ids last), of several the first by place.
 
     Texts with equal words are one class from the start, so that copies cost nothing further. The
     classes go down TREES independent trees; leaves compare all their classes by sketch, and
     likely pairs on the full sets, which are made only for classes with a likely partner.
     """
-    ids = docs.select(F.col(key), F.col(text))
-    features = stored(arrow_map(ids, _features(size, text, key), f"rid long, doc_id {docs.schema[key].dataType.simpleString()}, c1 long, c2 long, n long, keys array<long>, sketch binary"), "near-features")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    features = stored(arrow_map(texts, _features(size), f"rid long, doc_id {kind}, c1 long, c2 long, n long, keys array<long>, sketch binary, file long, at long"), "near-features")
     filled = features.where("n > 0")
-    classes = stored(filled.groupBy("c1", "c2").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least")), "near-classes")
-    heads = stored(filled.join(classes.select("rid"), "rid", "left_semi").select("rid", "doc_id", "c1", "c2", "keys", "sketch"), "near-heads")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "at")).alias("least")
+    classes = stored(filled.groupBy("c1", "c2").agg(F.min("rid").alias("rid"), least), "near-classes")
+    heads = stored(filled.join(classes.select("rid"), "rid", "left_semi").select("rid", "file", "at", "keys", "sketch"), "near-heads")
     leaves = stored(_leaves(heads.select("rid", "keys", "sketch")), "near-leaves")
 
     def sorted_leaves(rows: DataFrame) -> DataFrame:
@@ -265,8 +263,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, text: str
     sketches = heads.select("rid", "sketch")
     likely = arrow_map(sorted_leaves(leaves.join(sketches, "rid").select("leaf", "rid", "tree", "sketch")), _with_partner(percent / 100), "leaf long, rid long, tree int")
     likely = stored(likely, "near-likely")
-    wanted = heads.join(likely.select("rid").distinct(), "rid", "left_semi").select("rid", "doc_id", "c1", "c2")
-    sets = stored(_sets_of(wanted, docs, size, text, key), "near-sets")
+    wanted = heads.join(likely.select("rid").distinct(), "rid", "left_semi").select("rid", "file", "at")
+    sets = stored(_sets_of(wanted, texts, size), "near-sets")
     # Pairs are compared in the first small node that they share.
     small = leaves.where("first").groupBy("rid").agg(F.collect_list(F.struct("tree", F.col("leaf").alias("node"))).alias("small"))
     held = sketches.join(sets, "rid").join(small, "rid", "left")
@@ -274,9 +272,38 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, text: str
     links = stored(arrow_map(sorted_leaves(compared), _links(percent), "a long, b long").distinct(), "near-links")
     roots = components(links)
     rooted = stored(classes.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid")), "near-roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("c1", "c2", "component_id")
-    some = filled.select("doc_id", "n", "c1", "c2").join(named, ["c1", "c2"]).select("doc_id", "n", "component_id")
-    none = features.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = some.union(none)
-    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("head")), "root").select("c1", "c2", "head")
+    some = filled.select("doc_id", "n", "c1", "c2", "file", "at").join(named, ["c1", "c2"])
+    some = some.select("doc_id", "n", F.col("head.doc_id").alias("component_id"), "file", "at", ((F.col("file") == F.col("head.file")) & (F.col("at") == F.col("head.at"))).alias("first"))
+    none = features.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "file", "at", F.lit(True).alias("first"))
+    return some.union(none)
+
+
+def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
+    return with_places(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "file", "at")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(`key`, n_shingles, component_id, kept) for each row of `docs`.
+
+    A document's set holds the distinct shingles of `size` words (A-Z in lower case) of its whole text; a text with fewer
+    words is one shingle; one without words, or null, is linked with nothing. Documents are linked if the sets
+    share at least `percent` of their union. component_id is the smallest key that links lead to (null if all are null); kept marks
+    it (also where both are null). Repeated rows with one key share the result of their text. An empty table gives no rows.
+    """
+    found = _grouped(_texts(docs, text, key), percent, size)
+    return found.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of each group of near-duplicates of `docs`, with all its columns: the one with the smallest key.
+
+    Rows without a key come last: one stays where none of its group has a key. Of repeated rows with the smallest key the first by place
+    stays; rows with one key and texts that are not near copies all stay, as do all rows without words. Columns may have any names.
+    """
+    file, at = free_name(docs, "file"), free_name(docs, "at")
+    placed = with_places(docs, file, at)
+    found = _grouped(placed.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(file).alias("file"), F.col(at).alias("at")), percent, size)
+    # The rows that go are joined as rows of ids; one plan at every size.
+    gone = found.where("not first").select(F.col("file").alias(file), F.col("at").alias(at))
+    return placed.join(gone.hint("shuffle_hash"), [file, at], "left_anti").select(*docs.columns)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trapgrid.llm.frames import free_name
+
 _SPACE = r"[ \t\n\x0B\f\r]+"
 _SYMBOLS = r"[#*$%&|<>]"
 #: Punctuation that prose has little of, counted in each line.
@@ -80,7 +82,7 @@ def with_quality(docs: DataFrame, name: str = "quality", most_removed: float = 0
     or if failed lines hold more than `most_removed` of the text's characters (white space not counted).
     Null or empty text has no words and is not kept. Other columns and repeated rows stay as they are.
     """
-    if name in docs.columns:
+    if free_name(docs, name) != name:
         raise ValueError(f"{name} is a column of the documents")
     body = F.coalesce(F.col(text), F.lit(""))
     zero = F.lit(0).cast("long")
@@ -112,3 +114,13 @@ def with_quality(docs: DataFrame, name: str = "quality", most_removed: float = 0
 def cleaned_text(text: Column) -> Column:
     """The text without the lines that fail a rule; null stays null."""
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: F.coalesce(_removed(x) == 0, F.lit(True)) | (x == "")), "\n")
+
+
+def without_failing_lines(docs: DataFrame, most_removed: float = 0.5, text: str = "text") -> DataFrame:
+    """The documents that are kept, without their failing lines; other columns stay, and texts without such lines too.
+
+    Lines are judged once for the verdict, and once more in texts that lose some.
+    """
+    name = free_name(docs, "quality")
+    kept = with_quality(docs, name, most_removed, text).where(F.col(f"{name}.kept"))
+    return kept.withColumn(text, F.when(F.col(f"{name}.removed_chars") > 0, cleaned_text(F.col(text))).otherwise(F.col(text))).drop(name)
