@@ -12,25 +12,30 @@ from trapgrid.llm.frames import free_name, stored
 from trapgrid.llm.queries import read, tokenizer_path
 
 
+def _with_size(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`change(docs)`, where n_chars, if it is a column, follows the texts that have changed."""
+    if "n_chars" not in docs.columns:
+        return change(docs)
+    was, size = free_name(docs, "was"), F.length("text").cast(docs.schema["n_chars"].dataType)
+    changed = change(docs.withColumn(was, F.col("text")))
+    return changed.withColumn("n_chars", F.when(F.col("text") != F.col(was), size).otherwise(F.col("n_chars"))).drop(was)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    name = free_name(docs, "quality")
-    return quality.with_quality(docs, name).where(F.col(f"{name}.kept")).drop(name)
+    """Documents that the quality rules keep, without the lines that fail; n_chars, where it is a column, follows the new text.
+
+    Null and empty texts go, ids do not matter, repeated rows are each judged, an empty table stays empty.
+    """
+    return _with_size(docs, quality.without_failing_lines)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id; of repeated rows with that id, one.
 
-    Documents without an id stand for themselves where no document of their group has one.
+    Where no document of a group has an id, one of them stays. Different texts under one id all stay, as do documents
+    without words. An empty table stays empty.
     """
-    found = near_dedup.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_kept_rows"))
-    found = stored(found, "near-kept")
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept_id")))
-    once = kept.where("_kept_rows = 1 or doc_id is null").select(*docs.columns)
-    repeated = kept.where("_kept_rows > 1 and doc_id is not null")
-    if found.where("_kept_rows > 1 and _kept_id is not null").isEmpty():
-        return once
-    return once.unionByName(repeated.dropDuplicates(["doc_id"]).select(*docs.columns))
+    return near_dedup.without_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +49,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """All documents, with "[secret]" in the place of each secret; n_chars, where it is a column, follows the new text."""
     path = "source" if "source" in docs.columns else None
     secrets = stored(secret_scan.find_secrets(docs, path=path).where("is_secret"), "secrets")
-    clean = secret_scan.without_secrets(docs, secrets)
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("text").contains("[secret]"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean
+    return _with_size(docs, lambda rows: secret_scan.without_secrets(rows, secrets))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
