@@ -170,3 +170,18 @@ def test_histogram_is_closed_on_the_right_and_complete(spark):
 def test_crosstab(spark):
     df = spark.createDataFrame([("a", 2015), ("a", 2015), ("b", 2016)], "c string, y int")
     assert rows(aggregates.crosstab(df, "c", "y", [2015, 2016])) == [("a", 2, 0), ("b", 0, 1)]
+
+
+@pytest.mark.parametrize("kind", ["double", "float", "struct<a:double>", "array<double>", "date", "decimal(9,2)", "binary", "boolean"])
+def test_heavy_keys_of_any_type_match_by_value(spark, kind):
+    """A key of most rows, 0.0 on the one side and -0.0 on the other, joins as in a plain join."""
+    zero, other = {
+        "double": ("0.0D", "1.5D"), "float": ("float(0)", "float(2)"), "struct<a:double>": ("named_struct('a', 0.0D)", "named_struct('a', 1D)"),
+        "array<double>": ("array(0.0D)", "array(1D)"), "date": ("date'2015-01-01'", "date'2016-01-01'"), "decimal(9,2)": ("0.50", "1.00"),
+        "binary": ("X'00FF'", "X'01'"), "boolean": ("true", "false"),
+    }[kind]
+    minus = zero.replace("0.0D", "-0.0D").replace("float(0)", "float(-0.0D)")
+    left = spark.range(4000).selectExpr("id", f"cast(case when id % 80 < 78 then {zero} when id % 80 = 78 then {other} end as {kind}) as k")
+    right = spark.range(3).selectExpr(f"cast(case id when 0 then {minus} when 1 then {other} end as {kind}) as k", "id as r")
+    got = {r.id: r.r for r in joins.left_join(left, right, ["k"]).collect()}
+    assert got == {i: 0 if i % 80 < 78 else 1 if i % 80 == 78 else 2 for i in range(4000)}

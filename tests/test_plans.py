@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trapgrid import schemas
+from trapgrid.operators import joins, ranking
 from trapgrid.plans import daynight, exchange, images as assembly, reports
 from trapgrid.sources import readers, writers
 
@@ -165,6 +166,54 @@ def test_columns_are_found_by_name_in_each_file(spark, tmp_path):
         readers.read_table(spark, str(tmp_path), "x int, y string", one_header=True).collect()
 
 
+def test_any_number_of_headers(spark, tmp_path):
+    """1,100 different headers: more than one scan for each, every file counts, and one without the column is told."""
+    for i in range(1100):
+        names = [f"n{i}", *[f"f{k}" for k in range(i % 20)]]
+        (tmp_path / f"{i}.csv").write_text(",".join([*names, "x"]) + "\n" + "0," * len(names) + f"{i}\n")
+    assert sorted(r.x for r in readers.read_table(spark, str(tmp_path), "x int").collect()) == list(range(1100))
+    (tmp_path / "last.csv").write_text("z,y\n1,2\n")
+    with pytest.raises(ValueError, match="last.csv.*lacks"):
+        readers.read_table(spark, str(tmp_path), "x int")
+
+
+def test_records_over_several_lines(spark, tmp_path):
+    texts = ["one\ntwo", " outer ", "a\r\nb", 'q "in\nner" q', "plain", None, "x,\n,y"]
+    table = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    writers.write_table(table, f"{tmp_path}/out")
+    for one in (False, True):
+        got = {r.k: r.t for r in readers.read_table(spark, f"{tmp_path}/out", "t string, k int", one_header=one).collect()}
+        assert got == dict(enumerate(texts))
+    # A file too large to be read whole is split, and a record over several lines an error instead of two wrong rows.
+    with pytest.raises(Exception, match="several lines"):
+        readers._by_name(spark, f"{tmp_path}/out", "t string, k int", {}, whole_up_to=1).collect()
+    writers.write_table(table.where("k in (1, 4)"), f"{tmp_path}/flat")
+    flat = readers._by_name(spark, f"{tmp_path}/flat", "t string, k int", {}, whole_up_to=1).collect()
+    assert sorted((r.k, r.t) for r in flat) == [(1, " outer "), (4, "plain")]
+    (tmp_path / "bare.csv").write_text('1,"a\nb"\n2,c\n')
+    assert rows(readers.read_headerless(spark, f"{tmp_path}/bare.csv", "k int, t string")) == [(1, "a\nb"), (2, "c")]
+
+
+def test_lines_in_the_order_of_the_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.csv").write_text("k,v\n" + "".join(f"{i % 7},{i}\n" for i in range(500)))
+    (tmp_path / "d" / "b.csv").write_text("v,k\n" + "".join(f"{i},{i % 9}\n" for i in range(500, 900)))
+    found = readers.read_table(spark, f"{tmp_path}/d", "k int, v int", position="at")
+    first = joins.first_per_key(found, ["k"], ["at"]).collect()
+    assert {r.k: r.v for r in first} == {**{k: min(v for v in range(500, 900) if v % 9 == k) for k in (7, 8)}, **{k: k for k in range(7)}}
+    numbered = ranking.with_line_number(found, "at", "n").collect()
+    assert sorted((r.n, r.v) for r in numbered) == [(i + 1, i) for i in range(900)]
+    (tmp_path / "other.csv").write_text("w\n" + "".join(f"w{i}\n" for i in range(900)))
+    other = readers.read_table(spark, f"{tmp_path}/other.csv", "w string", position="place")
+    bound = ranking.bind_by_line(found, other, "at", "place").collect()
+    assert sorted((r.v, r.w) for r in bound) == [(i, f"w{i}") for i in range(900)]
+    with pytest.raises(ValueError, match="bound"):
+        ranking.bind_by_line(found, other.limit(3), "at", "place")
+    # Large files are split: the same order over their blocks.
+    blocks = readers._by_name(spark, f"{tmp_path}/d/a.csv", "k int, v int", {"at": readers.line_position()}, whole_up_to=1)
+    assert sorted((r.n, r.v) for r in ranking.with_line_number(blocks, "at", "n").collect()) == [(i + 1, i) for i in range(500)]
+
+
 def test_an_instant_needs_a_known_zone(spark):
     preds = predictions(spark, ["a/b/ACAM/SREL-1_1.jpg"])
     meta = spark.createDataFrame([("d", "SREL-1_1.jpg", "2015:07:01 02:00:00")], schemas.PLAIN_METADATA)

@@ -8,6 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trapgrid.session import checkpointed, shuffle_partitions
 
@@ -23,9 +24,20 @@ def _limit(partitions: int) -> float:
     return max(_PART_OF_TASK / partitions, 2.0 * _TRACKED_PER_KEY / _MOST_TRACKED)
 
 
-def _key(keys: list[str]) -> Column:
-    """The keys of a row as one text, which is the same for the same keys only; missing ones count."""
-    columns = [F.col(f"`{k}`") for k in keys]
+def _plain(value: Column, kind: T.DataType) -> Column:
+    """The value with one form for equal numbers: 0.0 and -0.0 are one key, inside structs and arrays too."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return value + F.lit(0.0).cast(kind)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _plain(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_plain(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def _key(df: DataFrame, keys: list[str]) -> Column:
+    """The keys of a row as one text, which is the same for the same keys; missing ones count."""
+    columns = [_plain(F.col(f"`{k}`"), df.schema[k].dataType).alias(k) for k in keys]
     if len(columns) == 1:
         return F.coalesce(F.concat(F.lit("="), columns[0].cast("string")), F.lit(""))
     return F.to_json(F.struct(*columns))
@@ -49,7 +61,7 @@ def heavy_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     most = math.ceil(1 / _limit(partitions))
     size = F.lit(min(max(_TRACKED_PER_KEY * most, 1024), _MOST_TRACKED))
     group = (F.spark_partition_id() % math.ceil(math.sqrt(partitions))).alias("_g")
-    parts = rows.select(group, _key(keys).alias("_k")).groupBy("_g").agg(
+    parts = rows.select(group, _key(rows, keys).alias("_k")).groupBy("_g").agg(
         F.call_function("approx_top_k_accumulate", F.col("_k"), size).alias("_s"), F.count("*").alias("_n")
     )
     # Grouped by a constant, so that no rows give no group instead of an empty sketch.
@@ -64,7 +76,7 @@ def heavy_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
 def heavy_of_counts(counted: DataFrame, keys: list[str], count: str) -> DataFrame:
     """The same list from a table with the exact number of rows of each key."""
     total = counted.agg(F.sum(count)).scalar()
-    named = counted.withColumn("_k", _key(keys))
+    named = counted.withColumn("_k", _key(counted, keys))
     return checkpointed(_salted(named, F.col(count), total, shuffle_partitions(counted.sparkSession)))
 
 
@@ -80,7 +92,7 @@ def _match(on: list[str], prefix: str) -> Column:
 def _dealt(rows: DataFrame, on: list[str], heavy: DataFrame, name: str, salt_by: list[str] | None) -> DataFrame:
     """`rows` with the column `name`: by `salt_by` one salt of a heavy key, or without it a row for each; 0 for other keys."""
     # The list has fewer keys than the inverse of the limit.
-    marked = rows.withColumn("_k", _key(on)).join(F.broadcast(heavy), "_k", "left").drop("_k")
+    marked = rows.withColumn("_k", _key(rows, on)).join(F.broadcast(heavy), "_k", "left").drop("_k")
     zero = F.lit(0).cast("long")
     if salt_by is not None:
         salt = F.when(F.col("_salts").isNotNull(), _row_salt(salt_by, F.col("_salts"))).otherwise(zero)

@@ -123,3 +123,29 @@ def sort_spread(df: DataFrame, *order: Column) -> DataFrame:
     equal keys and even exact copies can lie in several partitions."""
     rest = [F.col(c).asc_nulls_last() for c in df.columns]
     return df.withColumn("_tie", F.spark_partition_id()).orderBy(*order, *rest, "_tie").drop("_tie")
+
+
+def with_line_number(df: DataFrame, position: str, name: str = "line_number") -> DataFrame:
+    """Adds the number, from 1, of each scanned row by its `position` (readers.line_position), file after file.
+
+    Rows are numbered inside their blocks, which a scan bounds, and blocks by what the blocks before them hold; the table is not sorted.
+    """
+    # Line ids hold for one scan only, so that scan is kept.
+    kept = checkpointed(df.withColumns({"_file": F.col(f"{position}.file"), "_block": F.col(f"{position}.block")}))
+    inside = kept.withColumn("_place", F.row_number().over(Window.partitionBy("_file", "_block").orderBy(f"{position}.line")))
+    # One row per block.
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = kept.groupBy("_file", "_block").count().select("_file", "_block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    return inside.join(starts, ["_file", "_block"]).withColumn(name, F.col("_start") + F.col("_place")).select(*df.columns, name)
+
+
+def bind_by_line(left: DataFrame, right: DataFrame, left_position: str, right_position: str) -> DataFrame:
+    """The columns of both tables side by side, line by line; different numbers of lines are an error."""
+    clash = {c.lower() for c in left.columns} & {c.lower() for c in right.columns}
+    if clash:
+        raise ValueError(f"rename or drop before the binding: {sorted(clash)}")
+    a, b = with_line_number(left, left_position, "_line"), with_line_number(right, right_position, "_line")
+    n, m = a.count(), b.count()
+    if n != m:
+        raise ValueError(f"{n} lines cannot be bound with {m}")
+    return a.join(b, "_line").select(*left.columns, *right.columns)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from trapgrid.operators.ranking import with_row_number
 
-# Quotes inside a field are doubled and missing values are written as NA, as the readers expect.
-_FORM = {"header": True, "quote": '"', "escape": '"', "nullValue": "NA"}
+# Quotes inside a field are doubled, missing values are written as NA and blanks at the ends of a text stay, as the readers expect.
+_FORM = {"header": True, "quote": '"', "escape": '"', "nullValue": "NA", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

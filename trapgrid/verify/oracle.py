@@ -457,6 +457,12 @@ def all_oracles() -> dict[str, str]:
         case o_orderkey % 4 when 0 then 'say "hi", a.jpg' when 3 then '"' end as DateTimeOriginal,
         case when o_orderkey % 3 > 0 then cast(o_orderkey as integer) end as Sequence,
         cast(o_orderkey % 1000 as integer) as EventNumber, concat('check', o_orderkey % 2) as SourceCSV from orders"""
+    sql["csv_line_breaks"] = """select o_orderkey as photo, case o_orderkey % 4 when 0 then 'two' || chr(10) || 'lines, ' || o_orderpriority
+        when 1 then ' ' || o_orderpriority || '  ' when 2 then '"' || chr(10) || '"' || o_orderpriority else o_orderpriority end as remark from orders"""
+    sql["first_by_file"] = "select o_custkey as cam, min(o_orderkey) as photo from orders group by 1"
+    sql["bound_by_line"] = "select o_orderkey as photo, o_orderpriority as place from orders"
+    sql["double_key_join"] = """select l_orderkey, l_linenumber, s_suppkey as supplier from lineitem left join supplier
+        on case when s_suppkey = 1 then 0 else s_suppkey end = case when l_linenumber < 5 then 0 else l_suppkey end"""
     sql["exported_metadata"] = f"select SourceFile, FileName, {TIME} from {PHOTOS} p"
     sql["listing_scan"] = f"select path, length(path) as length, count(*) as n from {LISTING} l group by 1, 2"
     sql["title_case"] = """select o_orderkey, substr(o_orderpriority, 1, 2) || array_to_string(list_transform(

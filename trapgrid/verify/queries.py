@@ -754,6 +754,50 @@ def csv_as_written(spark, d):
     return found.withColumn("SourceCSV", F.regexp_extract("SourceCSV", "(check[01])/", 1))
 
 
+@query
+def csv_line_breaks(spark, d):
+    """Texts with line breaks, quotes and outer blanks, written and read again."""
+    folder = new_folder(spark, "remarks")
+    key = F.col("o_orderkey")
+    remark = F.when(key % 4 == 0, F.concat(F.lit("two\nlines, "), "o_orderpriority")).when(key % 4 == 1, F.concat(F.lit(" "), "o_orderpriority", F.lit("  ")))
+    remark = remark.when(key % 4 == 2, F.concat(F.lit('"\n"'), "o_orderpriority")).otherwise(F.col("o_orderpriority"))
+    writers.write_table(table(spark, d, "orders").select(key.alias("photo"), remark.alias("remark")), folder)
+    return readers.read_table(spark, folder, "remark string, photo long")
+
+
+def _in_order(spark, d, name: str, *columns) -> DataFrame:
+    """Columns of the orders as files whose lines are in the order of the keys, read with their places."""
+    folder, keyed = new_folder(spark, name), table(spark, d, "orders").select("o_orderkey", *columns)
+    lines = keyed.repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey").select(*keyed.columns[1:])
+    writers.write_table(lines, folder)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
+    return readers.read_table(spark, folder, schema, position=f"{name}_at")
+
+
+@query
+def first_by_file(spark, d):
+    """The first line of each camera, in the order of the files."""
+    lines = _in_order(spark, d, "lines", F.col("o_custkey").alias("cam"), F.col("o_orderkey").alias("photo"))
+    return joins.first_per_key(lines, ["cam"], ["lines_at"]).select("cam", "photo")
+
+
+@query
+def bound_by_line(spark, d):
+    """Two files side by side, line by line, though neither has a key."""
+    left = _in_order(spark, d, "left", F.col("o_orderkey").alias("photo"))
+    right = _in_order(spark, d, "right", F.col("o_orderpriority").alias("place"))
+    return ranking.bind_by_line(left, right, "left_at", "right_at").select("photo", "place")
+
+
+@query
+def double_key_join(spark, d):
+    """Keys that are numbers with a fraction; zero is one key, whatever its sign, and holds most rows."""
+    left = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") < 5, 0.0).otherwise(F.col("l_suppkey") / 4).alias("key"))
+    supplier = F.col("s_suppkey")
+    right = table(spark, d, "supplier").select(F.when(supplier == 1, F.lit(-0.0)).otherwise(supplier / 4).alias("key"), supplier.alias("supplier"))
+    return joins.left_join(left, right, ["key"]).select("l_orderkey", "l_linenumber", "supplier")
+
+
 @query
 def exported_metadata(spark, d):
     folder = new_folder(spark, "exported")
