@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from trapgrid import schemas
@@ -194,6 +195,29 @@ def test_records_over_several_lines(spark, tmp_path):
     assert rows(readers.read_headerless(spark, f"{tmp_path}/bare.csv", "k int, t string")) == [(1, "a\nb"), (2, "c")]
 
 
+def test_counts_of_what_cannot_be_read(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("x,y,z\n1,2.5,a\nNA,no,b\nseven,,c\n")
+    (tmp_path / "in" / "b.csv").write_text("z,y,x\nd,1e,9\n")
+    watch = Observation("read")
+    writers.write_table(readers.read_table(spark, f"{tmp_path}/in", "x int, y double, z string", watch=watch), f"{tmp_path}/out")
+    assert watch.get == {"x": 1, "y": 2, "z": 0}
+
+
+def test_named_files(spark, tmp_path):
+    table = spark.createDataFrame([(f"C{i % 3}", i, None if i == 4 else f'f"{i}, \n') for i in range(30)] + [(None, 99, "x")], "camera string, n int, t string")
+    writers.write_named(table, str(tmp_path), 2)
+    assert sorted(str(f.relative_to(tmp_path)) for f in tmp_path.rglob("*") if f.is_file()) == [*[f"C{k}/C{k}_check2_to_import.csv" for k in range(3)], "NA/NA_check2_to_import.csv"]
+    back = readers.read_camera_folders(spark, str(tmp_path), "*_to_import.csv", "n int, t string").collect()
+    assert sorted((r.camera, r.n, r.t) for r in back) == sorted([(f"C{i % 3}", i, None if i == 4 else f'f"{i}, \n') for i in range(30)] + [("NA", 99, "x")])
+    # A task that fails leaves the files that were there, and nothing half written.
+    bad = table.withColumn("n", F.when(F.col("n") == 29, F.raise_error(F.lit("broken"))).otherwise(F.col("n") + 1))
+    with pytest.raises(Exception, match="broken"):
+        writers.write_named(bad.withColumn("t", F.concat("t", F.col("n").cast("string"))), str(tmp_path), 3)
+    assert not list(tmp_path.rglob("*check3*")) and not list(tmp_path.glob("_waiting*"))
+    assert len(list(tmp_path.rglob("*.csv"))) == 4
+
+
 def test_lines_in_the_order_of_the_files(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.csv").write_text("k,v\n" + "".join(f"{i % 7},{i}\n" for i in range(500)))

@@ -43,3 +43,8 @@ def histogram(df: DataFrame, value: str, low: float, width: float, n: int) -> Da
     bins = df.sparkSession.createDataFrame([(i,) for i in [None, *range(1, n + 1)]], "bin int")
     joined = bins.join(counts, F.col("bin").eqNullSafe(F.col("_bin")), "left")
     return joined.select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def unreadable(text: Column, value: Column) -> Column:
+    """How many texts there are without the value they were to be read as; for `agg`, or for `observe` in the pass that uses the value."""
+    return F.count_if(text.isNotNull() & value.isNull())

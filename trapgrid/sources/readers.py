@@ -10,11 +10,12 @@ import csv
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trapgrid import schemas
+from trapgrid.operators.aggregates import unreadable
 from trapgrid.session import checkpointed, known_to_workers, shuffle_partitions
 
 _QUOTES = {"quote": '"', "escape": '"'}
@@ -31,8 +32,17 @@ def _fields(spark: SparkSession, schema: str) -> list[T.StructField]:
     return spark.createDataFrame([], schema).schema.fields
 
 
-def _typed(text: Column, field: T.StructField) -> Column:
-    return F.when(~text.isin(*_MISSING), text).try_cast(field.dataType).alias(field.name)
+def _cast(raw: DataFrame, fields: list[T.StructField], extra: dict[str, Column], watch: Observation | None) -> DataFrame:
+    """Rows of texts (_f0, _f1, ...) with the columns `fields`; `watch` gets the number of texts of each that are no such value."""
+    given = [F.when(~F.col(f"_f{i}").isin(*_MISSING), F.col(f"_f{i}")) for i in range(len(fields))]
+    values = [text.try_cast(f.dataType) for text, f in zip(given, fields)]
+    if watch is not None:
+        raw = raw.observe(watch, *[unreadable(text, value).alias(f.name) for text, value, f in zip(given, values, fields)])
+    return raw.select(*[value.alias(f.name) for value, f in zip(values, fields)], *extra)
+
+
+def _places(texts: list[Column]) -> list[Column]:
+    return [text.alias(f"_f{i}") for i, text in enumerate(texts)]
 
 
 def _listed(spark: SparkSession, path, **options) -> DataFrame:
@@ -97,7 +107,7 @@ def _headers(spark: SparkSession, path, fields: list[T.StructField], **options)
     return checkpointed(heads.where("header is not null").union(rest))
 
 
-def _rows(spark: SparkSession, files, places: list[int], fields: list[T.StructField], large: bool, headers: list[str] | None, extra: dict[str, Column], **options) -> DataFrame:
+def _rows(spark: SparkSession, files, places: list[int], large: bool, headers: list[str] | None, extra: dict[str, Column], **options) -> DataFrame:
     """Rows of files whose wanted columns stand at `places`; `headers` are the header lines of large files, None where files have none.
 
     Small files are read record by record, so that a quoted field may hold line breaks. Large ones are split, line by line; there a
@@ -107,7 +117,7 @@ def _rows(spark: SparkSession, files, places: list[int], fields: list[T.StructFi
     more = [c.alias(n) for n, c in extra.items()]
     if not large:
         lines = spark.read.schema(width).options(header=headers is not None, multiLine=True, **_QUOTES, **options).csv(files)
-        return lines.select(*[_typed(F.col(f"_c{place}"), f) for place, f in zip(places, fields)], *more)
+        return lines.select(*_places([F.col(f"_c{place}") for place in places]), *more)
     lines = spark.read.options(**options).text(files)
     if headers:
         known = [mark + line for line in headers for mark in ("", "\ufeff")]
@@ -117,10 +127,12 @@ def _rows(spark: SparkSession, files, places: list[int], fields: list[T.StructFi
     whole = F.when(quotes % 2 == 0, F.col("value")).otherwise(F.raise_error(told))
     form = ", ".join(f"{f.name} string" for f in width)
     parsed = lines.where(F.length("value") > 0).select(F.from_csv(whole, form, _QUOTES).alias("_row"), *more)
-    return parsed.select(*[_typed(F.col(f"_row._c{place}"), f) for place, f in zip(places, fields)], *extra)
+    return parsed.select(*_places([F.col(f"_row._c{place}") for place in places]), *extra)
 
 
-def _by_name(spark: SparkSession, path, schema: str, extra: dict[str, Column], one_header: bool = False, whole_up_to: int = WHOLE, **options) -> DataFrame:
+def _by_name(
+    spark: SparkSession, path, schema: str, extra: dict[str, Column], one_header: bool = False, whole_up_to: int = WHOLE, watch: Observation | None = None, **options
+) -> DataFrame:
     """Rows of the files at `path` with the columns of `schema`, found by name in each file's own header, and the columns `extra`.
 
     The headers are looked at first, in the first kilobytes of each file. Files are then scanned once, those of a kind (wanted columns at
@@ -128,10 +140,15 @@ def _by_name(spark: SparkSession, path, schema: str, extra: dict[str, Column], o
     no line breaks in fields. A file without one of the columns is an error.
     """
     fields = _fields(spark, schema)
+    return _cast(_texts(spark, path, fields, extra, one_header, whole_up_to, **options), fields, extra, watch)
+
+
+def _texts(spark: SparkSession, path, fields: list[T.StructField], extra: dict[str, Column], one_header: bool, whole_up_to: int, **options) -> DataFrame:
+    """The wanted columns as texts, whatever the headers."""
     if one_header:
         small = _listed(spark, path, **options).where(F.col("length") > whole_up_to).isEmpty()
         lines = spark.read.options(header=True, enforceSchema=False, multiLine=small, **_QUOTES, **options).csv(path)
-        return lines.select(*[_typed(F.col(f"`{f.name}`"), f) for f in fields], *[c.alias(n) for n, c in extra.items()])
+        return lines.select(*_places([F.col(f"`{f.name}`") for f in fields]), *[c.alias(n) for n, c in extra.items()])
     headers = _headers(spark, path, fields, **options).withColumn("large", F.col("length") > whole_up_to)
     absent = headers.where(F.exists("places", lambda p: p.isNull())).limit(1).collect()
     if absent:
@@ -139,15 +156,15 @@ def _by_name(spark: SparkSession, path, schema: str, extra: dict[str, Column], o
         raise ValueError(f"{absent[0].file} with the columns {header_names(absent[0].header)} lacks {missing}")
     kinds = headers.groupBy("places", "large").count().orderBy(F.desc("count"), "places", "large").limit(_KINDS + 1).collect()
     if not kinds:
-        return _rows(spark, path, list(range(len(fields))), fields, False, [], extra, **options)
+        return _rows(spark, path, list(range(len(fields))), False, [], extra, **options)
     if len(kinds) == 1 and not kinds[0].large:
-        return _rows(spark, path, list(kinds[0].places), fields, False, [], extra, **options)
+        return _rows(spark, path, list(kinds[0].places), False, [], extra, **options)
     many = len(kinds) > _KINDS
     parts = []
     for kind in headers.where("large").select("places", "large").distinct().collect() if many else kinds:
         own = headers.where((F.col("places") == F.array(*[F.lit(p) for p in kind.places])) & (F.col("large") == kind.large)).select("file", "header").collect()
         known = sorted({r.header.removeprefix("\ufeff").rstrip("\r") for r in own}) if kind.large else []
-        parts.append(_rows(spark, [r.file for r in own], list(kind.places), fields, kind.large, known, extra))
+        parts.append(_rows(spark, [r.file for r in own], list(kind.places), kind.large, known, extra))
     if many:
         parts.append(_told_apart(spark, headers.where("not large"), fields, extra))
     return reduce(DataFrame.unionByName, parts)
@@ -160,7 +177,7 @@ def _told_apart(spark: SparkSession, headers: DataFrame, fields: list[T.StructFi
     lines = spark.read.schema(width).options(header=True, multiLine=True, **_QUOTES).csv([r.file for r in headers.select("file").collect()])
     rows = lines.select(F.array(*width.names).alias("_row"), F.col("_metadata.file_path").alias("_path"), *[c.alias(n) for n, c in extra.items()])
     joined = rows.join(headers.select(F.col("url").alias("_path"), F.col("places").alias("_places")), "_path")
-    return joined.select(*[_typed(F.get("_row", F.get("_places", F.lit(i))), f) for i, f in enumerate(fields)], *extra)
+    return joined.select(*_places([F.get("_row", F.get("_places", F.lit(i))) for i in range(len(fields))]), *extra)
 
 
 def line_position() -> Column:
@@ -173,17 +190,24 @@ def line_position() -> Column:
     )
 
 
-def read_table(spark: SparkSession, path: str | list[str], schema: str, one_header: bool = False, position: str | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str | list[str], schema: str, one_header: bool = False, position: str | None = None, watch: Observation | None = None
+) -> DataFrame:
     """CSV files with a header line. Columns are found by name, whatever their place, which may differ from file to file;
-    further columns of the files are left out. `position` names a column with the place of each line (see line_position)."""
-    return _by_name(spark, path, schema, {position: line_position()} if position else {}, one_header)
+    further columns of the files are left out. `position` names a column with the place of each line (see line_position).
+
+    What is no value of its column's type becomes null; `watch` has the number of these by column after the first action on
+    the rows, without a further pass.
+    """
+    return _by_name(spark, path, schema, {position: line_position()} if position else {}, one_header, watch=watch)
 
 
 def read_headerless(spark: SparkSession, path: str | list[str], schema: str, position: str | None = None, whole_up_to: int = WHOLE) -> DataFrame:
     """CSV files without a header line, columns by place."""
     fields = _fields(spark, schema)
     large = not _listed(spark, path).where(F.col("length") > whole_up_to).isEmpty()
-    return _rows(spark, path, list(range(len(fields))), fields, large, None, {position: line_position()} if position else {})
+    extra = {position: line_position()} if position else {}
+    return _cast(_rows(spark, path, list(range(len(fields))), large, None, extra), fields, extra, None)
 
 
 def file_name(path: Column) -> Column:

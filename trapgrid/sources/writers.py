@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import csv
+import io
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from trapgrid.operators.ranking import with_row_number
+from trapgrid.session import known_to_workers
 
 # Quotes inside a field are doubled, missing values are written as NA and blanks at the ends of a text stay, as the readers expect.
 _FORM = {"header": True, "quote": '"', "escape": '"', "nullValue": "NA", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -38,3 +48,95 @@ def write_per_camera(df: DataFrame, path: str, check_num: int, mode: str = "erro
     # Rebalancing puts a camera's rows together but still splits one that is too large.
     out = df.withColumn("check_num", F.lit(check_num)).hint("rebalance", "camera")
     out.write.mode(mode).options(**_FORM).partitionBy("camera", "check_num").csv(path)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    """Files that a task has finished: (where they wait, what they are to be called)."""
+
+    files: list[tuple[str, str]]
+
+
+class _NamedFiles(DataSource):
+    """Sink of CSV files that rows name themselves: the first column is the path below the folder, the others are the fields."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "named_csv"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return _NamedWriter(self.options["path"], schema.names[1:])
+
+
+class _NamedWriter(DataSourceWriter):
+    """Tasks write files under names of their own; the driver renames them when all tasks have finished, so that none is seen half written."""
+
+    def __init__(self, path: str, names: list[str]):
+        self._path, self._names = path.rstrip("/"), names
+        self._waiting = f"{self._path}/_waiting-{uuid.uuid4().hex}"
+
+    def _store(self):
+        from pyarrow import fs
+
+        if "://" not in self._path and not self._path.startswith("file:"):
+            return fs.LocalFileSystem(), lambda path: path
+        return fs.FileSystem.from_uri(self._path)[0], lambda path: fs.FileSystem.from_uri(path)[1]
+
+    @staticmethod
+    def _line(values) -> bytes:
+        text = io.StringIO()
+        csv.writer(text, lineterminator="\n").writerow(["NA" if v is None else v for v in values])
+        return text.getvalue().encode()
+
+    def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
+        store, at = self._store()
+        done, name, file = [], None, None
+        context = TaskContext.get()
+        own = f"{self._waiting}/{context.partitionId()}-{context.taskAttemptId()}"
+        store.create_dir(at(own))
+        try:
+            for row in iterator:  # rows of a file follow one another
+                if row[0] != name:
+                    if file is not None:
+                        file.close()
+                    name = row[0]
+                    done.append((f"{own}/{len(done)}", name))
+                    file = store.open_output_stream(at(done[-1][0]))
+                    file.write(self._line(self._names))
+                file.write(self._line(row[1:]))
+        finally:
+            if file is not None:
+                file.close()
+        return _Written(done)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, at = self._store()
+        for message in messages:
+            for waiting, name in message.files if message else []:
+                target = f"{self._path}/{name}"
+                store.create_dir(at(target.rsplit("/", 1)[0]))
+                store.move(at(waiting), at(target))
+        store.delete_dir(at(self._waiting))
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        from pyarrow import fs
+
+        store, at = self._store()
+        if store.get_file_info(at(self._waiting)).type == fs.FileType.Directory:
+            store.delete_dir(at(self._waiting))
+
+
+def write_named(df: DataFrame, path: str, check_num: int) -> None:
+    """One file CAM_checkN_to_import.csv for each `camera` of `df`, in the camera's own folder below `path`, with its other columns.
+
+    A file's rows lie in one task, which writes them as they come; a file of that name is replaced. Cameras without a name go
+    to the folder NA. Files appear when all are finished: a task that fails leaves nothing behind.
+    """
+    spark = df.sparkSession
+    known_to_workers(spark)
+    spark.dataSource.register(_NamedFiles)
+    camera = F.coalesce("camera", F.lit("NA"))
+    file = F.concat(camera, F.lit("/"), camera, F.lit(f"_check{check_num}_to_import.csv"))
+    texts = [F.col(f"`{c}`").cast("string").alias(c) for c in df.columns if c != "camera"]
+    dealt = df.select(file.alias("_file"), *texts).repartition("_file").sortWithinPartitions("_file")
+    dealt.write.format("named_csv").mode("append").option("path", path).save()

@@ -461,6 +461,9 @@ def all_oracles() -> dict[str, str]:
         when 1 then ' ' || o_orderpriority || '  ' when 2 then '"' || chr(10) || '"' || o_orderpriority else o_orderpriority end as remark from orders"""
     sql["first_by_file"] = "select o_custkey as cam, min(o_orderkey) as photo from orders group by 1"
     sql["bound_by_line"] = "select o_orderkey as photo, o_orderpriority as place from orders"
+    sql["unreadable_counts"] = """select 'event' as column, count(*) filter (where o_orderkey % 5 = 0) as unreadable from orders
+        union all select 'score', count(*) filter (where o_orderkey % 11 = 0) from orders union all select 'place', 0"""
+    sql["named_import_files"] = f"select camID as camera, GUESS1, count(*) as n from {IMAGES} i group by 1, 2"
     sql["double_key_join"] = """select l_orderkey, l_linenumber, s_suppkey as supplier from lineitem left join supplier
         on case when s_suppkey = 1 then 0 else s_suppkey end = case when l_linenumber < 5 then 0 else l_suppkey end"""
     sql["exported_metadata"] = f"select SourceFile, FileName, {TIME} from {PHOTOS} p"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trapgrid import schemas
@@ -789,6 +789,27 @@ def bound_by_line(spark, d):
     return ranking.bind_by_line(left, right, "left_at", "right_at").select("photo", "place")
 
 
+@query
+def unreadable_counts(spark, d):
+    """How many texts of each column are no value of its type, counted in the pass that writes the rows."""
+    field, out, key = new_folder(spark, "field"), new_folder(spark, "clean"), F.col("o_orderkey")
+    event = F.when(key % 5 == 0, "n/a").when(key % 7 == 0, "NA").otherwise(key.cast("string")).alias("event")
+    score = F.when(key % 11 == 0, "0,5").otherwise((key / 8).cast("string")).alias("score")
+    writers.write_table(table(spark, d, "orders").select(event, score, F.col("o_orderpriority").alias("place")), field)
+    watch = Observation("unreadable")
+    writers.write_table(readers.read_table(spark, field, "event long, score double, place string", watch=watch), out)
+    return spark.createDataFrame(sorted(watch.get.items()), "column string, unreadable long")
+
+
+@query
+def named_import_files(spark, d):
+    """One named file for each camera, written and read back with the camera of its folder."""
+    folder = new_folder(spark, "import")
+    images = view(spark, d, "images").groupBy(F.col("camID").alias("camera"), "GUESS1").agg(F.count("*").alias("n"))
+    writers.write_named(images, folder, 2)
+    return readers.read_camera_folders(spark, folder, "*_check2_to_import.csv", "GUESS1 int, n long").drop("check_num")
+
+
 @query
 def double_key_join(spark, d):
     """Keys that are numbers with a fraction; zero is one key, whatever its sign, and holds most rows."""
