@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain, groupby
@@ -32,6 +32,7 @@ _AROUND = ".,;:?\"'()[]{}<>#%&*~^=/\\-_|`!$+@"
 _MASKS = "*"
 _KNOWN = frozenset(_LETTERS) | {"", " "}
 _DOUBLED = re.compile(r"(.)\1").search
+_OTHER = re.compile(f"[^{_LETTERS}]").sub
 #: Tokens that a task remembers before it starts afresh.
 _REMEMBERED = 1 << 20
 #: Pieces of evidence that are sent to the tasks as they are.
@@ -193,7 +194,7 @@ def _column(rows: pa.RecordBatch, name: str) -> list:
 
 
 def character_counts(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    """Trigram counts of the whole corpus. The words of all documents are counted first; what comes to
+    """Trigram counts of the words of the whole corpus, summed up in the tasks; what they send on and what comes to
     the driver is bounded by the cube of the alphabet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,17 +203,17 @@ def character_counts(docs: DataFrame, text: str = "text") -> dict[str, int]:
             for rows in slices(batch, text):
                 for t in _column(rows, text):
                     found.update((t or "").lower().split())
-            words: Counter[str] = Counter()
+            grams: dict[str, int] = defaultdict(int)
             for token, n in found.items():
                 core = token.strip(_AROUND)
                 if core.isalpha():
-                    words[core] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+                    plain = f"  {core if core.isascii() else _OTHER('~', core)} "
+                    for i in range(len(plain) - 2):
+                        grams[plain[i : i + 3]] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
 
-    words = arrow_map(docs.select(text), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    plain = F.concat(F.lit("  "), F.regexp_replace("word", f"[^{_LETTERS}]", "~"), F.lit(" "))
-    grams = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(plain) - 2), lambda i: F.substring(plain, i, F.lit(3)))).alias("gram"), "n")
-    return {r.gram: r.n for r in grams.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    grams = arrow_map(docs.select(text), run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return {r.gram: r.n for r in grams.collect()}
 
 
 def labelled_texts(docs: DataFrame, marks: DataFrame, most_labelled: int = 200_000, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -311,10 +312,11 @@ def train(
     fourth = F.pmod(F.xxhash64("near"), F.lit(4)) == 3
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces_of = _Memory(evidence_of)
         for batch in batches:
             found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
             for words, label in zip(_column(batch, "words"), _column(batch, "label")):
-                found[label].update({e for w in words.split() for e in evidence_of(w)})
+                found[label].update(set().union(*map(pieces_of.__getitem__, words.split())))
             pieces = list(found[0].keys() | found[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(pieces, pa.string()), pa.array([found[0][p] for p in pieces], pa.int64()), pa.array([found[1][p] for p in pieces], pa.int64())], names=["piece", "clean", "toxic"]
@@ -369,7 +371,8 @@ def _summed(rows: DataFrame, weights: DataFrame, text: str, trigrams: dict[str,
 
     def make() -> Callable:
         known, words = held.value, words_of()
-        weight = _Memory(lambda word: max([known.get(e, 0.0) for e in evidence_of(word)]))
+        stems = {e[:4] for e in known}  # all pieces of a word begin as it does
+        weight = _Memory(lambda word: max([known.get(e, 0.0) for e in evidence_of(word)]) if word[:4] in stems else 0.0)
 
         def compute(part: pa.RecordBatch) -> pa.Array:
             return pa.array([math.fsum(map(weight.__getitem__, words(t))) for t in _column(part, text)], pa.float64())
