@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from trapgrid.operators import reshape
+from trapgrid.plans import cellstore
 from trapgrid.plans import occupancy as occ
 from trapgrid.plans import sweeps
+from trapgrid.sources import readers, writers
 
 PIG = 22
 
@@ -172,3 +174,75 @@ def test_retention(spark):
     bursts = sorted((r.threshold, r.prop_retained) for r in sweeps.burst_retention(images).collect())
     assert bursts[0] == (0.5, 1 / 3) and len(bursts) == 51
     assert all(a[1] >= b[1] for a, b in zip(bursts, bursts[1:]))
+
+
+@pytest.fixture(scope="module")
+def store(spark, random_study, tmp_path_factory):
+    images, _ = random_study
+    store = cellstore.CellStore(str(tmp_path_factory.mktemp("cells") / "all"))
+    odd = F.pmod(F.xxhash64("camID", "DateTimeOriginal"), F.lit(2)) == 1
+    store.add(images.where(odd).withColumn("GUESS1", F.lit(PIG)), "1")  # wrong, and replaced by the next
+    store.add(images.where(odd), "1")
+    store.add(images.where(~odd), "2")
+    store.add(images, "again")  # what is there twice changes nothing
+    store.add(images.where("false"), "none")
+    return store
+
+
+@pytest.mark.parametrize("time_int", ["day", "week"])
+def test_store_equals_images(spark, random_study, store, time_int):
+    images, deployments = random_study
+    got = store.occupancy(spark, deployments, PIG, 0.5, time_int)
+    assert table(got) == table(occ.occupancy(images, deployments, PIG, 0.5, time_int))
+    assert all("/check=" in f for f in got.inputFiles())  # stored cells, not the images
+    year = occ.occupancy(occ.year_images(images, 2016), deployments, 1, None, time_int)
+    assert table(store.occupancy(spark, deployments, 1, None, time_int, year=2016)) == table(year)
+    swept = sweeps.occupancy_sweep(images, deployments, PIG, time_int, 0.5, 0.51).collect()
+    assert sorted(store.occupancy_sweep(spark, deployments, PIG, time_int, 0.5, 0.51).collect()) == sorted(swept)
+
+
+def test_store_tables(spark, random_study, store):
+    images, deployments = random_study
+    got = store.tables(spark, deployments, (PIG, 1), 0.3, ("week", "month")).collect()
+    for species in (PIG, 1):
+        for g in ("week", "month"):
+            own = {(r.camID, r.year, r.interval): r.occ for r in got if (r.species, r.time_int) == (species, g)}
+            if g == "month":
+                assert own == table(occ.detection_grid(images, species, 0.3, g))
+            else:
+                assert own == table(occ.occupancy(images, deployments, species, 0.3, g))
+
+
+def test_store_odd_rows(spark, tmp_path):
+    rows = [(None, PIG, 0.9, "2015-01-01T10:00"), ("A", None, 0.9, "2015-01-02T10:00"), ("A", PIG, float("nan"), "2015-01-03T10:00"), ("A", PIG, None, "2015-01-03T11:00")]
+    store = cellstore.CellStore(str(tmp_path / "cells"))
+    store.add(photos(spark, rows).withColumns({"best": F.lit("x"), "year": F.lit("y")}), "a.1")
+    cells = sorted(store.cells(spark, PIG, "day").collect())
+    assert [(c.camID, c.code, c.best) for c in cells] == [("A", 20150002, None), ("A", 20150003, float("-inf"))]
+    with pytest.raises(ValueError):
+        store.cells(spark, PIG, "hour")
+    with pytest.raises(ValueError):
+        store.add(photos(spark, rows), "a/b")
+    with pytest.raises(ValueError):
+        cellstore.CellStore("x", "week")
+
+
+def test_wide_lines(spark, tmp_path):
+    rows = [("A", 2015, 0, 1), ("A", 2016, 8783, None), ('B, "b"', 2015, 0, 0), (" c ", 2016, 8783, 1), (" c ", 2016, 8783, 0), ("A", 2015, 30, 0)]
+    long = spark.createDataFrame(rows, "camID string, year int, interval int, occ int")
+    writers.write_wide(long, str(tmp_path / "wide"), "hour")
+    lines = [x for f in sorted((tmp_path / "wide").glob("*.csv")) for x in f.read_text().splitlines()]
+    assert set(lines) == {"camID,2015_hour_0,2015_hour_30,2016_hour_8783", "A,1,0,NA", '"B, ""b""",0,NA,NA', " c ,NA,NA,1"}
+    got = table(readers.read_wide(spark, str(tmp_path / "wide")))
+    assert len(got) == 9 and got[("A", 2015, 30)] == 0 and got[('B, "b"', 2015, 0)] == 0 and got[(" c ", 2016, 8783)] == 1
+    assert got[("A", 2016, 8783)] is None
+    plan = reshape.camera_lines(long, "hour")._jdf.queryExecution().toString()
+    assert "pivot" not in plan.lower()
+    with pytest.raises(Exception, match="several lines"):
+        reshape.camera_lines(long.withColumn("camID", F.lit("a\nb")), "hour").collect()
+
+
+def test_wide_table_without_rows(spark, tmp_path):
+    none = spark.createDataFrame([], "camID string, year int, interval int, occ int")
+    writers.write_wide(none, str(tmp_path / "wide"), "hour")
+    assert reshape.camera_lines(none, "hour").columns == ["camID"] and reshape.camera_lines(none, "hour").count() == 0

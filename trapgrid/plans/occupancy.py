@@ -121,8 +121,11 @@ def detection_grid(
 
     `missing_site` is the value of a camera without a detection in the whole year: 0 or None.
     """
-    g = grain(time_int, DETECTION_GRAINS)
-    base = cells(images, species, g, time)
+    return grid_of(cells(images, species, grain(time_int, DETECTION_GRAINS), time), thresh, missing_site)
+
+
+def grid_of(base: DataFrame, thresh: float | None, missing_site: int | None = 0) -> DataFrame:
+    """detection_grid from the cells of a species and a grain."""
     hit_codes = F.collect_set(F.when(seen(thresh), F.col("code")))
     hit_years = F.collect_set(F.when(seen(thresh), _whole_div(F.col("code"))))
     sites = base.groupBy("camID").agg(hit_codes.alias("hits"), hit_years.alias("years"))
@@ -230,10 +233,14 @@ def occupancy(
     time: str = "DateTimeOriginal",
 ) -> DataFrame:
     """detection_grid, zero_complete and mask_inactive in one pass over the images."""
-    g = grain(time_int, MASK_GRAINS)
     _need_time(images, time)
+    return occupancy_of(cells(images, species, grain(time_int, MASK_GRAINS), time), deployments, thresh, time_int, mask)
+
+
+def occupancy_of(base: DataFrame, deployments: DataFrame, thresh: float | None, time_int: str, mask: bool = True) -> DataFrame:
+    """occupancy from the cells of a species and a grain."""
+    g = grain(time_int, MASK_GRAINS)
     _need_time(deployments, "SetDate")
-    base = cells(images, species, g, time)
     hit_codes = F.collect_set(F.when(seen(thresh), F.col("code")))
     study = base.agg(
         F.min("first_photo").alias("first"),
@@ -287,8 +294,10 @@ __all__ = [
     "camera_ranges",
     "cells",
     "detection_grid",
+    "grid_of",
     "mask_inactive",
     "occupancy",
+    "occupancy_of",
     "year_images",
     "yearly_detections",
     "zero_complete",

@@ -127,11 +127,18 @@ def occupancy_sweep(
     """
     g = grain(time_int, MASK_GRAINS)
     _need_time(images, time)
+    return sweep_of(cells(images, species, g, time), deployments, time_int, baseline, start, step, n)
+
+
+def sweep_of(
+    base: DataFrame, deployments: DataFrame | None, time_int: str, baseline: float, start: float, step: float = 0.01, n: int = 49
+) -> DataFrame:
+    """occupancy_sweep from the cells of a species and a grain."""
+    g = grain(time_int, MASK_GRAINS)
     if start < baseline:
         raise ValueError("thresholds must not be below the baseline")
     # Kept in the shared folder: three aggregates below read the cells, the images only once.
-    base = checkpointed(cells(images, species, g, time))
-
+    base = checkpointed(base)
     # The columns of the table at each level (0 = baseline): a calendar times the levels
     # bounds these rows and everything made of them.
     by_code = base.groupBy("code").agg(
@@ -217,7 +224,7 @@ def occupancy_sweep(
     # At most n + 2 counts from here on; every threshold has a row, also where nothing is seen.
     spread = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n))))
     totals = spread.groupBy("i").agg(F.sum(F.when(F.col("k") > F.col("i"), F.col("n")).otherwise(0)).alias("total"))
-    totals = _grid(images.sparkSession, n + 1).join(totals, "i", "left").fillna(0, ["total"])
+    totals = _grid(base.sparkSession, n + 1).join(totals, "i", "left").fillna(0, ["total"])
     at_base = totals.where(F.col("i") == 0).select("total").scalar()
     threshold = F.lit(start) + (F.col("i") - 1).cast("double") * F.lit(step)
     changed = F.col("base") - F.col("total")

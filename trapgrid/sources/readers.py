@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from trapgrid import schemas
 from trapgrid.operators.aggregates import unreadable
+from trapgrid.operators.reshape import from_camera_lines
 from trapgrid.session import checkpointed, known_to_workers, shuffle_partitions
 
 _QUOTES = {"quote": '"', "escape": '"'}
@@ -210,6 +211,18 @@ def read_headerless(spark: SparkSession, path: str | list[str], schema: str, pos
     return _cast(_rows(spark, path, list(range(len(fields))), large, None, extra), fields, extra, None)
 
 
+def read_wide(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A wide occupancy table, as write_wide writes it, as (camID, year, interval, occ), whatever its number of columns.
+
+    All files have one header; a file with another one is an error.
+    """
+    heads = [r.header.removeprefix("\ufeff").rstrip("\r") for r in _headers(spark, path, []).select("header").distinct().limit(2).collect()]
+    if len(heads) != 1:
+        raise ValueError(f"{path} has no data" if not heads else f"the files of {path} have different headers")
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"))
+    return from_camera_lines(lines.where((F.length("line") > 0) & (F.col("line") != heads[0])), header_names(heads[0]))
+
+
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -254,7 +267,7 @@ def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> Data
     """(path, length) of the files below `folder`; paths are relative to it, contents are not read.
 
     The driver keeps the index of the files, so this is for folders of up to some hundred
-    thousand; for a whole store of photos use read_listing.
+    thousand on stores that only Spark reaches; empty files are left out. For all files, of any number, use listing.walk_files or read_listing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
     relative = F.regexp_replace("path", "^.*?" + _literal(folder.rstrip("/").split(":", 1)[-1]) + "/", "")

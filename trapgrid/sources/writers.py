@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import StructType
 
 from trapgrid.operators.ranking import with_row_number
+from trapgrid.operators.reshape import camera_lines
 from trapgrid.session import known_to_workers
 
 # Quotes inside a field are doubled, missing values are written as NA and blanks at the ends of a text stay, as the readers expect.
@@ -32,6 +33,16 @@ def write_indexed(df: DataFrame, path: str, order: list[str], mode: str = "error
     write_table(numbered.select("X1", *df.columns), path, mode)
 
 
+def write_wide(occ: DataFrame, path: str, time_int: str, mode: str = "errorifexists") -> None:
+    """A long occupancy table as CSV with one line per camera and one field per interval, whatever their number.
+
+    Each line is made from the camera's own array, without a pivot; the header line stands in every part file.
+    """
+    # One column holds the whole line and its name the whole header; its fields are separated and quoted already.
+    plain = {"sep": "\u0001", "quote": "\u0002", "escape": "\u0002", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    camera_lines(occ, time_int).write.mode(mode).options(header=True, **plain).csv(path)
+
+
 def write_image_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Image table as parquet, split so that a study or a year can be read alone."""
     even = df.hint("rebalance", "study", "year")

@@ -376,6 +376,15 @@ def all_oracles() -> dict[str, str]:
     sql["occ_year_full_day"] = full_sql(f"(select * from {IMAGES} y where year({TIME}) = 1996)", DEPLOY, "0.0", "day")
     sql["occ_hour"] = full_sql(EVENTS, EVENT_DEPLOY, "0.01", "hour")
     sql["occ_events_day"] = full_sql(EVENTS, EVENT_DEPLOY, "0.01", "day")
+    sql["occ_wide_hour"] = sql["occ_store_hour"] = sql["occ_hour"]
+    sql["occ_store_year"] = sql["occ_year_full_day"]
+    tables = []
+    for s in (PIG, 1, 15):
+        own = f"(select * replace (case when GUESS1 = {s} then {PIG} else 0 end as GUESS1) from {IMAGES} i)"
+        for g in ("week", "day", "month"):
+            rows = grid_sql(own, "0.5", g) if g == "month" else full_sql(own, DEPLOY, "0.5", g)
+            tables.append(f"select {s} as species, '{g}' as time_int, camID, year, interval, occ from ({rows}) q")
+    sql["occ_store_tables"] = " union all ".join(tables)
     sql["occ_total"] = f"""select year, cast(sum(occ) as bigint) as occ, count(*) filter (where occ is null) as blank
         from ({sql['occ_masked_week']}) q group by 1"""
     months = ", ".join(
@@ -401,6 +410,9 @@ def all_oracles() -> dict[str, str]:
     sql["occ_sweep_day_b50"] = sweep_sql("day", "0.5", "0.51", 49)
     sql["occ_sweep_day_no_zeros"] = sweep_sql("day", "0.5", "0.51", 49, None)
     sql["occ_sweep_hour"] = sweep_sql("hour", "0.0", "0.01", 99, EVENT_DEPLOY, EVENTS)
+    sql["occ_store_sweeps"] = " union all ".join(
+        f"select *, '{g}' as time_int from ({sweep_sql(g, '0.5', '0.51', 49)}) q" for g in ("week", "day")
+    )
     sql["occ_sweep_absent"] = sweep_sql("week", "0.5", "0.51", 49, species=99)
     sql["occ_sweep_week_no_zeros"] = sweep_sql("week", "0.5", "0.51", 49, None)
 
@@ -463,6 +475,10 @@ def all_oracles() -> dict[str, str]:
     sql["bound_by_line"] = "select o_orderkey as photo, o_orderpriority as place from orders"
     sql["unreadable_counts"] = """select 'event' as column, count(*) filter (where o_orderkey % 5 = 0) as unreadable from orders
         union all select 'score', count(*) filter (where o_orderkey % 11 = 0) from orders union all select 'place', 0"""
+    sql["walked_manifest"] = f"""select name, c || '/' || name as path, c || '/' || name as prefix, c is not null as matched from
+        (select concat('CAM-', lpad(cast(s_suppkey as varchar), 6, '0'), '_check2_to_import.csv') as name,
+          concat('CAM-', lpad(cast(s_suppkey as varchar), 6, '0')) as cam from supplier) w
+        left join (select distinct camID as c from {IMAGES} i where study = 'FL') f on c = cam"""
     sql["named_import_files"] = f"select camID as camera, GUESS1, count(*) as n from {IMAGES} i group by 1, 2"
     sql["double_key_join"] = """select l_orderkey, l_linenumber, s_suppkey as supplier from lineitem left join supplier
         on case when s_suppkey = 1 then 0 else s_suppkey end = case when l_linenumber < 5 then 0 else l_suppkey end"""

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from trapgrid import schemas
 from trapgrid.functions import clock, labels, text
 from trapgrid.operators import aggregates, joins, ranking, reshape
-from trapgrid.plans import daynight, exchange, images as assembly, occupancy as occ, reports, sweeps
+from trapgrid.plans import cellstore, daynight, exchange, images as assembly, occupancy as occ, reports, sweeps
 from trapgrid.session import new_folder
-from trapgrid.sources import readers, writers
+from trapgrid.sources import listing, readers, writers
 from trapgrid.verify.views import OVERRIDDEN, OVERRIDE_DATE, table, view
 
 PIG = sweeps.PIG
@@ -522,6 +522,51 @@ def occ_wide_month(spark, d):
     return reshape.widen(occ_month(spark, d), "month")
 
 
+@query
+def occ_wide_hour(spark, d):
+    """The hourly table written as a wide file, one field per hour, and read back."""
+    folder = new_folder(spark, "wide-hour")
+    writers.write_wide(occ_hour(spark, d), folder, "hour")
+    return readers.read_wide(spark, folder)
+
+
+def _store(spark, d) -> cellstore.CellStore:
+    """The images of both studies as two checks; the first one is added with a mistake and then replaced."""
+    store, images = cellstore.CellStore(new_folder(spark, "cells")), view(spark, d, "images")
+    fl = images.where(F.col("study") == "FL")
+    store.add(fl.withColumn("CONFIDENCE1", 1 - F.col("CONFIDENCE1")), "FL")
+    store.add(fl, "FL")
+    store.add(images.where(F.col("study") != "FL"), "CA")
+    return store
+
+
+@query
+def occ_store_tables(spark, d):
+    """Week, day and month tables of three species from stored cells, each image read once per check."""
+    return _store(spark, d).tables(spark, _deployments(spark, d), (PIG, 1, 15), 0.5, ("week", "day", "month"))
+
+
+@query
+def occ_store_sweeps(spark, d):
+    """Both sweeps from the same stored cells."""
+    store, sites = _store(spark, d), _deployments(spark, d)
+    parts = [store.occupancy_sweep(spark, sites, PIG, g, 0.5, 0.51, n=49).withColumn("time_int", F.lit(g)) for g in ("week", "day")]
+    return parts[0].union(parts[1])
+
+
+@query
+def occ_store_year(spark, d):
+    """All three steps on the cells of one year, which are a partition."""
+    return _store(spark, d).occupancy(spark, _deployments(spark, d), PIG, 0.0, "day", year=1996)
+
+
+@query
+def occ_store_hour(spark, d):
+    store, images = cellstore.CellStore(new_folder(spark, "cells"), "hour"), _event_images(spark, d)
+    store.add(images, "events")
+    return store.occupancy(spark, _event_deployments(images), PIG, 0.01, "hour")
+
+
 @query
 def occ_unpivot(spark, d):
     return reshape.lengthen(reshape.widen(_full(spark, d, "week"), "week"))
@@ -810,6 +855,16 @@ def named_import_files(spark, d):
     return readers.read_camera_folders(spark, folder, "*_check2_to_import.csv", "GUESS1 int, n long").drop("check_num")
 
 
+@query
+def walked_manifest(spark, d):
+    """A tree of import files, one folder per camera, listed by tasks and matched with the files wanted of all suppliers."""
+    folder = new_folder(spark, "tree")
+    images = view(spark, d, "images").where(F.col("study") == "FL").groupBy(F.col("camID").alias("camera")).agg(F.count("*").alias("n"))
+    writers.write_named(images, folder, 2)
+    name = F.concat(F.lit("CAM-"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0"), F.lit("_check2_to_import.csv"))
+    return exchange.file_manifest(table(spark, d, "supplier").select(name.alias("name")), listing.walk_files(spark, folder), 2)
+
+
 @query
 def double_key_join(spark, d):
     """Keys that are numbers with a fraction; zero is one key, whatever its sign, and holds most rows."""
