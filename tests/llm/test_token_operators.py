@@ -103,3 +103,29 @@ def test_empty(spark):
 def test_too_narrow(docs):
     with pytest.raises(Exception, match="do not fit"):
         token_output.token_matrix(docs, PATH, width=1).count()
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(12,0)", "date"])
+def test_keys_of_other_types(spark, kind, tmp_path):
+    rows = spark.range(9).selectExpr("id", "concat('some words ', id) as text", "date_add(date'2020-01-01', cast(id as int)) as day")
+    key = "day" if kind == "date" else f"cast(id as {kind})"
+    docs = rows.selectExpr(f"case when id <> 4 then {key} end as doc_id", "text").repartition(2)
+    want = sorted((str(r.doc_id), len(ids_of(r.text))) for r in docs.collect())
+    pieces = packing.packed_pieces(docs, PATH, size=64)
+    assert pieces.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert sorted({(str(r.doc_id), r.doc_tokens) for r in pieces.collect()}) == want
+    token_output.write_token_matrix(token_output.token_matrix(docs, PATH, size=64), str(tmp_path / "matrix"))
+    found = []
+    for r in spark.read.parquet(str(tmp_path / "matrix")).collect():  # as written: ids, segment lengths and resets
+        ids, places = (np.frombuffer(bytes(x), "<u2") for x in (r.input_ids, r.position_ids))
+        assert len(ids) == len(places) == 64 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens
+        assert not ids[r.n_tokens :].any() and not places[r.n_tokens :].any()
+        for k, (a, b) in enumerate(zip(r.cu_seqlens, r.cu_seqlens[1:])):
+            assert places[a:b].tolist() == list(range(b - a)) and ids[b - 1] == 1
+            found.append((str(r.doc_ids[k]), b - a))
+    assert sorted(found) == want
+
+
+def test_key_names_that_clash(spark):
+    with pytest.raises(ValueError):
+        packing.packed_pieces(spark.createDataFrame([(1, "a")], "Offset long, text string"), PATH, key="Offset")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trapgrid.llm.frames import arrow_map, with_computed
+from trapgrid.llm.frames import free_name, arrow_map, with_computed
 from trapgrid.llm.textbytes import mix, slices
 
 UNKNOWN = "und"
@@ -164,7 +164,7 @@ def with_language(
     "und" with score 0; so is everything if no row is labelled. Equally likely languages: the first by name. The matrix
     of log probabilities, bounded by `max_languages` and `bits`, is broadcast; a task scores a few MB of text at a time.
     """
-    if name in docs.columns:
+    if free_name(docs, name) != name:
         raise ValueError(f"{name} is a column of the documents")
     names, matrix = train(labelled, sizes, bits, smoothing, max_languages, text, lang)
     held = docs.sparkSession.sparkContext.broadcast(matrix)

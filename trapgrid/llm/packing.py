@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trapgrid.llm.frames import arrow_map
 from trapgrid.llm.textbytes import slices
@@ -108,7 +109,7 @@ def packed_pieces(
     Each task packs its own documents, in blocks of about `block_tokens` tokens (some hundred
     sequences), so that nothing is shuffled and memory is bounded. `size` must be a power of two.
     Null text: an empty document, whose only token is `end_id`. Rows with the same or a null key
-    are documents of their own. Other columns are left out. An empty table gives no pieces.
+    are documents of their own; keys may be of any type. Other columns are left out. An empty table gives no pieces.
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
@@ -124,8 +125,9 @@ def packed_pieces(
             T.StructField("offset", T.LongType()),
         ]
     )
-    if any(c in schema.names[1:] for c in (key,)):
+    if key.lower() in {c.lower() for c in schema.names[1:]}:
         raise ValueError(f"{key} is a column of the result")
+    own = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() * TASK_STEP
@@ -137,7 +139,7 @@ def packed_pieces(
             cut = [raw[a : a + 4 * n] for a, n in zip(at.tolist(), length.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys).take(pa.array(doc)) if any(k is not None for k in keys) else pa.nulls(len(doc), pa.int64()),
+                    pa.array(keys, own).take(pa.array(doc)),
                     pa.array(start),
                     pa.array(length),
                     pa.array(cut, pa.binary()),

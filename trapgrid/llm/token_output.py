@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trapgrid.llm.frames import arrow_map
 from trapgrid.llm.packing import TASK_STEP, blocks
@@ -87,7 +88,7 @@ def token_matrix(
     Each task packs its documents in blocks of about `block_tokens` tokens. The pieces of a
     document that is longer than `size` hold all its tokens once. An id that does not fit `width` is an
     error. Null text: an empty document with `end_id` alone. Rows with the same or a null key are
-    documents of their own. Other columns are left out. An empty table gives no rows.
+    documents of their own; keys may be of any type. Other columns are left out. An empty table gives no rows.
     """
     kind = docs.schema[key].dataType
     schema = T.StructType(
@@ -101,7 +102,7 @@ def token_matrix(
             T.StructField("doc_starts", T.ArrayType(T.LongType())),
         ]
     )
-    number = np.dtype(f"<u{width}")
+    number, own = np.dtype(f"<u{width}"), to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() * TASK_STEP
@@ -119,10 +120,10 @@ def token_matrix(
                     ends.append(a + n)
                 out.append((ends[-1], matrix.tobytes(), places.tobytes(), ends, [keys[d] for d, _, _ in row], [s for _, s, _ in row]))
             columns = [list(x) for x in zip(*out)]
-            arrow = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), None, pa.list_(pa.int64())]
+            arrow = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(own), pa.list_(pa.int64())]
             sequence = pa.array(np.arange(first, first + len(rows)))
             yield pa.RecordBatch.from_arrays(
-                [sequence, *[pa.array(c, t) if t else pa.array(c) if any(x is not None for y in c for x in y) else pa.array(c, pa.list_(pa.int64())) for c, t in zip(columns, arrow)]],
+                [sequence, *[pa.array(c, t) for c, t in zip(columns, arrow)]],
                 names=schema.names,
             )
             first += len(rows)
