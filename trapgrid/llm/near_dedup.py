@@ -141,49 +141,45 @@ def _with_partner(threshold: float) -> Callable:
     return run
 
 
-def _compared_before(table: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs were together in a small node of an earlier tree, where they have been compared."""
-    tree = table["tree"][0].as_py()
+def _small_nodes(table: pa.Table) -> np.ndarray:
+    """The small node that each row was in from the start, by tree; 0 for none."""
     nodes = np.zeros((table.num_rows, TREES), np.int64)
-    for row, own in enumerate(table["small"].to_pylist()):
-        for x in own or []:
+    for row, own in enumerate(table["small"]):
+        for x in own.as_py() or []:
             nodes[row, x["tree"]] = x["node"]
-    out = np.zeros(len(i), bool)
-    for t in range(tree):
-        out |= (nodes[i, t] == nodes[j, t]) & (nodes[i, t] != 0)
-    return out
+    return nodes
 
 
 def _links(percent: int) -> Callable:
-    """Links in each leaf, as many as connect what is connected there; each confirmed on the full sets."""
+    """Links in each leaf, as many as connect what is connected there; each confirmed on the full sets.
+
+    Likely pairs are taken a block of rows at a time, the likeliest first, and only those of rows that are not connected yet; so
+    what is held is a leaf's sketches and sets, not its pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_leaf(batches):
-            sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-            pairs = [np.concatenate(x) for x in zip(*_similar(_sketch_matrix(table), percent / 100 - MARGIN))]
-            new = ~_compared_before(table, pairs[0], pairs[1])
-            pairs = [x[new] for x in pairs]
-            up = list(range(table.num_rows))
-
-            def top(x: int) -> int:
-                while up[x] != x:
-                    up[x] = up[up[x]]
-                    x = up[x]
-                return x
-
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+            tree, nodes = table["tree"][0].as_py(), _small_nodes(table)
+            group = np.arange(table.num_rows)
             left, right = [], []
-            for k in np.argsort(-pairs[2], kind="stable").tolist():
-                i, j = int(pairs[0][k]), int(pairs[1][k])
-                if top(i) == top(j):
-                    continue
-                n, m = len(sets[i]), len(sets[j])
-                if 100 * min(n, m) < percent * max(n, m):
-                    continue
-                both = n + m - len(np.union1d(sets[i], sets[j]))
-                if 100 * both >= percent * (n + m - both):
-                    up[top(i)] = top(j)
-                    left.append(i)
-                    right.append(j)
+            for i, j, same in _similar(_sketch_matrix(table), percent / 100 - MARGIN):
+                new = group[i] != group[j]
+                for t in range(tree):  # pairs that were together in a small node of an earlier tree have been compared there
+                    new &= (nodes[i, t] != nodes[j, t]) | (nodes[i, t] == 0)
+                i, j, same = i[new], j[new], same[new]
+                order = np.argsort(-same, kind="stable")
+                for a, b in zip(i[order].tolist(), j[order].tolist()):
+                    if group[a] == group[b]:
+                        continue
+                    n, m = len(sets[a]), len(sets[b])
+                    if 100 * min(n, m) < percent * max(n, m):
+                        continue
+                    both = n + m - len(np.union1d(sets[a], sets[b]))
+                    if 100 * both >= percent * (n + m - both):
+                        group[group == group[a]] = group[b]
+                        left.append(a)
+                        right.append(b)
             rids = table["rid"].to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(rids[left]), pa.array(rids[right])], names=["a", "b"])
 
