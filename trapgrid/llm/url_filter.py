@@ -49,9 +49,14 @@ def _grams(text: Column, order: int) -> Column:
 
 
 def gram_counts(labelled: DataFrame, order: int) -> DataFrame:
-    """(gram, good, bad): how often each gram occurs in accepted and in rejected texts; partial sums first."""
-    one = lambda side: F.sum(F.when(F.col("good") == side, 1).otherwise(0))
-    return labelled.select("good", F.explode(_grams(F.col("text"), order)).alias("gram")).groupBy("gram").agg(one(True).alias("g"), one(False).alias("b"))
+    """(gram, g, b): how often each gram occurs in accepted and in rejected URLs; partial sums first.
+
+    A row of `labelled` (text, good) stands for n URLs, where n is a column, else for one.
+    """
+    urls = F.col("n") if "n" in labelled.columns else F.lit(1)
+    one = lambda side: F.sum(F.when(F.col("good") == side, F.col("n")).otherwise(0))
+    grams = labelled.select("good", urls.alias("n"), F.explode(_grams(F.col("text"), order)).alias("gram"))
+    return grams.groupBy("gram").agg(one(True).alias("g"), one(False).alias("b"))
 
 
 def likelihood_table(labelled: DataFrame, order: int, least_share: float) -> DataFrame:
@@ -64,13 +69,14 @@ def likelihood_table(labelled: DataFrame, order: int, least_share: float) -> Dat
     The gains of all grams that end at a character sum up to the ratio by its longest known context.
     """
     counts = gram_counts(labelled, order).withColumn("ctx", F.expr("left(gram, length(gram) - 1)"))
-    total = counts.where(F.length("gram") == 1).agg(F.sum(F.col("g") + F.col("b")).alias("all"))
     contexts = counts.groupBy("ctx").agg(
         F.sum("g").alias("ng"), F.sum("b").alias("nb"), F.sum(F.signum("g")).alias("tg"), F.sum(F.signum("b")).alias("tb")
     )
-    # One row, so this is no product of tables.
-    large = contexts.join(F.broadcast(total), (F.col("ng") + F.col("nb")) >= F.col("all") * least_share).drop("all")
-    known = stored(counts.join(large, "ctx"), "url-grams")
+    if least_share:
+        total = counts.where(F.length("gram") == 1).agg(F.sum(F.col("g") + F.col("b")).alias("all"))
+        # One row, so this is no product of tables.
+        contexts = contexts.join(F.broadcast(total), (F.col("ng") + F.col("nb")) >= F.col("all") * least_share).drop("all")
+    known = stored(counts.join(contexts, "ctx"), "url-grams")
     uniform = F.lit(1.0 / _ALPHABET)
     smoothed = lambda n, total, kinds, lower: (F.col(n) + F.col(kinds) * lower) / (F.col(total) + F.col(kinds))
     table = None
@@ -107,11 +113,12 @@ def judge_urls(
     """`pages` with a struct column `name`: host, path, rule, score, verdict ("allow" or "block").
 
     `rules` are (host, path, allow). A URL that a rule fits is judged by it, and is a labelled
-    example; the models are counted over all different labelled URLs but one fifth (by hash), on which the limit for
+    example; the models are counted over all different labelled URLs, each with its own label and each once, but one
+    fifth (by a hash of what the models see of it, so that alike URLs stay together), on which the limit for
     the length-normalised log-likelihood ratio is set, with the highest mean of the shares of allowed and of blocked
     URLs judged right; the midpoint of two neighbouring hundredths. score is the ratio less that limit; URLs with a score of
     0 or more are allowed. If one class has no example, all others are allowed with score 0. Null URLs: empty host and path,
-    no rule, judged as an empty text. Only distinct URLs are scored, repeated rows share the score. An empty table gives an empty one.
+    no rule, judged as an empty text. Only distinct model texts are scored, rows with the same one share the score. An empty table gives an empty one.
     """
     if name in pages.columns:
         raise ValueError(f"{name} is a column of the pages")
@@ -119,12 +126,14 @@ def judge_urls(
     host, path = host_of(F.col(url)), path_of(F.col(url))
     ruled = pages.withColumns({own["text"]: model_text(F.col(url)), own["rule"]: rule_of(host, path, rules)})
     allowed = [d + p for d, p, allow in rules if allow]
-    side = F.when(F.col("rule").isin(allowed), True).otherwise(False)
-    distinct = stored(ruled.select(F.col(own["text"]).alias("text"), F.col(own["rule"]).alias("rule")).groupBy("text").agg(F.min("rule").alias("rule")), "url-texts")
-    labelled = distinct.where(F.col("rule").isNotNull()).select("text", side.alias("good"))
+    urls = pages.select(F.col(url).alias("url")).distinct()
+    one = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
+    sides = urls.select(model_text(F.col("url")).alias("text"), F.when(one.isNotNull(), one.isin(allowed)).alias("good"))
+    counted = stored(sides.groupBy("text", "good").agg(F.count("*").alias("n")), "url-texts")
+    labelled = counted.where(F.col("good").isNotNull())
     fifth = F.pmod(F.xxhash64("text"), F.lit(5))
     table = stored(likelihood_table(labelled.where(fifth != 0), order, least_share), "url-model")
-    scores = stored(ratios(distinct.select(F.col("text").alias("key"), "text"), table, order), "url-ratios")
+    scores = stored(ratios(counted.select(F.col("text").alias("key"), "text").distinct(), table, order), "url-ratios")
     limit = _limit(scores.join(labelled.where(fifth == 0).withColumnRenamed("text", "key"), "key"))
     score = F.when(F.lit(limit is None), F.lit(0.0)).otherwise(F.coalesce(F.col("ratio"), F.lit(0.0)) - F.lit(limit or 0.0))
     shared = scores.select(F.col("key").alias(own["text"]), score.alias(free_name(pages, "_score")))
@@ -140,7 +149,7 @@ def judge_urls(
 def _limit(rated: DataFrame) -> float | None:
     """The ratio that parts the classes best; from a histogram in hundredths, whose size their range bounds."""
     bins = rated.groupBy(F.floor(F.col("ratio") * 100).alias("bin")).agg(
-        F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")
+        F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("good"), 0).otherwise(F.col("n"))).alias("bad")
     )
     rows = sorted((r.bin, r.good, r.bad) for r in bins.collect())
     good, bad = sum(r[1] for r in rows), sum(r[2] for r in rows)
