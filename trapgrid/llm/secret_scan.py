@@ -41,14 +41,14 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def candidates(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
-    """(doc, path, start, found, before, after, cid): each candidate of the whole texts with what stands around it.
+    """(doc, text_hash, path, start, found, before, after, cid): each candidate of the whole texts with what stands around it.
 
-    start counts characters from 0. Candidates and the pieces between them come from the same
+    text_hash tells the texts of one key, or of no key, apart. start counts characters from 0. Candidates and the pieces between them come from the same
     pattern, so that their lengths add up to the places.
     """
     body = F.col(text)
     parts = docs.where(F.rlike(body, F.lit(CANDIDATE))).select(
-        F.col(key).alias("doc"), (F.col(path).cast("string") if path else F.lit("")).alias("path"),
+        F.col(key).alias("doc"), F.xxhash64(body).alias("text_hash"), (F.col(path).cast("string") if path else F.lit("")).alias("path"),
         F.split(body, CANDIDATE, -1).alias("between"), F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)).alias("found"),
     )
     zero = F.lit(0).cast("long")
@@ -64,7 +64,7 @@ def candidates(docs: DataFrame, text: str = "text", key: str = "doc_id", path: s
     )
     rows = parts.withColumn("starts", walked).select("*", F.posexplode("found").alias("i", "one"))
     out = rows.select(
-        "doc", "path", F.get("starts", F.col("i")).alias("start"), F.col("one").alias("found"),
+        "doc", "text_hash", "path", F.get("starts", F.col("i")).alias("start"), F.col("one").alias("found"),
         F.right(F.get("between", F.col("i")), F.lit(AROUND)).alias("before"), F.left(F.get("between", F.col("i") + 1), F.lit(AROUND)).alias("after"),
     )
     return stored(out.withColumn("cid", F.monotonically_increasing_id()), "secret-candidates")
@@ -151,7 +151,7 @@ def train(labelled: DataFrame, most_findings: int = 100_000, trees: int = 20, de
 def find_secrets(
     docs: DataFrame, labelled: DataFrame | None = None, text: str = "text", key: str = "doc_id", path: str | None = "source", least_probability: float = 0.5
 ) -> DataFrame:
-    """One row for each candidate in `docs`: `key`, start, length (in characters), found, probability, is_secret.
+    """One row for each candidate in `docs`: `key`, start, length (in characters), found, probability, is_secret, text_hash.
 
     `labelled` are findings (label 0.0 or 1.0 and FEATURES, as from with_features); without them, the
     proven ones of `docs` themselves teach the forest. The forest judges every candidate, the labelled too. If a label does
@@ -167,17 +167,20 @@ def find_secrets(
         judged = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rated))
         judged = judged.withColumn("probability", vector_to_array("probability")[1])
     return judged.select(
-        F.col("doc").alias(key), "start", F.length("found").cast("long").alias("length"), "found", "probability", (F.col("probability") >= least_probability).alias("is_secret")
+        F.col("doc").alias(key), "start", F.length("found").cast("long").alias("length"), "found", "probability", (F.col("probability") >= least_probability).alias("is_secret"), "text_hash"
     )
 
 
 def without_secrets(docs: DataFrame, secrets: DataFrame, text: str = "text", key: str = "doc_id", mark: str = "[secret]") -> DataFrame:
-    """`docs` with the findings of `secrets` (`key`, found, is_secret) replaced by `mark` in their texts.
+    """`docs` with the findings of `secrets` (as from find_secrets) replaced by `mark` in their texts.
 
-    Every place where the found string stands as a candidate goes, in all rows of its key. Null texts stay null.
+    Every place where the found string stands as a candidate goes, in all rows with its key and text; so a list of
+    findings is one text's own, also where many rows have no key or share one. Null texts stay null.
     """
-    listed = secrets.where("is_secret").groupBy(F.col(key).alias("_secret_key")).agg(F.collect_set("found").alias("_secret_list"))
-    joined = docs.join(listed, F.col(key).eqNullSafe(F.col("_secret_key")), "left")
+    listed = secrets.where("is_secret").groupBy(F.col(key).alias("_secret_key"), F.col("text_hash").alias("_secret_text"))
+    listed = listed.agg(F.collect_set("found").alias("_secret_list"))
+    same = F.col(key).eqNullSafe(F.col("_secret_key")) & (F.xxhash64(F.col(text)) == F.col("_secret_text"))
+    joined = docs.join(listed, same, "left")
     between, found = F.split(F.col(text), CANDIDATE, -1), F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0))
     hidden = F.transform(found, lambda x: F.when(F.array_contains("_secret_list", x), mark).otherwise(x))
     rebuilt = F.array_join(F.transform(F.arrays_zip(between.alias("a"), hidden.alias("b")), lambda x: F.concat(x["a"], F.coalesce(x["b"], F.lit("")))), "")
