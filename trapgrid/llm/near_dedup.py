@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,20 +16,40 @@ from trapgrid.llm.components import components
 from trapgrid.llm.frames import arrow_map, free_name, stored, with_places
 from trapgrid.llm.textbytes import LOWER, SPACES, Rolling, flat, mix, slices, words
 
-#: Independent trees. A pair at the threshold of 0.75 shares the first step of none of them with a probability of 0.25 ** 8.
-TREES = 8
+#: Share of the pairs at the threshold that meet in the first node of a tree at least once.
+RECALL = 0.99998
 #: Bytes of a sketch: each is the lowest byte of a minwise value. Its share of equal bytes estimates the similarity with a
-#: standard deviation of 0.027 at the threshold.
+#: standard deviation of 0.027 at a threshold of 0.75.
 SKETCH = 256
-#: Pairs whose sketches agree less than the threshold by this much are not compared in full.
-MARGIN = 0.1
+#: Pairs whose sketches agree less than the threshold by this many standard deviations are not compared in full.
+DEVIATIONS = 3.7
 #: Documents that one node compares exhaustively, branches of a larger node, and the most branchings.
 NODE_LIMIT, BRANCHES, DEPTH = 4096, 2, 4
 
-_MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, TREES + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WEIGHTS = np.random.default_rng(8).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def trees_for(percent: int, recall: float = RECALL) -> int:
+    """Independent trees that a pair at the threshold needs to share the first step of one of them with probability `recall`.
+
+    Minwise tokens of a pair are equal with the probability of its similarity: 8 trees at 75 percent, 31 at 30.
+    """
+    if not 0 < percent <= 100 or not 0 < recall < 1:
+        raise ValueError("percent must be from 1 to 100 and recall between 0 and 1")
+    return 1 if percent == 100 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - percent / 100)))
+
+
+def least_agreement(percent: int) -> float:
+    """The share of equal sketch bytes from which pairs are compared in full."""
+    share = percent / 100
+    return share - DEVIATIONS * math.sqrt(share * (1 - share) / SKETCH)
+
+
+@lru_cache(4)
+def _multipliers(trees: int) -> np.ndarray:
+    return np.random.default_rng(7).integers(1, 1 << 63, trees + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Sorted distinct shingle hashes of each text, and two hashes of each text's words in order."""
     low = LOWER[data]
@@ -54,15 +76,16 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[list[np.n
     return sets, whole
 
 
-def minwise(shingles: np.ndarray) -> np.ndarray:
-    """The smallest value of each of the hash functions over a set."""
-    out = np.full(TREES + SKETCH, np.iinfo(np.uint64).max, np.uint64)
+def minwise(shingles: np.ndarray, trees: int) -> np.ndarray:
+    """The smallest value of each of the hash functions, of the trees and of the sketch, over a set."""
+    multipliers = _multipliers(trees)
+    out = np.full(trees + SKETCH, np.iinfo(np.uint64).max, np.uint64)
     for first in range(0, len(shingles), 1024):
-        out = np.minimum(out, (shingles[None, first : first + 1024] * _MULTIPLIERS[:, None]).min(1))
+        out = np.minimum(out, (shingles[None, first : first + 1024] * multipliers[:, None]).min(1))
     return out
 
 
-def _features(size: int) -> Callable:
+def _features(size: int, trees: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -71,9 +94,9 @@ def _features(size: int) -> Callable:
                 sets, whole = shingle_sets(data, at, size)
                 keys, sketches = [], []
                 for s in sets:
-                    got = minwise(s) if len(s) else None
-                    keys.append(None if got is None else mix(got[:TREES]).view(np.int64))
-                    sketches.append(None if got is None else (got[TREES:] & np.uint64(255)).astype(np.uint8).tobytes())
+                    got = minwise(s, trees) if len(s) else None
+                    keys.append(None if got is None else mix(got[:trees]).view(np.int64))
+                    sketches.append(None if got is None else (got[trees:] & np.uint64(255)).astype(np.uint8).tobytes())
                 empty = np.array([not len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -125,13 +148,13 @@ def _sketch_matrix(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(table.num_rows, SKETCH)
 
 
-def _with_partner(threshold: float) -> Callable:
+def _with_partner(percent: int) -> Callable:
     """Rows that have a partner in their leaf by the sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_leaf(batches):
             found = np.zeros(table.num_rows, bool)
-            for i, j, _ in _similar(_sketch_matrix(table), threshold - MARGIN):
+            for i, j, _ in _similar(_sketch_matrix(table), least_agreement(percent)):
                 found[i] = found[j] = True
             if found.any():
                 rids = table["rid"].to_numpy()[found]
@@ -141,16 +164,16 @@ def _with_partner(threshold: float) -> Callable:
     return run
 
 
-def _small_nodes(table: pa.Table) -> np.ndarray:
+def _small_nodes(table: pa.Table, trees: int) -> np.ndarray:
     """The small node that each row was in from the start, by tree; 0 for none."""
-    nodes = np.zeros((table.num_rows, TREES), np.int64)
+    nodes = np.zeros((table.num_rows, trees), np.int64)
     for row, own in enumerate(table["small"]):
         for x in own.as_py() or []:
             nodes[row, x["tree"]] = x["node"]
     return nodes
 
 
-def _links(percent: int) -> Callable:
+def _links(percent: int, trees: int) -> Callable:
     """Links in each leaf, as many as connect what is connected there; each confirmed on the full sets.
 
     Likely pairs are taken a block of rows at a time, the likeliest first, and only those of rows that are not connected yet; so
@@ -160,10 +183,10 @@ def _links(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_leaf(batches):
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
-            tree, nodes = table["tree"][0].as_py(), _small_nodes(table)
+            tree, nodes = table["tree"][0].as_py(), _small_nodes(table, trees)
             group = np.arange(table.num_rows)
             left, right = [], []
-            for i, j, same in _similar(_sketch_matrix(table), percent / 100 - MARGIN):
+            for i, j, same in _similar(_sketch_matrix(table), least_agreement(percent)):
                 new = group[i] != group[j]
                 for t in range(tree):  # pairs that were together in a small node of an earlier tree have been compared there
                     new &= (nodes[i, t] != nodes[j, t]) | (nodes[i, t] == 0)
@@ -236,17 +259,18 @@ def _sets_of(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return arrow_map(joined.select("rid", "text"), run, "rid long, shingles binary")
 
 
-def _grouped(texts: DataFrame, percent: int, size: int) -> DataFrame:
+def _grouped(texts: DataFrame, percent: int, size: int, recall: float) -> DataFrame:
     """(doc_id, n, component_id, file, at, first) of each row of `texts` (doc_id, text, file, at).
 
     `first` marks one row of each component: the one with the smallest id (null ids last), of several the first by place.
 
     Texts with equal words are one class from the start, so that copies cost nothing further. The
-    classes go down TREES independent trees; leaves compare all their classes by sketch, and
+    classes go down independent trees, as many as `recall` asks for; leaves compare all their classes by sketch, and
     likely pairs on the full sets, which are made only for classes with a likely partner.
     """
+    trees = trees_for(percent, recall)
     kind = texts.schema["doc_id"].dataType.simpleString()
-    features = stored(arrow_map(texts, _features(size), f"rid long, doc_id {kind}, c1 long, c2 long, n long, keys array<long>, sketch binary, file long, at long"), "near-features")
+    features = stored(arrow_map(texts, _features(size, trees), f"rid long, doc_id {kind}, c1 long, c2 long, n long, keys array<long>, sketch binary, file long, at long"), "near-features")
     filled = features.where("n > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "at")).alias("least")
     classes = stored(filled.groupBy("c1", "c2").agg(F.min("rid").alias("rid"), least), "near-classes")
@@ -257,7 +281,7 @@ def _grouped(texts: DataFrame, percent: int, size: int) -> DataFrame:
         return rows.repartition("leaf").sortWithinPartitions("leaf", "rid")
 
     sketches = heads.select("rid", "sketch")
-    likely = arrow_map(sorted_leaves(leaves.join(sketches, "rid").select("leaf", "rid", "tree", "sketch")), _with_partner(percent / 100), "leaf long, rid long, tree int")
+    likely = arrow_map(sorted_leaves(leaves.join(sketches, "rid").select("leaf", "rid", "tree", "sketch")), _with_partner(percent), "leaf long, rid long, tree int")
     likely = stored(likely, "near-likely")
     wanted = heads.join(likely.select("rid").distinct(), "rid", "left_semi").select("rid", "file", "at")
     sets = stored(_sets_of(wanted, texts, size), "near-sets")
@@ -265,7 +289,7 @@ def _grouped(texts: DataFrame, percent: int, size: int) -> DataFrame:
     small = leaves.where("first").groupBy("rid").agg(F.collect_list(F.struct("tree", F.col("leaf").alias("node"))).alias("small"))
     held = sketches.join(sets, "rid").join(small, "rid", "left")
     compared = likely.join(held, "rid").select("leaf", "rid", "tree", "sketch", "shingles", "small")
-    links = stored(arrow_map(sorted_leaves(compared), _links(percent), "a long, b long").distinct(), "near-links")
+    links = stored(arrow_map(sorted_leaves(compared), _links(percent, trees), "a long, b long").distinct(), "near-links")
     roots = components(links)
     rooted = stored(classes.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid")), "near-roots")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("head")), "root").select("c1", "c2", "head")
@@ -279,19 +303,20 @@ def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
     return with_places(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "file", "at")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "text", key: str = "doc_id", recall: float = RECALL) -> DataFrame:
     """(`key`, n_shingles, component_id, kept) for each row of `docs`.
 
     A document's set holds the distinct shingles of `size` words (A-Z in lower case) of its whole text; a text with fewer
     words is one shingle; one without words, or null, is linked with nothing. Documents are linked if the sets
-    share at least `percent` of their union. component_id is the smallest key that links lead to (null if all are null); kept marks
+    share at least `percent` of their union; `recall` is the share of the links at that limit, or more, that are found as long as their
+    nodes are small (trees_for). component_id is the smallest key that links lead to (null if all are null); kept marks
     it (also where both are null). Repeated rows with one key share the result of their text. An empty table gives no rows.
     """
-    found = _grouped(_texts(docs, text, key), percent, size)
+    found = _grouped(_texts(docs, text, key), percent, size, recall)
     return found.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+def without_near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, text: str = "text", key: str = "doc_id", recall: float = RECALL) -> DataFrame:
     """One row of each group of near-duplicates of `docs`, with all its columns: the one with the smallest key.
 
     Rows without a key come last: one stays where none of its group has a key. Of repeated rows with the smallest key the first by place
@@ -299,7 +324,7 @@ def without_near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, t
     """
     file, at = free_name(docs, "file"), free_name(docs, "at")
     placed = with_places(docs, file, at)
-    found = _grouped(placed.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(file).alias("file"), F.col(at).alias("at")), percent, size)
+    found = _grouped(placed.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(file).alias("file"), F.col(at).alias("at")), percent, size, recall)
     # The rows that go are joined as rows of ids; one plan at every size.
     gone = found.where("not first").select(F.col("file").alias(file), F.col("at").alias(at))
     return placed.join(gone.hint("shuffle_hash"), [file, at], "left_anti").select(*docs.columns)
