@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -88,6 +92,62 @@ def test_url_model_keeps_rare_contexts(spark, monkeypatch):
     assert tables[0].where("gram in ('jack', 'ckpo')").count() == 2
 
 
+def plain_url_scores(urls, order=3):
+    """url: (score, verdict), by dictionaries: the models of URL_RULES' labels, the limit, and the verdict of all others."""
+    rules = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+
+    def side(url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        return next((allow for h, p, allow in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), None)
+
+    def seen(url):
+        return "^" + "".join("0" if c.isdigit() else c if c in url_filter._KNOWN else "~" for c in (url or "").lower()) + "$"
+
+    def grams(text):
+        return [text[i - k + 1 : i + 1] for i in range(1, len(text)) for k in range(1, order + 2) if i + 1 >= k]
+
+    sides, counts, after = {u: side(u) for u in urls}, [Counter(), Counter()], [defaultdict(Counter), defaultdict(Counter)]
+    tried = {u: xxhash.xxh64_intdigest(seen(u), seed=42) for u in urls}
+    tried = {u: (x - (1 << 64) if x >> 63 else x) % 5 == 0 for u, x in tried.items()}
+    for u, good in sides.items():
+        if good is not None and not tried[u]:
+            for g in grams(seen(u)):
+                counts[good][g] += 1
+                after[good][g[:-1]][g[-1]] += 1
+
+    def p(g, good):
+        if not g:
+            return 1 / url_filter._ALPHABET
+        total, kinds = after[good][g[:-1]].total(), len(after[good][g[:-1]])
+        return (counts[good][g] + kinds * p(g[1:], good)) / (total + kinds) if total else p(g[1:], good)
+
+    gain = {g: math.log(p(g, 1) / p(g[1:], 1)) - math.log(p(g, 0) / p(g[1:], 0)) for g in set(counts[0]) | set(counts[1])}
+    ratio = {u: sum(gain.get(g, 0.0) for g in grams(seen(u))) / len(seen(u)) for u in urls}
+    rated = [(math.floor(100 * ratio[u]), sides[u]) for u in urls if tried[u] and sides[u] is not None]
+    bins = sorted({b for b, _ in rated})
+    good, bad = sum(s for _, s in rated), sum(not s for _, s in rated)
+    right = lambda k: sum(b >= k and s for b, s in rated) / good + sum(b < k and not s for b, s in rated) / bad
+    cuts = [(bins[0], bins[0])] + [(b + 1, n) for b, n in zip(bins, [*bins[1:], bins[-1] + 1])]
+    limit = sum(max(cuts, key=lambda c: right(c[0]))) / 200  # of equal ones the first
+    return {u: (ratio[u] - limit, sides[u] if sides[u] is not None else ratio[u] >= limit) for u in urls}
+
+
+def test_url_verdicts_equal_a_plain_version(spark):
+    """Scores and verdicts, where URLs that look alike to the models count one by one, each with its own label."""
+    pick = random.Random(9)
+    words = ["garden", "river", "stone", "casino", "slots", "winbig"]
+    urls = {f"http://{pick.choice('abc')}.{end}/{pick.choice(words[:4] if end == 'com' else words[2:])}/{pick.randint(1, 40)}" for end in ("com", "net/es", "net/fr", "org") for _ in range(80)}
+    urls |= {f"http://x.net/{e}/{i}" for e in ("es", "ES") for i in range(30)} | {f"http://www.example.com/{e}/{i}" for e in ("en", "EN") for i in range(9)} | {None, "", "é://ü.org/ß"}
+    got = url_filter.judge_urls(spark.createDataFrame([(u,) for u in [*urls, *urls]], "url string"), URL_RULES).collect()
+    want = plain_url_scores(urls)
+    assert len(got) == 2 * len(urls)
+    for r in got:
+        score, allow = want[r.url]
+        assert r.judged.score == pytest.approx(score, abs=1e-9)
+        assert r.judged.verdict == ("allow" if allow else "block") or abs(score) < 1e-9
+
+
 def test_url_without_labels(spark):
     got = url_filter.judge_urls(spark.createDataFrame([("http://a.org/",), (None,)], "url string"), URL_RULES).collect()
     assert [r.judged.verdict for r in got] == ["allow", "allow"]
@@ -291,6 +351,18 @@ def test_secrets_of_other_forms(spark, leaks):
     assert [r.text for r in clean if held[r.doc_id % 10][1] in r.text] == []
 
 
+def test_secrets_of_rows_without_a_key(spark, leaks):
+    """Rows that share a key, or have none, have lists of their own."""
+    hexa = "0123456789abcdef"
+    texts = [f'over there token = "{key(2000 + i, hexa, 40)}" end' for i in range(30)]
+    docs = leaks.union(spark.createDataFrame([(None, t, "src/1", True) for t in texts] + [(999, t, "src/1", True) for t in texts[:5]], leaks.schema))
+    secrets = secret_scan.find_secrets(docs)
+    lists = secrets.where("is_secret").groupBy("doc_id", "text_hash").agg(F.count_distinct("found").alias("n")).where("doc_id is null or doc_id = 999").collect()
+    assert len(lists) == 35 and all(r.n == 1 for r in lists)
+    clean = secret_scan.without_secrets(docs, secrets).where("doc_id is null or doc_id = 999").collect()
+    assert [r.text for r in clean] == ['over there token = "[secret]" end'] * 35
+
+
 def test_secret_cases(spark, leaks):
     odd = [(None, "token = 0123456789abcdef0123", None, None), (1, None, "s", 1), (2, "", "s", 1), (3, "a" * 50_000, "s", 1), (4, "x " + "ab12" * 8 + "== y", "s", 1), (4, "x " + "ab12" * 8 + "== y", "s", 1)]
     docs = spark.createDataFrame(odd, "doc_id long, text string, source string, found int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import pytest
@@ -64,6 +65,35 @@ def test_near_duplicates_of_large_groups(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute.near_classes(rows))
 
 
+@pytest.mark.parametrize("percent", [75, 30])
+def test_recall_on_graded_pairs(spark, percent):
+    """Pairs of texts from the threshold to a tenth above it are linked, all but the few that the target recall leaves."""
+    pick, rows = random.Random(percent), []
+
+    def alike(a, b):
+        one, other = brute.shingles(" ".join(a)), brute.shingles(" ".join(b))
+        return 100 * len(one & other) / len(one | other)
+
+    for i in range(250):
+        words = [f"w{pick.randrange(50_000)}" for _ in range(200)]
+        least, near, further = pick.uniform(percent, percent + 10), words, words
+        while alike(words, further) >= least:
+            near, further = further, list(further)
+            further[pick.randrange(200)] = f"c{pick.randrange(50_000)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    assert all(got[2 * i] == 2 * i and got[2 * i + 1] in (2 * i, 2 * i + 1) for i in range(250))
+    assert sum(got[2 * i + 1] == 2 * i for i in range(250)) >= 249
+
+
+def test_trees_follow_the_target():
+    assert near_dedup.trees_for(75) == 8 and near_dedup.trees_for(100) == 1 and near_dedup.trees_for(75, 0.9) == 2
+    assert all(1 - (1 - p / 100) ** near_dedup.trees_for(p, r) >= r for p in (20, 30, 50, 75, 90) for r in (0.5, 0.9, 0.999))
+    for wrong in ((0, 0.9), (101, 0.9), (75, 1.0)):
+        with pytest.raises(ValueError):
+            near_dedup.trees_for(*wrong)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (50, 70), (7, 7)]
     got = components.components(spark.createDataFrame(chain, "a long, b long")).collect()
