@@ -227,6 +227,28 @@ def test_store_odd_rows(spark, tmp_path):
         cellstore.CellStore("x", "week")
 
 
+def plan_of(df):
+    """The plan that ran."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mask_neither_sorts_the_long_table_nor_groups_photos_without_a_detection(spark, random_study):
+    images, _ = random_study
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(occ.mask_inactive(occ.detection_grid(images, PIG, 0.9, "day"), images, "day"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    groups = occ._hits(images, PIG, 0.9, occ.GRAINS["day"], "DateTimeOriginal")
+    seen = images.where((F.col("GUESS1") == PIG) & (F.col("CONFIDENCE1") > 0.9))
+    years = images.select("camID", F.year("DateTimeOriginal")).distinct().count()
+    assert groups.count() <= years + seen.count()
+    assert occ.grid_of(occ.cells(images, PIG, occ.GRAINS["day"]), 0.9).count() == occ.detection_grid(images, PIG, 0.9, "day").count()
+
+
 def test_wide_lines(spark, tmp_path):
     rows = [("A", 2015, 0, 1), ("A", 2016, 8783, None), ('B, "b"', 2015, 0, 0), (" c ", 2016, 8783, 1), (" c ", 2016, 8783, 0), ("A", 2015, 30, 0)]
     long = spark.createDataFrame(rows, "camID string, year int, interval int, occ int")

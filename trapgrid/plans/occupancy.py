@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trapgrid.functions.clock import GRAINS, Grain, elapsed, grain
+from trapgrid.session import shuffle_partitions
 
 DETECTION_GRAINS = ("day", "week", "month", "hour")
 MASK_GRAINS = ("day", "week", "hour")
@@ -26,14 +27,17 @@ def _need_time(df: DataFrame, column: str) -> None:
         raise ValueError(f"{column} must be a timestamp or date, not {df.schema[column].dataType.simpleString()}")
 
 
+def _score() -> Column:
+    return F.coalesce(F.when(~F.isnan("CONFIDENCE1"), F.col("CONFIDENCE1")), F.lit(float("-inf")))
+
+
 def cells(images: DataFrame, species: int, g: Grain, time: str = "DateTimeOriginal") -> DataFrame:
     """One row per camera and interval: best confidence of the species, first and last photo."""
-    score = F.coalesce(F.when(~F.isnan("CONFIDENCE1"), F.col("CONFIDENCE1")), F.lit(float("-inf")))
     return (
         images.where(F.col("camID").isNotNull() & F.col(time).isNotNull())
         .groupBy("camID", g.code(F.col(time)).alias("code"))
         .agg(
-            F.max(F.when(F.col("GUESS1") == species, score)).alias("best"),
+            F.max(F.when(F.col("GUESS1") == species, _score())).alias("best"),
             F.min(time).alias("first_photo"),
             F.max(time).alias("last_photo"),
         )
@@ -45,30 +49,50 @@ def seen(thresh: float | None) -> Column:
     return F.col("best").isNotNull() if thresh is None else F.col("best") > F.lit(float(thresh))
 
 
+def _hits(images: DataFrame, species: int, thresh: float | None, g: Grain, time: str) -> DataFrame:
+    """One row per camera, year and interval with a detection (null: all other photos of the year), with first and last photo.
+
+    Photos without a detection are only a camera's years, so that no task holds a group for each of their intervals.
+    """
+    best = F.when(F.col("GUESS1") == species, _score())
+    found = best.isNotNull() if thresh is None else best > F.lit(float(thresh))
+    return (
+        images.where(F.col("camID").isNotNull() & F.col(time).isNotNull())
+        .groupBy("camID", F.year(time).alias("year"), F.when(found, g.code(F.col(time))).alias("hit"))
+        .agg(F.min(time).alias("first_photo"), F.max(time).alias("last_photo"))
+    )
+
+
+def _hits_of(base: DataFrame, thresh: float | None) -> DataFrame:
+    """_hits from the cells of a species and a grain."""
+    hit = F.when(seen(thresh), F.col("code")).alias("hit")
+    return base.select("camID", _whole_div(F.col("code")).alias("year"), hit, "first_photo", "last_photo")
+
+
+def spread(sites: DataFrame) -> DataFrame:
+    """Rows per camera over all shuffle partitions: a few bytes of each become thousands of cells, which sizes do not show."""
+    return sites.repartition(shuffle_partitions(sites.sparkSession), "camID")
+
+
 def _whole_div(code: Column) -> Column:
     return F.floor(code / _YEAR).cast("int")
 
 
-def _as_rows(df: DataFrame, occ_cells: Column) -> DataFrame:
-    """Explodes an array of (code, occ) into the long form."""
-    long = df.select("camID", F.inline(occ_cells))
+def _as_rows(sites: DataFrame, lists: list[tuple[int | None, Column]], value: Column | None = None) -> DataFrame:
+    """The long form of lists of interval codes, each with its value of `occ`; `value` is made of _occ, _code and the site's columns."""
+    named = F.array(*[F.struct(F.lit(occ).cast("int").alias("_occ"), codes.alias("_codes")) for occ, codes in lists])
+    long = sites.select("*", F.inline(named)).select("*", F.explode("_codes").alias("_code"))
     return long.select(
         "camID",
-        _whole_div(F.col("code")).alias("year"),
-        (F.col("code") % _YEAR).cast("int").alias("interval"),
-        F.col("occ").cast("int").alias("occ"),
+        _whole_div(F.col("_code")).alias("year"),
+        (F.col("_code") % _YEAR).cast("int").alias("interval"),
+        (F.col("_occ") if value is None else value).cast("int").alias("occ"),
     )
 
 
-def _cell(code: Column, occ: Column) -> Column:
-    return F.struct(code.alias("code"), occ.cast("int").alias("occ"))
-
-
-def _fill(codes: Column, hits: Column, zero, one) -> Column:
-    """(code, occ) for every code of the table: `one` where the camera has a hit, else `zero`."""
-    ones = F.transform(F.array_intersect(codes, hits), lambda c: _cell(c, one(c)))
-    zeros = F.transform(F.array_except(codes, hits), lambda c: _cell(c, zero(c)))
-    return F.concat(ones, zeros)
+def _fill(codes: Column, hits: Column) -> list[tuple[int | None, Column]]:
+    """Every code of the table: 1 where the camera has a hit, else 0."""
+    return [(1, F.array_intersect(codes, hits)), (0, F.array_except(codes, hits))]
 
 
 def regular_codes(years: Column, first_set: Column, last_photo: Column, g: Grain) -> Column:
@@ -121,21 +145,28 @@ def detection_grid(
 
     `missing_site` is the value of a camera without a detection in the whole year: 0 or None.
     """
-    return grid_of(cells(images, species, grain(time_int, DETECTION_GRAINS), time), thresh, missing_site)
+    return _grid(_hits(images, species, thresh, grain(time_int, DETECTION_GRAINS), time), missing_site)
 
 
 def grid_of(base: DataFrame, thresh: float | None, missing_site: int | None = 0) -> DataFrame:
     """detection_grid from the cells of a species and a grain."""
-    hit_codes = F.collect_set(F.when(seen(thresh), F.col("code")))
-    hit_years = F.collect_set(F.when(seen(thresh), _whole_div(F.col("code"))))
-    sites = base.groupBy("camID").agg(hit_codes.alias("hits"), hit_years.alias("years"))
-    sites = sites.withColumn("codes", base.agg(hit_codes).scalar())
+    return _grid(_hits_of(base, thresh), missing_site)
+
 
-    def zero(c: Column) -> Column:
-        with_detection = F.array_contains("years", _whole_div(c))
-        return F.when(with_detection, 0).otherwise(F.lit(missing_site).cast("int"))
+def _grid(base: DataFrame, missing_site: int | None) -> DataFrame:
+    # A camera's hits differ; a set would let Spark drop the aggregate below it and take all photos to the cameras.
+    sites = base.groupBy("camID").agg(F.collect_list("hit").alias("hits"))
+    codes = sites.select(F.explode("hits").alias("hit")).distinct().agg(F.collect_set("hit")).scalar()
+    return grid_rows(sites, codes, missing_site)
 
-    return _as_rows(sites, _fill(F.col("codes"), F.col("hits"), zero, lambda c: F.lit(1)))
+
+def grid_rows(sites: DataFrame, codes: Column, missing_site: int | None = 0) -> DataFrame:
+    """detection_grid from each camera's `hits` and the codes of the table."""
+    rows = spread(sites.select("camID", "hits")).withColumn("codes", codes)
+    rows = rows.withColumn("years", F.array_distinct(F.transform("hits", _whole_div)))
+    with_detection = F.array_contains("years", _whole_div(F.col("_code")))
+    zero = F.when(with_detection, 0).otherwise(F.lit(missing_site).cast("int"))
+    return _as_rows(rows, _fill(F.col("codes"), F.col("hits")), F.when(F.col("_occ") == 1, 1).otherwise(zero))
 
 
 def _sites_of(occ: DataFrame) -> DataFrame:
@@ -147,8 +178,9 @@ def _sites_of(occ: DataFrame) -> DataFrame:
 
 
 def _codes_of(occ: DataFrame) -> Column:
-    code = (F.col("year") * _YEAR + F.col("interval")).cast("int")
-    return F.array_sort(F.collect_set(code))
+    """All interval codes of a long table in order, as a value."""
+    code = (F.col("year") * _YEAR + F.col("interval")).cast("int").alias("code")
+    return occ.select(code).distinct().agg(F.array_sort(F.collect_set("code"))).scalar()
 
 
 def zero_complete(
@@ -167,20 +199,17 @@ def zero_complete(
     ).withColumns(
         {
             "first_set": deployments.agg(F.min("SetDate")).scalar(),
-            "present": occ.agg(_codes_of(occ)).scalar(),
+            "present": _codes_of(occ),
         }
     )
     regular = regular_codes(F.col("years"), F.col("first_set"), F.col("last_photo"), g)
     present = F.filter("present", lambda c: F.array_contains(F.col("years"), _whole_div(c)))
     codes = period.select(F.array_sort(F.array_union(regular, present)).alias("codes")).scalar()
     empty = F.array().cast("array<int>")
-    rows = deployments.select("camID").distinct().join(_sites_of(occ), "camID", "left").withColumn("codes", codes)
+    rows = spread(deployments.select("camID").distinct().join(_sites_of(occ), "camID", "left")).withColumn("codes", codes)
     rows = rows.withColumns({c: F.coalesce(F.col(c), empty) for c in ("hits", "blanks")})
-    filled = _fill(
-        F.array_except("codes", "blanks"), F.col("hits"), lambda c: F.lit(0), lambda c: F.lit(1)
-    )
-    blank = F.transform(F.array_intersect("codes", "blanks"), lambda c: _cell(c, F.lit(None)))
-    return _as_rows(rows, F.concat(filled, blank))
+    filled = _fill(F.array_except("codes", "blanks"), F.col("hits"))
+    return _as_rows(rows, [*filled, (None, F.array_intersect("codes", "blanks"))])
 
 
 def camera_ranges(images: DataFrame, time: str = "DateTimeOriginal") -> DataFrame:
@@ -212,13 +241,14 @@ def mask_inactive(
     )
     # All four, so that both uses of the ranges share one shuffle.
     study = _one_row(ranges.agg(*[f(c).alias(c) for c, f in (("s", F.min), ("e", F.max), ("si", F.min), ("ei", F.max))]))
-    cuts = ranges.withColumns({"study": study, "codes": occ.agg(_codes_of(occ)).scalar()})
+    cuts = ranges.withColumns({"study": study, "codes": _codes_of(occ)})
     cuts = cuts.select(
         "camID",
         start_cut(F.col("s"), F.col("study.s"), F.col("codes"), g, (F.col("si"), F.col("study.si"))).alias("start"),
         end_cut(F.col("e"), g, (F.col("ei"), F.col("study.ei"))).alias("end"),
     )
-    masked = occ.join(cuts, "camID", "left")
+    # One row per camera is hashed, so that the long table passes by it unsorted.
+    masked = occ.join(cuts.hint("shuffle_hash"), "camID", "left")
     keep = _unmasked(code, F.col("start"), F.col("end"))
     return masked.select("camID", "year", "interval", F.when(keep, F.col("occ")).alias("occ"))
 
@@ -234,28 +264,34 @@ def occupancy(
 ) -> DataFrame:
     """detection_grid, zero_complete and mask_inactive in one pass over the images."""
     _need_time(images, time)
-    return occupancy_of(cells(images, species, grain(time_int, MASK_GRAINS), time), deployments, thresh, time_int, mask)
+    g = grain(time_int, MASK_GRAINS)
+    return _occupancy(_hits(images, species, thresh, g, time), deployments, g, mask)
 
 
 def occupancy_of(base: DataFrame, deployments: DataFrame, thresh: float | None, time_int: str, mask: bool = True) -> DataFrame:
     """occupancy from the cells of a species and a grain."""
-    g = grain(time_int, MASK_GRAINS)
+    return _occupancy(_hits_of(base, thresh), deployments, grain(time_int, MASK_GRAINS), mask)
+
+
+def _occupancy(base: DataFrame, deployments: DataFrame, g: Grain, mask: bool) -> DataFrame:
     _need_time(deployments, "SetDate")
-    hit_codes = F.collect_set(F.when(seen(thresh), F.col("code")))
     study = base.agg(
         F.min("first_photo").alias("first"),
         F.max("last_photo").alias("last"),
-        F.sort_array(F.collect_set(_whole_div(F.col("code")))).alias("years"),
-        hit_codes.alias("found"),
+        F.sort_array(F.collect_set("year")).alias("years"),
+        F.collect_set("hit").alias("found"),
     ).withColumn("first_set", deployments.agg(F.min("SetDate")).scalar())
-    regular = regular_codes(F.col("years"), F.col("first_set"), F.col("last"), g)
-    study = study.select("first", "last", F.array_sort(F.array_union(regular, F.col("found"))).alias("codes"))
-
     sites = base.groupBy("camID").agg(
-        F.min("first_photo").alias("s"), F.max("last_photo").alias("e"), hit_codes.alias("hits")
+        F.min("first_photo").alias("s"), F.max("last_photo").alias("e"), F.collect_list("hit").alias("hits")
     )
-    rows = deployments.select("camID").distinct().join(sites, "camID", "left")
-    rows = rows.withColumn("study", _one_row(study)).withColumn("codes", F.col("study.codes"))
+    return occupancy_rows(deployments.select("camID").distinct().join(sites, "camID", "left"), study, g, mask)
+
+
+def occupancy_rows(sites: DataFrame, study: DataFrame, g: Grain, mask: bool = True) -> DataFrame:
+    """occupancy from each camera's first and last photo (`s`, `e`) and `hits`, and the one row of the study's limits."""
+    regular = regular_codes(F.col("years"), F.col("first_set"), F.col("last"), g)
+    study = study.select("first", "last", F.array_sort(F.array_union(regular, F.col("found"))).alias("codes"))
+    rows = spread(sites).withColumn("study", _one_row(study)).withColumn("codes", F.col("study.codes"))
     if mask:
         rows = rows.withColumns(
             {
@@ -271,11 +307,8 @@ def occupancy_of(base: DataFrame, deployments: DataFrame, thresh: float | None,
         never = F.when(F.col("s") > F.col("e"), F.lit(0))
         rows = rows.withColumns({"start": never, "end": never})
     hits = F.coalesce("hits", F.array().cast("array<int>"))
-
-    def value(occ: int):
-        return lambda c: F.when(_unmasked(c, F.col("start"), F.col("end")), occ)
-
-    return _as_rows(rows, _fill(F.col("codes"), hits, value(0), value(1)))
+    active = _unmasked(F.col("_code"), F.col("start"), F.col("end"))
+    return _as_rows(rows, _fill(F.col("codes"), hits), F.when(active, F.col("_occ")))
 
 
 def yearly_detections(images: DataFrame, species: int, time_int: str = "week") -> DataFrame:
