@@ -233,6 +233,15 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_store_tables_are_one_pass_in_many_tasks(spark, random_study, store):
+    _, deployments = random_study
+    got = store.tables(spark, deployments, (PIG, 1, 15), 0.3, ("day", "week", "month"))
+    assert "FileScan" not in plan_of(got)  # the stored rows were read before, once for all tables
+    day = got.where((F.col("species") == PIG) & (F.col("time_int") == "day"))
+    assert day.select(F.spark_partition_id()).distinct().count() > 1  # small cameras are not put together before they are expanded
+    assert store.tables(spark, deployments.where("false"), (PIG,), 0.3, ("week",)).count() == 0
+
+
 def test_mask_neither_sorts_the_long_table_nor_groups_photos_without_a_detection(spark, random_study):
     images, _ = random_study
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapgrid.functions.clock import grain
-from trapgrid.plans.occupancy import _YEAR, _need_time, grid_of, occupancy_of
+from trapgrid.plans.occupancy import _YEAR, MASK_GRAINS, _need_time, grid_of, grid_rows, occupancy_of, occupancy_rows, seen, spread
 from trapgrid.plans.sweeps import sweep_of
+from trapgrid.session import checkpointed
 
 #: Grains that the cells of a store can be rolled up to, by the unit the store keeps.
 UNITS = {"day": ("day", "week", "month"), "hour": ("hour", "day", "week", "month")}
@@ -86,12 +87,35 @@ class CellStore:
         return sweep_of(self.cells(spark, species, time_int), deployments, time_int, baseline, start, step, n)
 
     def tables(self, spark: SparkSession, deployments: DataFrame, species: Iterable[int], thresh: float | None, time_ints: Iterable[str]) -> DataFrame:
-        """(species, time_int, camID, year, interval, occ): the masked table of each species and grain, by month the detection grid."""
-        parts = [
-            (self.detection_grid(spark, s, thresh, g) if g == "month" else self.occupancy(spark, deployments, s, thresh, g)).select(
-                F.lit(s).alias("species"), F.lit(g).alias("time_int"), "camID", "year", "interval", "occ"
-            )
-            for s in species
-            for g in time_ints
-        ]
+        """(species, time_int, camID, year, interval, occ): the masked table of each species and grain, by month the detection grid.
+
+        All tables come from one pass over the stored rows and the deployments, which leaves one row per camera in the shared folder.
+        """
+        species, grains = list(species), [grain(g, UNITS[self.unit]) for g in time_ints]
+        if any(g.name in MASK_GRAINS for g in grains):
+            _need_time(deployments, "SetDate")
+        unit = F.to_date("first_photo")
+        if any(g.name == "hour" for g in grains):
+            unit = unit.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour("first_photo"))
+        made = self.rows(spark).groupBy("camID").agg(
+            F.min("first_photo").alias("s"),
+            F.max("last_photo").alias("e"),
+            F.collect_set(F.year("first_photo")).alias("years"),
+            *[F.collect_set(F.when((F.col("GUESS1") == n) & seen(thresh), unit)).alias(f"at{i}") for i, n in enumerate(species)],
+        )
+        sites = deployments.groupBy("camID").agg(F.min("SetDate").alias("SetDate"), F.lit(True).alias("listed"))
+        kept = checkpointed(spread(made.join(sites, "camID", "full_outer")))
+        lists = {c: kept.select(F.explode(c).alias(c)).distinct().agg(F.sort_array(F.collect_set(c))).scalar() for c in ("years", *[f"at{i}" for i in range(len(species))])}
+        limits = kept.agg(F.min("s").alias("first"), F.max("e").alias("last"), F.min("SetDate").alias("first_set"))
+        limits = checkpointed(limits.withColumns(lists))
+        parts = []
+        for i, n in enumerate(species):
+            for g in grains:
+                codes = F.array_distinct(F.transform(f"at{i}", g.code))
+                rows = kept.withColumn("hits", codes)
+                if g.name == "month":
+                    table = grid_rows(rows.where("s is not null"), limits.select(codes).scalar())
+                else:
+                    table = occupancy_rows(rows.where("listed").select("camID", "s", "e", "hits"), limits.withColumn("found", codes), g)
+                parts.append(table.select(F.lit(n).alias("species"), F.lit(g.name).alias("time_int"), "camID", "year", "interval", "occ"))
         return reduce(DataFrame.union, parts)
