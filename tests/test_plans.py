@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -218,6 +220,51 @@ def test_named_files(spark, tmp_path):
     assert len(list(tmp_path.rglob("*.csv"))) == 4
 
 
+def test_camera_files_as_spark_writes_them(spark, tmp_path):
+    texts = ['say "hi", a.jpg', "two\nlines", "", None, " blanks ", "NA", "é#\\x", '"']
+    cameras = ["FL 01", "é", None, "", "a/b=c%:'{}^+", "x\ty"]
+    rows = [(c, t, i, i / 3, datetime.date(2020, 1, 1 + i), datetime.datetime(2020, 1, 1, 3, 4, i)) for c in cameras for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "camera string, t string, `a,b` int, d double, day date, at timestamp").repartition(3)
+    writers.write_per_camera(table, f"{tmp_path}/own", 2)
+    told = table.withColumn("check_num", F.lit(2)).repartition("camera").write.options(**writers._FORM)
+    told.partitionBy("camera", "check_num").csv(f"{tmp_path}/sparks")
+
+    def lines(folder):
+        return {str(f.parent.relative_to(folder)): sorted(f.read_text().split("\n")) for f in folder.rglob("part-*.csv")}
+
+    assert lines(tmp_path / "own") == lines(tmp_path / "sparks") and (tmp_path / "own" / "_SUCCESS").exists()
+    # No file was made by Hadoop's local file system, which keeps a checksum file and starts processes for each.
+    assert not list((tmp_path / "own").rglob("*.crc")) and not list((tmp_path / "own").rglob("_waiting*"))
+    back, sparks = (readers.read_camera_folders(spark, f"{tmp_path}/{name}", "*.csv", "t string, d double") for name in ("own", "sparks"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, sparks.collect())) and back.count() == len(rows)
+    with pytest.raises(Exception, match="(?i)already exists"):
+        writers.write_per_camera(table, f"{tmp_path}/own", 2)
+    writers.write_per_camera(table, f"file://{tmp_path}/own", 2, mode="append")
+    writers.write_per_camera(table, f"{tmp_path}/own", 3, mode="append")
+    assert readers.read_camera_folders(spark, f"{tmp_path}/own", "*.csv", "t string").groupBy("check_num").count().sort("check_num").collect() == [("2", 2 * len(rows)), ("3", len(rows))]
+    bad = table.withColumn("t", F.when(F.col("d") > 2, F.raise_error(F.lit("broken"))).otherwise(F.col("t")))
+    with pytest.raises(Exception, match="broken"):
+        writers.write_per_camera(bad, f"{tmp_path}/broken", 2)
+    assert not list((tmp_path / "broken").rglob("*"))
+
+
+def test_many_camera_folders_are_listed_by_few_tasks(spark, tmp_path):
+    name, group = "spark.sql.sources.parallelPartitionDiscovery.parallelism", "many folders"
+    before, most = spark.conf.get(name), 8 * spark.sparkContext.defaultParallelism
+    for i in range(most + 8):
+        (tmp_path / f"c{i}").mkdir()
+        (tmp_path / f"c{i}" / "a.csv").write_text(f"n\n{i}\n")
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = readers.read_camera_folders(spark, str(tmp_path), "*.csv", "n int").collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r.n, r.camera, r.check_num) for r in found) == [(i, f"c{i}", None) for i in range(most + 8)]
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(s) for job in status.getJobIdsForGroup(group) for s in status.getJobInfo(job).stageIds]
+    assert max(s.numTasks for s in stages if s) == most and spark.conf.get(name) == before
+
+
 def test_lines_in_the_order_of_the_files(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.csv").write_text("k,v\n" + "".join(f"{i % 7},{i}\n" for i in range(500)))

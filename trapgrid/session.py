@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +62,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Folders that are listed within are dealt to a few tasks for each core, instead of one task for each of up to 10,000 folders."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), 8 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def known_to_workers(spark: SparkSession) -> None:
     """Puts this package on the Python path of the workers, from the folder the driver has it from."""
     environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from trapgrid import schemas
 from trapgrid.operators.aggregates import unreadable
 from trapgrid.operators.reshape import from_camera_lines
-from trapgrid.session import checkpointed, known_to_workers, shuffle_partitions
+from trapgrid.session import checkpointed, known_to_workers, listing_tasks, shuffle_partitions
 
 _QUOTES = {"quote": '"', "escape": '"'}
 _MISSING = ("", "NA")
@@ -141,7 +141,9 @@ def _by_name(
     no line breaks in fields. A file without one of the columns is an error.
     """
     fields = _fields(spark, schema)
-    return _cast(_texts(spark, path, fields, extra, one_header, whole_up_to, **options), fields, extra, watch)
+    with listing_tasks(spark):
+        texts = _texts(spark, path, fields, extra, one_header, whole_up_to, **options)
+    return _cast(texts, fields, extra, watch)
 
 
 def _texts(spark: SparkSession, path, fields: list[T.StructField], extra: dict[str, Column], one_header: bool, whole_up_to: int, **options) -> DataFrame:
@@ -234,8 +236,14 @@ def read_metadata_folder(spark: SparkSession, folder: str, schema: str = schemas
 
 def _below(root: str) -> Column:
     """The path of a row's file below `root`."""
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(path, "^.*?" + _literal(root.rstrip("/").split(":", 1)[-1]) + "/", "")
+    path, top = F.col("_metadata.file_path"), root.rstrip("/").split(":", 1)[-1] + "/"
+    plain = F.when(F.contains(path, F.lit("%")), F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).otherwise(path)
+    at = F.locate(top, plain)
+    return F.when(at > 0, F.substring(plain, at + F.lit(len(top)), F.length(plain))).otherwise(plain)
+
+
+def _after(text: Column, mark: str) -> Column:
+    return F.when(F.startswith(text, F.lit(mark)), F.substring(text, len(mark) + 1, F.length(text))).otherwise(text)
 
 
 def read_camera_folders(spark: SparkSession, root: str, pattern: str, schema: str) -> DataFrame:
@@ -244,9 +252,11 @@ def read_camera_folders(spark: SparkSession, root: str, pattern: str, schema: st
     `camera` is the name of the folder below `root`, `check_num` that of the one in it (null without); in
     both a name as in camera=FL01 counts by what follows the sign.
     """
-    parts = F.split(_below(root), "/")
-    camera = F.regexp_replace(F.get(parts, F.lit(0)), "^camera=", "")
-    check = F.when(F.size(parts) > 2, F.regexp_replace(F.get(parts, F.lit(1)), "^check_num=", ""))
+    # Plain searches, as every row is given its folders.
+    below = _below(root)
+    two = F.substring_index(below, "/", 2)
+    camera = _after(F.substring_index(below, "/", 1), "camera=")
+    check = F.when(two != below, _after(F.substring_index(two, "/", -1), "check_num="))
     # Without a base path Spark would take names with a sign for columns of its own.
     return _by_name(spark, root, schema, {"camera": camera, "check_num": check}, recursiveFileLookup=True, pathGlobFilter=pattern)
 
@@ -269,7 +279,8 @@ def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> Data
     The driver keeps the index of the files, so this is for folders of up to some hundred
     thousand on stores that only Spark reaches; empty files are left out. For all files, of any number, use listing.walk_files or read_listing.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
+    with listing_tasks(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
     relative = F.regexp_replace("path", "^.*?" + _literal(folder.rstrip("/").split(":", 1)[-1]) + "/", "")
     return files.select(relative.alias("path"), "length")
 

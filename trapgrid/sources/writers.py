@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import csv
+import errno
 import io
+import os
+import re
+import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import AtomicType, BinaryType, StructType
 
 from trapgrid.operators.ranking import with_row_number
 from trapgrid.operators.reshape import camera_lines
@@ -55,10 +61,132 @@ def write_listing(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def write_per_camera(df: DataFrame, path: str, check_num: int, mode: str = "errorifexists") -> None:
-    """One folder per camera and check below `path`."""
-    # Rebalancing puts a camera's rows together but still splits one that is too large.
-    out = df.withColumn("check_num", F.lit(check_num)).hint("rebalance", "camera")
-    out.write.mode(mode).options(**_FORM).partitionBy("camera", "check_num").csv(path)
+    """One folder per camera and check below `path`, as camera=FL01/check_num=2.
+
+    On a file system that is mounted (file:) tasks write the files themselves, as Spark's writer starts a process for each
+    file there to set its rights. All other stores are left to Spark's writer, and so is a folder that has to be replaced or refused.
+    """
+    out = df.withColumn("check_num", F.lit(check_num))
+    folder = _mounted(df.sparkSession, path)
+    if folder is None or not (mode == "append" or mode in _NEW and not os.path.lexists(folder)) or not _plain(out):
+        # Rebalancing puts a camera's rows together but still splits one that is too large.
+        out.hint("rebalance", "camera").write.mode(mode).options(**_FORM).partitionBy("camera", "check_num").csv(path)
+        return
+    known_to_workers(df.sparkSession)
+    df.sparkSession.dataSource.register(_CameraFiles)
+    names = [c for c in out.columns if c not in ("camera", "check_num")]
+    line = F.to_csv(F.struct(*[f"`{c}`" for c in names]), {k: str(v) for k, v in _FORM.items()})
+    dealt = out.hint("rebalance", "camera").select(F.col("camera").cast("string").alias("camera"), F.concat(line, F.lit("\n")).alias("line"))
+    lines = dealt.sortWithinPartitions("camera").write.format("camera_csv").mode("append")
+    lines.options(path=folder, check=str(check_num), header=_text(names)).save()
+
+
+#: Modes that do the same where there is no folder yet.
+_NEW = ("errorifexists", "error", "default", "ignore", "overwrite")
+
+
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The folder that `path` is on a mounted file system; None on any other store."""
+    scheme, rest = re.fullmatch(r"(?:([A-Za-z][\w+.-]*):)?(.*)", path, re.DOTALL).groups()
+    if scheme is None:
+        scheme = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").split(":", 1)[0]
+    return os.path.abspath(re.sub("^//[^/]*", "", rest)) if scheme == "file" else None
+
+
+def _plain(df: DataFrame) -> bool:
+    """Whether `df` has a camera and columns that go into a CSV line; Spark's writer says what is wrong otherwise."""
+    given = {f.name: f.dataType for f in df.schema}
+    told_apart = len({c.lower() for c in df.columns}) == len(df.columns) > 2
+    return told_apart and {"camera", "check_num"} <= set(given) and all(isinstance(t, AtomicType) and not isinstance(t, BinaryType) for t in given.values())
+
+
+def _text(values) -> str:
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\n").writerow(["NA" if v is None else v for v in values])
+    return text.getvalue()
+
+
+#: Characters that Spark does not leave in the name of a folder.
+_ESCAPED = {c: f"%{c:02X}" for c in [*range(1, 32), 127, *map(ord, "\"#%'*/:=?\\{[]^")]}
+
+
+def _folder_of(camera: str | None) -> str:
+    """The folder that Spark gives a camera."""
+    return f"camera={camera.translate(_ESCAPED) if camera else '__HIVE_DEFAULT_PARTITION__'}"
+
+
+class _CameraFiles(DataSource):
+    """Sink of CSV files on a mounted file system: rows are (camera, line with its end), those of a camera one after the other."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "camera_csv"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _CameraWriter(self.options["path"], self.options["check"], self.options["header"])
+
+
+@dataclass
+class _Finished(WriterCommitMessage):
+    """The folder in which a task's files wait."""
+
+    own: str
+
+
+class _CameraWriter(DataSourceArrowWriter):
+    """Tasks write into folders of their own; the driver moves the cameras' folders when all tasks have finished."""
+
+    def __init__(self, path: str, check: str, header: str):
+        self._path, self._check, self._header, self._job = path, check, header, uuid.uuid4().hex
+        self._waiting = f"{path}/_waiting-{self._job}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        context = TaskContext.get()
+        own = f"{self._waiting}/{context.partitionId()}-{context.taskAttemptId()}"
+        os.makedirs(own)
+        folder = file = None
+        try:
+            for batch in iterator:
+                runs, lines, start = pc.run_end_encode(batch.column(0)), batch.column(1), 0
+                for camera, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                    if _folder_of(camera) != folder:
+                        if file is not None:
+                            file.close()
+                        folder = _folder_of(camera)
+                        inner = f"{own}/{folder}/check_num={self._check}"
+                        os.makedirs(inner)
+                        file = open(f"{inner}/part-{context.partitionId():05d}-{self._job}.c000.csv", "wb")
+                        file.write(self._header.encode())
+                    own_lines = pa.ListArray.from_arrays([0, end - start], lines.slice(start, end - start))
+                    file.write(pc.binary_join(own_lines, pa.scalar("", lines.type))[0].as_buffer())
+                    start = end
+        finally:
+            if file is not None:
+                file.close()
+        return _Finished(own)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        os.makedirs(self._path, exist_ok=True)
+        for message in messages:
+            with os.scandir(message.own) as cameras:
+                for camera in cameras:
+                    _move(camera.path, f"{self._path}/{camera.name}")
+        open(f"{self._path}/_SUCCESS", "w").close()
+        shutil.rmtree(self._waiting, ignore_errors=True)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        shutil.rmtree(self._waiting, ignore_errors=True)
+
+
+def _move(source: str, target: str) -> None:
+    """Gives a folder its name; where there is such a folder, its contents go there."""
+    try:
+        os.rename(source, target)
+    except OSError as error:
+        if error.errno not in (errno.ENOTEMPTY, errno.EEXIST):
+            raise
+        for name in os.listdir(source):
+            _move(f"{source}/{name}", f"{target}/{name}")
 
 
 @dataclass
@@ -93,12 +221,6 @@ class _NamedWriter(DataSourceWriter):
             return fs.LocalFileSystem(), lambda path: path
         return fs.FileSystem.from_uri(self._path)[0], lambda path: fs.FileSystem.from_uri(path)[1]
 
-    @staticmethod
-    def _line(values) -> bytes:
-        text = io.StringIO()
-        csv.writer(text, lineterminator="\n").writerow(["NA" if v is None else v for v in values])
-        return text.getvalue().encode()
-
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         store, at = self._store()
         done, name, file = [], None, None
@@ -113,8 +235,8 @@ class _NamedWriter(DataSourceWriter):
                     name = row[0]
                     done.append((f"{own}/{len(done)}", name))
                     file = store.open_output_stream(at(done[-1][0]))
-                    file.write(self._line(self._names))
-                file.write(self._line(row[1:]))
+                    file.write(_text(self._names).encode())
+                file.write(_text(row[1:]).encode())
         finally:
             if file is not None:
                 file.close()
