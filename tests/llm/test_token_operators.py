@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from tests.llm import brute
-from trapgrid.llm import packing, token_output
+from trapgrid.llm import packing, token_output, tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -129,3 +132,36 @@ def test_keys_of_other_types(spark, kind, tmp_path):
 def test_key_names_that_clash(spark):
     with pytest.raises(ValueError):
         packing.packed_pieces(spark.createDataFrame([(1, "a")], "Offset long, text string"), PATH, key="Offset")
+
+
+def test_encoder_forgets_what_it_met_once(monkeypatch):
+    """What stays in a worker after a task is bounded, and what it meets again and again is not encoded anew."""
+    monkeypatch.setattr(tokens, "_REMEMBERED", 4000)
+    known, learnt = tokens.Encoder(PATH), []
+    learn = known._learn
+    monkeypatch.setattr(known, "_learn", lambda pieces: (learnt.extend(pieces), learn(pieces)))
+    for round_ in range(24):
+        texts = ["The common words, the Common words! x1 naïve", " ".join(f"q{round_}a{i}z, W{'abcdefghij'[i % 10]}{'klmnopqrst'[round_ % 10]}" for i in range(40)), None, "<|endoftext|> y"]
+        ids, at = known.encode(texts, 1)
+        if round_ % 8 == 7:
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [ids_of(t) for t in texts]
+        assert known._held < 5000 and len(known._runs) < 2000
+    assert learnt.count("common") == 1 and learnt.count("words!") == 1 and learnt.count("q0a1z,") == 1
+
+
+def test_encoder_memory():
+    """After 9 million characters of different words a worker holds less than 250 MB beyond the tokenizer."""
+    code = f"""
+import random, re
+from trapgrid.llm import tokens
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+known, pick = tokens.Encoder({PATH!r}), random.Random(5)
+known.encode(["a"], 1)
+before = held()
+for _ in range(30):
+    known.encode([" ".join("".join(pick.choices("abcdefghijklmnop", k=10)) for _ in range(1000)) for _ in range(30)], 1)
+print(held() - before)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(tokens.__file__).parents[2])
+    assert float(got.stdout) < 250

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +14,10 @@ _ODD_SPACES = "\x1c\x1d\x1e\x1f"
 _SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: The tokenizer's names for bytes that have no printable sign of their own.
 _BYTE_NAMES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
-#: Characters of pieces that a worker remembers before it starts afresh.
-_REMEMBERED = 12_000_000
+#: Characters of pieces that a worker remembers before it forgets those that it met once; some 100 MB.
+_REMEMBERED = 3_000_000
+#: Pieces that are encoded at a time.
+_AT_ONCE = 8192
 
 _encoders: dict[str, Encoder] = {}
 
@@ -39,7 +41,7 @@ class Encoder:
     The tokenizer (lower case, white space dropped) never joins over white space, nor letters with
     signs. So a text's ids are those of its pieces between white space, one after the other, and a piece that is
     a run of letters with signs after it has the ids of the two. Each different run is encoded once; pieces of any
-    other form are encoded as they are.
+    other form are encoded as they are. Most different pieces are met once only; these go when _REMEMBERED is reached.
     """
 
     def __init__(self, path: str):
@@ -53,12 +55,32 @@ class Encoder:
     def _clear(self) -> None:
         self._held = 0
         self._pieces = _Places()
+        self._again = np.zeros(0, bool)  # pieces met twice or more since the last _forget
         self._runs: dict[str, int] = {}
         self._of_piece = [np.zeros(0, np.int64)]  # runs of the pieces, one after the other
         self._piece_ends, self._run_ends = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
         self._ids = [np.zeros(0, np.uint32)]
         self._count, self._size = 0, 0
 
+    def _forget(self) -> None:
+        """Drops the pieces met once since the last time, or all where the others are most of what is remembered."""
+        names = list(compress(self._pieces, self._again.tolist()))
+        held = sum(map(len, names))
+        if 2 * held > _REMEMBERED:
+            self._clear()
+            return
+        of_piece, piece_ends = self._expand(np.flatnonzero(self._again), self._piece_ends[0], self._of_piece[0])
+        kept = np.unique(of_piece)
+        ids, run_ends = self._expand(kept, self._run_ends[0], self._ids[0])
+        place = dict(zip(kept.tolist(), range(len(kept))))
+        runs = {x: place[run] for x, run in self._runs.items() if run in place}
+        self._clear()
+        self._held, self._runs, self._again = held, runs, np.zeros(len(names), bool)
+        self._pieces.update(zip(names, range(len(names))))
+        self._of_piece, self._piece_ends = [np.searchsorted(kept, of_piece)], [piece_ends]
+        self._ids, self._run_ends = [ids], [run_ends]
+        self._count, self._size = len(kept), len(ids)
+
     def _add_run(self, ids: np.ndarray, sizes: np.ndarray) -> int:
         """The number of the first of new runs with these ids."""
         self._ids.append(ids)
@@ -72,7 +94,9 @@ class Encoder:
         for piece in pieces:
             core = piece.rstrip(_SIGNS)
             if core.isalpha() and (core.isascii() or max(core) <= "ÿ"):
-                made.append((core.lower(), piece[len(core) :]) if len(core) < len(piece) else (core.lower(),))
+                low = core.lower()
+                low = core if low == core else low  # one object for the two tables
+                made.append((low, piece[len(core) :]) if len(core) < len(piece) else (low,))
             else:
                 made.append((piece,))
                 if core:
@@ -106,7 +130,7 @@ class Encoder:
     def encode(self, texts: list[str | None], last: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, each followed by the id `last`; null is an empty text."""
         if self._held > _REMEMBERED:
-            self._clear()
+            self._forget()
         split, odd = [], {}
         for i, text in enumerate(texts):
             text = text or ""
@@ -115,10 +139,13 @@ class Encoder:
                 text = ""
             split.append(text.split())
         counts = [len(p) for p in split]
+        known = len(self._pieces)
         place = np.fromiter(map(self._pieces.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
-        if self._pieces.new:
-            self._learn(self._pieces.new)
-            self._pieces.new = []
+        new, self._pieces.new = self._pieces.new, []
+        for i in range(0, len(new), _AT_ONCE):
+            self._learn(new[i : i + _AT_ONCE])
+        met = np.bincount(place, minlength=len(self._pieces))
+        self._again = np.concatenate([self._again | (met[:known] > 0), met[known:] > 1])
         for parts in (self._of_piece, self._piece_ends, self._run_ends, self._ids):
             if len(parts) > 1:
                 parts[:] = [np.concatenate(parts)]
