@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -25,6 +26,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def _given_back(run: Callable) -> Callable:
+    """`run`, after which a worker, that Spark keeps for later tasks, gives back the memory it no longer uses."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc
+            libc.malloc_trim(0)
+
+    return whole
+
+
 def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
     """`df.mapInArrow(run, schema)`, with this package on the Python path of the workers.
 
@@ -34,7 +47,7 @@ def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [root])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_given_back(run), schema)
 
 
 def with_computed(
