@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import subprocess
-import sys
 from collections import defaultdict
-from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
-from trapgrid.llm import packing, token_output, tokens
+from trapgrid.llm import frames, packing, token_output, tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -149,19 +147,18 @@ def test_encoder_forgets_what_it_met_once(monkeypatch):
     assert learnt.count("common") == 1 and learnt.count("words!") == 1 and learnt.count("q0a1z,") == 1
 
 
-def test_encoder_memory():
-    """After 9 million characters of different words a worker holds less than 250 MB beyond the tokenizer."""
-    code = f"""
-import random, re
-from trapgrid.llm import tokens
-def held():
-    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
-known, pick = tokens.Encoder({PATH!r}), random.Random(5)
-known.encode(["a"], 1)
-before = held()
-for _ in range(30):
-    known.encode([" ".join("".join(pick.choices("abcdefghijklmnop", k=10)) for _ in range(1000)) for _ in range(30)], 1)
-print(held() - before)
-"""
-    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(tokens.__file__).parents[2])
-    assert float(got.stdout) < 250
+def test_workers_drop_what_another_operator_remembers(spark, docs):
+    """An idle worker of a later stage holds no tokenizer tables."""
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(tokens._encoders)] * batch.num_rows, pa.int64())], names=["n"])
+
+    assert packing.packed_pieces(docs, PATH).count()
+    assert {r.n for r in frames.arrow_map(docs, held, "n long").collect()} == {0}
+    frames.begin_task("packing")
+    known = tokens.encoder(PATH)
+    frames.begin_task("packing")
+    assert tokens.encoder(PATH) is known
+    frames.begin_task("near_dedup")
+    assert not tokens._encoders

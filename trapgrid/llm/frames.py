@@ -26,10 +26,29 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+_tables: list[dict] = []
+_running = [""]
+
+
+def worker_table() -> dict:
+    """A table that tasks keep in a worker for later tasks of the same operator; a task of another one empties it."""
+    _tables.append({})
+    return _tables[-1]
+
+
+def begin_task(operator: str) -> None:
+    if _running[0] != operator:
+        for table in _tables:
+            table.clear()
+        _running[0] = operator
+
+
 def _given_back(run: Callable) -> Callable:
     """`run`, after which a worker, that Spark keeps for later tasks, gives back the memory it no longer uses."""
+    operator = f"{run.__module__}.{run.__qualname__}"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(operator)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc

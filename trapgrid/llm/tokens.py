@@ -8,18 +8,20 @@ from itertools import chain, compress
 import numpy as np
 import pyarrow as pa
 
+from trapgrid.llm.frames import worker_table
+
 #: White space for Python that the tokenizer's pattern does not split at.
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"
 #: ASCII signs that are neither letters nor digits.
 _SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: The tokenizer's names for bytes that have no printable sign of their own.
 _BYTE_NAMES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
-#: Characters of pieces that a worker remembers before it forgets those that it met once; some 100 MB.
-_REMEMBERED = 3_000_000
+#: Characters of pieces that a worker remembers before it forgets those that it met once; some 250 MB.
+_REMEMBERED = 8_000_000
 #: Pieces that are encoded at a time.
 _AT_ONCE = 8192
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = worker_table()
 
 
 class _Places(dict):
